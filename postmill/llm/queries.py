@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from postmill.llm import near_dup
+from postmill.llm import copies, group_split, lookalike, near_dup
 
 QUERIES = {
     "p2_found": near_dup.p2_found,
+    "p3_found": lookalike.p3_found,
+    "p3_forms": lookalike.p3_forms,
+    "p4_found": group_split.p4_found,
+    "p4_split": group_split.p4_split,
+    "p6_found": copies.p6_found,
+    "p6_messages": copies.p6_messages,
 }
 
 ORACLES: dict[str, str] = {}
