@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postmill.llm import copies, group_split, lookalike, near_dup
+from postmill.llm import copies, encoding, group_split, lookalike, near_dup
 
 QUERIES = {
     "p2_found": near_dup.p2_found,
@@ -12,6 +12,8 @@ QUERIES = {
     "p4_split": group_split.p4_split,
     "p6_found": copies.p6_found,
     "p6_messages": copies.p6_messages,
+    "p7_found": encoding.p7_found,
+    "p7_restored": encoding.p7_restored,
 }
 
 ORACLES: dict[str, str] = {}
