@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from postmill.llm import copies, encoding, group_split, lookalike, near_dup
+from postmill.llm import copies, encoding, group_split, leakage, lookalike, near_dup, newtext, quality
 
 QUERIES = {
+    "p1_found": newtext.p1_found,
     "p2_found": near_dup.p2_found,
     "p3_found": lookalike.p3_found,
     "p3_forms": lookalike.p3_forms,
@@ -14,6 +15,9 @@ QUERIES = {
     "p6_messages": copies.p6_messages,
     "p7_found": encoding.p7_found,
     "p7_restored": encoding.p7_restored,
+    "p9_found": leakage.p9_found,
+    "p10_found": quality.p10_found,
+    "p10_stats": quality.p10_stats,
 }
 
 ORACLES: dict[str, str] = {}
