@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postmill.llm import copies, encoding, group_split, leakage, lookalike, near_dup, newtext, quality
+from postmill.llm import copies, encoding, group_split, leakage, lookalike, near_dup, newtext, packing, personal, quality
 
 QUERIES = {
     "p1_found": newtext.p1_found,
@@ -15,6 +15,10 @@ QUERIES = {
     "p6_messages": copies.p6_messages,
     "p7_found": encoding.p7_found,
     "p7_restored": encoding.p7_restored,
+    "p5_found": personal.p5_found,
+    "p5_masked": personal.p5_masked,
+    "p8_packed": packing.p8_packed,
+    "p8_fill": packing.p8_fill,
     "p9_found": leakage.p9_found,
     "p10_found": quality.p10_found,
     "p10_stats": quality.p10_stats,
