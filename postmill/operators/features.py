@@ -9,12 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def _joined(tokens: Column, n: int):
+    return lambda i: F.array_join(F.slice(tokens, i, n), " ")
+
+
+def _cut(word: Column, n: int):
+    return lambda i: F.substr(word, i, F.lit(n))
+
+
 def word_ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     """n-grams of an array of tokens, n from low to high, joined by a blank."""
     out = None
     for n in range(low, high + 1):
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        grams = F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
+        grams = F.transform(starts, _joined(tokens, n))
         out = grams if out is None else F.concat(out, grams)
     return out
 
@@ -27,7 +35,7 @@ def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
         out = None
         for n in range(low, high + 1):
             starts = F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1)))
-            own = F.transform(starts, lambda i, n=n: F.substr(word, i, F.lit(n)))
+            own = F.transform(starts, _cut(word, n))
             if n > low:  # a word shorter than n gave itself at its own length
                 own = F.when(F.length(word) >= n, own).otherwise(F.array().cast("array<string>"))
             out = own if out is None else F.concat(out, own)

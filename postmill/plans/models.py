@@ -1,0 +1,192 @@
+"""Queries of features, naive Bayes, occlusion, regression."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from postmill.functions import text as T
+from postmill.operators import explain, features as X, models as M
+from postmill.plans.corpus import CLEAN, corpus
+from postmill.plans.registry import query
+from postmill.runtime import cut, table
+from postmill.schema import LABELS, label_index
+
+VOCABULARY, SELECTED = 3000, 1000
+_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+_TERMS = f"(SELECT msg_id AS id, term, count(*) AS tf FROM (SELECT msg_id, unnest({_TOKENS}) AS term FROM corpus) GROUP BY ALL)"
+
+
+def counts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.term_counts(corpus(spark, sf_dir), T.tokenize(F.col("text")))
+
+
+def grams_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of words and word pairs; tokens are a column of their own, so that they are made once a row and not once a pair."""
+    tokenised = corpus(spark, sf_dir).select("msg_id", T.tokenize(F.col("text")).alias("tokens"))
+    return X.term_counts(tokenised, X.word_ngrams(F.col("tokens"), 1, 2))
+
+
+def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT label, term, sum(tf)::bigint AS n_terms, count(*) AS n_rows FROM {_TERMS} t JOIN corpus c ON c.msg_id = t.id GROUP BY ALL HAVING count(*) >= 5")
+def term_counts_by_label(spark, sf_dir):
+    labelled = counts_of(spark, sf_dir).join(corpus(spark, sf_dir).select(F.col("msg_id").alias("id"), "label"), "id")
+    return labelled.groupBy("label", "term").agg(F.sum("tf").alias("n_terms"), F.count(F.lit(1)).alias("n_rows")).filter("n_rows >= 5")
+
+
+_BI = f"SELECT msg_id AS id, unnest(list_concat(k, list_transform(list_zip(k[1:len(k)-1], k[2:]), lambda p: p[1] || ' ' || p[2]))) AS term FROM (SELECT msg_id, {_TOKENS} AS k FROM corpus)"
+
+
+@query(f"SELECT term, count(*) AS df, sum(tf)::bigint AS total FROM (SELECT id, term, count(*) AS tf FROM ({_BI}) GROUP BY ALL) GROUP BY term HAVING count(*) >= 10")
+def bigram_df(spark, sf_dir):
+    grams = grams_of(spark, sf_dir)
+    return X.vocabulary(grams, min_df=10)
+
+
+_TFIDF = (
+    f"WITH b AS (SELECT id, term, count(*) AS tf FROM ({_BI}) GROUP BY ALL), v AS (SELECT term, count(*) AS df FROM b GROUP BY term HAVING count(*) >= 2), "
+    "w AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM corpus)) / (1.0 + df)) + 1) AS w FROM b JOIN v USING (term)), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id) "
+)
+
+
+@query(_TFIDF + "SELECT id AS msg_id, count(*) AS n_terms, round(max(w / norm), 6) AS top_weight, round(sum(w / norm), 4) AS total_weight FROM w JOIN n USING (id) GROUP BY id")
+def word_tfidf(spark, sf_dir):
+    grams = grams_of(spark, sf_dir)
+    weights = X.tfidf(grams, X.vocabulary(grams, min_df=2), rows_of(spark, sf_dir), sublinear=True)
+    return weights.groupBy(F.col("id").alias("msg_id")).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("w"), 6).alias("top_weight"), F.round(F.sum("w"), 4).alias("total_weight"))
+
+
+@query(
+    "WITH p AS (SELECT msg_id, ' ' || w || ' ' AS w FROM (SELECT msg_id, unnest(regexp_extract_all(lower(text), '[^\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')) AS w FROM corpus)), "
+    "g AS (SELECT substr(w, i::int, n::int) AS gram FROM p, (SELECT unnest(range(2, 6)) AS n) s, LATERAL (SELECT unnest(range(1, greatest(length(w) - n + 2, 2))) AS i) r WHERE length(w) >= n) SELECT gram, count(*) AS n_grams FROM g GROUP BY gram HAVING count(*) >= 50"
+)
+def char_wb_ngrams(spark, sf_dir):
+    grams = corpus(spark, sf_dir).select(F.explode(X.char_ngrams(F.col("text"), 2, 5)).alias("gram"))
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_grams")).filter("n_grams >= 50")
+
+
+_CHI = (
+    f"WITH t AS (SELECT * FROM {_TERMS}), v AS (SELECT term, count(*) AS df FROM t GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {VOCABULARY}), "
+    "w0 AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM corpus)) / (1.0 + df)) + 1) AS w FROM t JOIN v USING (term)), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w0 GROUP BY id), w AS (SELECT id, term, w / norm AS w FROM w0 JOIN n USING (id)), "
+    "y AS (SELECT msg_id AS id, label FROM corpus WHERE label IN ('legit', 'spam', 'phishing')), u AS (SELECT label, count(*)::double / sum(count(*)) OVER () AS p FROM y WHERE id IN (SELECT id FROM w) GROUP BY label), "
+    "wl AS (SELECT w.*, label FROM w JOIN y USING (id)), m AS (SELECT term, sum(w) AS mass FROM wl GROUP BY term), o AS (SELECT term, label, sum(w) AS o FROM wl GROUP BY ALL), "
+    "c AS (SELECT term, sum((coalesce(o, 0) - mass * p) * (coalesce(o, 0) - mass * p) / (mass * p)) AS chi2 FROM m CROSS JOIN u LEFT JOIN o USING (term, label) GROUP BY term) "
+)
+
+
+@query(_CHI + "SELECT term, round(chi2, 4) AS chi2 FROM c ORDER BY round(chi2, 6) DESC, term LIMIT 200")
+def chi2_top_k(spark, sf_dir):
+    """The 200 terms whose weight differs most by class: a top-k report."""
+    labels = corpus(spark, sf_dir).filter(F.col("label").isin(*LABELS)).select(F.col("msg_id").alias("id"), "label")
+    counts = cut(counts_of(spark, sf_dir))
+    weights = cut(X.tfidf(counts, X.vocabulary(counts, max_terms=VOCABULARY), rows_of(spark, sf_dir)).join(labels.select("id"), "id"))
+    scores = X.chi_squared(weights, labels).withColumn("k", F.round("chi2", 6))
+    return X.top(scores, "k", 200).select("term", F.round("chi2", 4).alias("chi2"))
+
+
+# ---- naive Bayes on the presence of the commonest terms, trained on the train split ----------------------------------------------
+
+_NB = (
+    f"WITH t AS (SELECT DISTINCT id, term FROM {_TERMS}), y AS (SELECT msg_id AS id, label FROM corpus WHERE label IN ('legit', 'spam', 'phishing') AND {CLEAN} = 'train'), "
+    f"v AS (SELECT term FROM t JOIN y USING (id) GROUP BY term ORDER BY count(*) DESC, term LIMIT {SELECTED}), k AS (SELECT label, count(*) AS n FROM y GROUP BY label), "
+    "s AS (SELECT label, term, count(*) AS c FROM t JOIN y USING (id) JOIN v USING (term) GROUP BY ALL), "
+    "th AS (SELECT label, term, (coalesce(c, 0) + 1.0) / (n + 2) AS p, n FROM v CROSS JOIN k LEFT JOIN s USING (label, term)), "
+    "b AS (SELECT label, sum(ln(1 - p)) + ln(max(n)::double / (SELECT sum(n) FROM k)) AS base FROM th GROUP BY label), "
+)
+_NB_SCORES = (
+    "h AS (SELECT id, label, sum(ln(p) - ln(1 - p)) AS s FROM t JOIN th USING (term) GROUP BY ALL), "
+    "z AS (SELECT msg_id AS id, b.label, base + coalesce(s, 0) AS s FROM corpus CROSS JOIN b LEFT JOIN h ON h.id = msg_id AND h.label = b.label), "
+    "e AS (SELECT id, label, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM z), "
+    "q AS (SELECT id, sum(e) FILTER (label = 'legit') / sum(e) AS p0, sum(e) FILTER (label = 'spam') / sum(e) AS p1, sum(e) FILTER (label = 'phishing') / sum(e) AS p2 FROM e GROUP BY id) "
+)
+
+
+def nb_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(presence, model, scores) of the naive Bayes scorer."""
+    rows = corpus(spark, sf_dir)
+    presence = cut(rows.select(F.col("msg_id").alias("id"), F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term")))
+    train = rows.filter(F.col("label").isin(*LABELS) & (F.lower(F.trim("split")) == "train")).select(F.col("msg_id").alias("id"), "label")
+    vocab = presence.join(train, "id").groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(SELECTED).select("term")
+    model = cut(M.fit_bernoulli_nb(presence, train, cut(vocab)))
+    return presence, model, M.nb_scores(presence, rows.select(F.col("msg_id").alias("id")), model)
+
+
+@query(_NB.rstrip(", ") + " SELECT label, term, round(ln(p) - ln(1 - p), 6) AS weight FROM th")
+def nb_fit(spark, sf_dir):
+    _, model, _ = nb_parts(spark, sf_dir)
+    return model.select("label", "term", F.round("yes", 6).alias("weight"))
+
+
+@query(_NB + _NB_SCORES + "SELECT id AS msg_id, round(p0, 5) AS p_legit, round(p1, 5) AS p_spam, round(p2, 5) AS p_phishing, CASE WHEN 1 - p0 < 0.5 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS pred FROM q")
+def nb_predict(spark, sf_dir):
+    _, _, scores = nb_parts(spark, sf_dir)
+    return scores.select(F.col("id").alias("msg_id"), *(F.round(f"p_{x}", 5).alias(f"p_{x}") for x in LABELS), M.decide(F.col("p_legit"), F.col("p_spam"), F.col("p_phishing")).alias("pred"))
+
+
+@query(_NB + _NB_SCORES + f"SELECT {CLEAN} AS split, domain, count(*) AS n_rows, round(avg(CASE WHEN (1 - p0 >= 0.5) = (label <> 'legit') THEN 1.0 ELSE 0.0 END), 6) AS scam_accuracy FROM q JOIN corpus ON msg_id = id WHERE label IN ('legit', 'spam', 'phishing') GROUP BY ALL")
+def nb_accuracy(spark, sf_dir):
+    _, _, scores = nb_parts(spark, sf_dir)
+    rows = corpus(spark, sf_dir).filter(F.col("label").isin(*LABELS)).select(F.col("msg_id").alias("id"), F.lower(F.trim("split")).alias("split"), "domain", "label")
+    right = ((1 - F.col("p_legit") >= 0.5) == (F.col("label") != "legit")).cast("double")
+    return rows.join(scores, "id").groupBy("split", "domain").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(right), 6).alias("scam_accuracy"))
+
+
+@query()
+def occlusion_topk(spark, sf_dir):
+    """Up to six words of every message with their impact."""
+    _, model, scores = nb_parts(spark, sf_dir)
+    return explain.occlusion(corpus(spark, sf_dir), model, cut(scores)).withColumnRenamed("id", "msg_id")
+
+
+@query(_NB.rstrip(", ") + " SELECT term, round(max(ln(p) - ln(1 - p)) FILTER (label = 'phishing') - max(ln(p) - ln(1 - p)) FILTER (label = 'legit'), 6) AS contrast FROM th GROUP BY term ORDER BY 2 DESC, term LIMIT 15")
+def shortcut_audit_nb(spark, sf_dir):
+    """The 15 terms that speak most for phishing: a top-k report."""
+    _, model, _ = nb_parts(spark, sf_dir)
+    own = lambda x: F.max(F.when(F.col("label") == x, F.col("yes")))
+    contrast = model.groupBy("term").agg(F.round(own("phishing") - own("legit"), 6).alias("contrast"))
+    return X.top(contrast, "contrast", 15)
+
+
+@query()
+def robustness_grid(spark, sf_dir):
+    """Share of validation scams still flagged, by disguise, rate and domain."""
+    from postmill.functions import attacks as A
+    from postmill.functions import udfs as U
+
+    _, model, _ = nb_parts(spark, sf_dir)
+    scams = corpus(spark, sf_dir).filter(F.col("label").isin("spam", "phishing") & (F.lower(F.trim("split")) == "val"))
+    grid = spark.createDataFrame([(a, r) for a in (*A.ATTACKS, "mixed") for r in (0.0, 0.3, 0.7)], "attack string, rate double")
+    out = F.col("text")
+    for name in (*A.ATTACKS, "mixed"):
+        out = F.when(F.col("attack") == name, A.attack(F.col("text"), F.col("msg_id"), name, F.col("rate"))).otherwise(out)
+    hit = scams.crossJoin(F.broadcast(grid)).select(F.concat_ws("|", "attack", "rate", "domain", "msg_id").alias("id"), "attack", "rate", "domain", U.normalise(out).alias("text"))
+    hit = cut(hit)
+    presence = hit.select("id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term"))
+    scores = M.nb_scores(presence, hit.select("id"), model)
+    flagged = (M.decide(F.col("p_legit"), F.col("p_spam"), F.col("p_phishing")) > 0).cast("double")
+    return hit.join(scores, "id").groupBy("attack", "rate", "domain").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(flagged), 4).alias("scam_recall"))
+
+
+@query()
+def lr_predict(spark, sf_dir):
+    """Accuracy of the balanced regression on hashed terms, by split and domain."""
+    rows = corpus(spark, sf_dir).withColumn("y", label_index(F.col("label"))).filter("y is not null").select("msg_id", "domain", "y", F.lower(F.trim("split")).alias("split"), "text")
+    rows = rows.withColumn("tokens", T.tokenize(F.col("text"))).drop("text")
+    vectors = cut(M.hashed_features(rows, X.word_ngrams(F.col("tokens"), 1, 2), size=1 << 14))
+    scored = M.logistic_regression(vectors.filter("split = 'train'"), vectors.filter("split in ('val', 'test')"), label="y", iterations=15)
+    return scored.groupBy("split", "domain").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg((F.col("prediction") == F.col("y")).cast("double")), 4).alias("accuracy"))
+
+
+@query()
+def embedding_lr(spark, sf_dir):
+    """The regression on given vectors, scaled to length 1: rows by label and prediction."""
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("y"), array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
+    vectors = Normalizer(inputCol="raw", outputCol="features").transform(vectors)
+    test = T.draw("9", F.col("vec_id")) < 0.2
+    scored = M.logistic_regression(vectors.filter(~test), vectors.filter(test), c=4.0, iterations=30)
+    return scored.groupBy("y", F.col("prediction").cast("int").alias("pred")).agg(F.count(F.lit(1)).alias("n_rows"))
