@@ -114,10 +114,12 @@ def reliability(df: DataFrame, by: Sequence[str], bins: int = 8) -> DataFrame:
     score = (1 - F.col("p_legit")).alias("s")
     scored = df.select(*by, score, (F.col("y") > 0).cast("double").alias("hit"))
     edges = scored.groupBy(*by).agg(F.percentile("s", F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("edges"))
+    a, e = scored.alias("a"), edges.alias("e")
     cond = F.lit(True)
     for c in by:
-        cond = cond & scored[c].eqNullSafe(edges[c])
-    binned = scored.join(F.broadcast(edges), cond).select(*(scored[c] for c in by), "s", "hit", F.size(F.filter("edges", lambda e: F.col("s") >= e)).alias("bin"))
+        cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"e.{c}"))
+    over = F.size(F.filter("edges", lambda x: F.col("s") >= x)).alias("bin")
+    binned = a.join(e, cond).select(*(F.col(f"a.{c}").alias(c) for c in by), "s", "hit", over)
     return binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean_score"), F.avg("hit").alias("scam_share"))
 
 
