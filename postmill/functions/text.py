@@ -115,7 +115,7 @@ def unpackage(c: Column) -> Column:
 
 def tidy(c: Column) -> Column:
     """Quoted lines dropped, blanks and blank lines squeezed."""
-    c = _chain(c, [(r"(?m)^[ \t\r\f\x0b]*>.*$", ""), (r"[ \t\r\f\x0b]+", " "), (r"\n[ \t\r\f\x0b]*(?:\n[ \t\r\f\x0b]*)+", "\n")])
+    c = _chain(c, [(r"(?m)^[ \t\r\f\x0b]*>.*$", ""), (r"[ \t\r\f\x0b]+", " "), (r"\n\s*\n+", "\n")])
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 

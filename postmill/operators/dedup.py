@@ -131,14 +131,19 @@ def hash_text(value: str) -> int:
     return h
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays of distinct values."""
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+def jaccard(a: str, b: str) -> float:
+    """Exact Jaccard similarity of the sets of SHINGLE-character substrings; a shorter text is one shingle."""
+    x, y = ({t[i : i + SHINGLE] for i in range(max(len(t) - SHINGLE + 1, 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
 
 
-def shingle_array(text: Column) -> Column:
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - SHINGLE + 1, F.lit(1)))
-    return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(SHINGLE))))
+def _alike(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pa.array([jaccard(a, b) >= threshold for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["lo", "hi"])
+
+    return run
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "msg_id", text_col: str = "text", threshold: float = 0.7, verify: bool = True) -> DataFrame:
@@ -155,7 +160,6 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "msg_id", text_col: str =
     if verify:
         a = rows.select(F.col("id").alias("lo"), F.col("text").alias("ta"))
         b = rows.select(F.col("id").alias("hi"), F.col("text").alias("tb"))
-        alike = similarity(shingle_array(F.col("ta")), shingle_array(F.col("tb"))) >= threshold
-        links = links.join(a, "lo").join(b, "hi").filter(alike).select("lo", "hi")
+        links = links.join(a, "lo").join(b, "hi").select("lo", "hi", "ta", "tb").mapInArrow(_alike(threshold), "lo bigint, hi bigint")
     found = connected_components(links, "lo", "hi").withColumnRenamed("node", "id")
     return rows.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("group"))

@@ -27,10 +27,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.judged(E.clean_predictions(table(spark, sf_dir, "run_predictions")))
 
 
-@query(_LAST.rstrip(", ") + " SELECT run, count(*) AS n_rows, count(DISTINCT domain) AS n_domains, round(avg(p_legit), 6) AS mean_legit FROM p GROUP BY run")
+@query(_LAST.rstrip(", ") + " SELECT run, count(*) AS n_rows, count(DISTINCT domain) AS n_domains, round(avg(p_legit), 4) AS mean_legit FROM p GROUP BY run")
 def predictions_latest(spark, sf_dir):
     last = E.clean_predictions(table(spark, sf_dir, "run_predictions"))
-    return last.groupBy("run").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("domain").alias("n_domains"), F.round(F.avg("p_legit"), 6).alias("mean_legit"))
+    return last.groupBy("run").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("domain").alias("n_domains"), F.round(F.avg("p_legit"), 4).alias("mean_legit"))
 
 
 @query(f"SELECT run, msg_id, p_legit, {_DECIDE} AS pred, round(ln(greatest(least(1 - p_legit, 1 - 1e-6), 1e-6) / (1 - greatest(least(1 - p_legit, 1 - 1e-6), 1e-6))), 6) AS scam_log_odds FROM run_predictions WHERE p_legit IS NOT NULL AND p_spam IS NOT NULL AND p_phishing IS NOT NULL")
@@ -102,9 +102,9 @@ def ece(spark, sf_dir):
 _EDGES = ", ".join(f"quantile_cont(s, {k / 8})" for k in range(1, 8))
 
 
-@query(_J + f"e AS (SELECT domain, [{_EDGES}] AS edges FROM j GROUP BY domain), b AS (SELECT j.domain, len(list_filter(edges, lambda x: s >= x)) AS bin, s, y FROM j JOIN e USING (domain)) SELECT domain, bin, count(*) AS n, round(avg(s), 5) AS mean_score, round(avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END), 5) AS scam_share FROM b GROUP BY ALL")
+@query(_J + f"e AS (SELECT domain, [{_EDGES}] AS edges FROM j GROUP BY domain), b AS (SELECT j.domain, len(list_filter(edges, lambda x: s >= x)) AS bin, s, y FROM j JOIN e USING (domain)) SELECT domain, bin, count(*) AS n, round(avg(s), 4) AS mean_score, round(avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END), 5) AS scam_share FROM b GROUP BY ALL")
 def quantile_reliability(spark, sf_dir):
-    return E.reliability(scored(spark, sf_dir), ["domain"]).select("domain", F.col("bin").cast("bigint").alias("bin"), "n", F.round("mean_score", 5).alias("mean_score"), F.round("scam_share", 5).alias("scam_share"))
+    return E.reliability(scored(spark, sf_dir), ["domain"]).select("domain", F.col("bin").cast("bigint").alias("bin"), "n", F.round("mean_score", 4).alias("mean_score"), F.round("scam_share", 5).alias("scam_share"))
 
 
 @query()
@@ -172,11 +172,11 @@ def index_align_check(spark, sf_dir):
     return joined.groupBy("run").agg(F.count(F.lit(1)).alias("n_rows"), F.count("t").alias("n_known"), F.count(F.when(wrong, 1)).alias("n_mismatched"))
 
 
-@query(_LAST.rstrip(", ") + " SELECT run, class, count(*) AS n, round(avg(p), 6) AS mean_p FROM (SELECT run, unnest(['p_legit', 'p_spam', 'p_phishing']) AS class, unnest([p_legit, p_spam, p_phishing]) AS p FROM p) GROUP BY ALL")
+@query(_LAST.rstrip(", ") + " SELECT run, class, count(*) AS n, round(avg(p), 4) AS mean_p FROM (SELECT run, unnest(['p_legit', 'p_spam', 'p_phishing']) AS class, unnest([p_legit, p_spam, p_phishing]) AS p FROM p) GROUP BY ALL")
 def unpivot_scores(spark, sf_dir):
     wide = E.clean_predictions(table(spark, sf_dir, "run_predictions")).select("run", "msg_id", "p_legit", "p_spam", "p_phishing")
     long = wide.unpivot(["run", "msg_id"], ["p_legit", "p_spam", "p_phishing"], "class", "p")
-    return long.groupBy("run", "class").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
+    return long.groupBy("run", "class").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 4).alias("mean_p"))
 
 
 _RUNS = ("s7", "s13", "s42")

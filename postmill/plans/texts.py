@@ -47,7 +47,7 @@ def deleet_tokens(spark, sf_dir):
     return corpus(spark, sf_dir).select("msg_id", T.deleet(F.col("text")).alias("deleeted"))
 
 
-@query("SELECT msg_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^[ \\t\\r\\f\\x0b]*>.*$', '', 'g'), '[ \\t\\r\\f\\x0b]+', ' ', 'g'), '\\n[ \\t\\r\\f\\x0b]*(\\n[ \\t\\r\\f\\x0b]*)+', E'\\n', 'g'), E' \\t\\n\\r\\x0b\\f') AS tidied FROM corpus")
+@query("SELECT msg_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^[ \\t\\r\\f\\x0b]*>.*$', '', 'g'), '[ \\t\\r\\f\\x0b]+', ' ', 'g'), '\\n[\\s\\x0b]*\\n+', E'\\n', 'g'), E' \\t\\n\\r\\x0b\\f') AS tidied FROM corpus")
 def tidy_text(spark, sf_dir):
     return corpus(spark, sf_dir).select("msg_id", T.tidy(F.col("text")).alias("tidied"))
 

@@ -27,9 +27,16 @@ def read_tsv(spark: SparkSession, path: str, domain: str = "sms", source: str =
     return _named(spark.read.schema(TWO_COLUMNS).csv(path, sep="\t", quote="", encoding="UTF-8"), domain, source, year)
 
 
+# Bytes 0x80-0x9f of Windows-1252, which the CSV reader knows as the controls of Latin-1 only.
+C1 = bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+
+
 def read_csv(spark: SparkSession, path: str, domain: str = "sms", source: str = "csv", year: int = 2022, encoding: str = "ISO-8859-1", header: bool = True, schema: StructType = TWO_COLUMNS) -> DataFrame:
     """Quoted CSV, any encoding the JVM knows; labels come out lower-cased, texts repaired."""
-    df = spark.read.schema(schema).csv(path, header=header, encoding=encoding, multiLine=True, escape='"')
+    windows = encoding.lower() in ("windows-1252", "cp1252")
+    df = spark.read.schema(schema).csv(path, header=header, encoding="ISO-8859-1" if windows else encoding, multiLine=True, escape='"')
+    if windows:
+        df = df.withColumn("text", F.translate("text", C1.decode("latin-1"), C1.decode("cp1252")))
     return _named(df.select(F.lower(F.trim("label")).alias("label"), U.fix_encoding("text").alias("text")), domain, source, year)
 
 
