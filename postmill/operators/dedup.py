@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postmill.functions import text as T
 from postmill.operators.components import connected_components
-from postmill.runtime import cut
+from postmill.runtime import cut, spread
 from postmill.schema import severity
 
 LEAST_KEY = 8
@@ -154,7 +154,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "msg_id", text_col: str =
     are left out.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), "domain", masked(F.col(text_col)).alias("text")).filter("id is not null and text is not null")
-    bands = cut(rows.mapInArrow(_bands, "id bigint, band bigint"))
+    bands = cut(spread(rows).mapInArrow(_bands, "id bigint, band bigint"))
     least = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("band", "lo")
     links = bands.join(least, "band").filter("id > lo").select("lo", F.col("id").alias("hi")).distinct()
     if verify:

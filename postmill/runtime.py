@@ -39,6 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in as many partitions as the session has cores, if a small file left most of them idle; untouched otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 _written: set[str] = set()
 
 
