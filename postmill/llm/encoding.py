@@ -81,11 +81,21 @@ def _undo(text: str, codec: str) -> str:
             restored = bytes(to_byte[ord(c)] for c in m.group()).decode("utf-8")
         except UnicodeDecodeError:
             return m.group()
-        return restored if all(map(_plausible_or_layer, restored)) else m.group()
+        sound = _sound_in_cyrillic(m, restored) if codec in CYRILLIC_CODECS else all(map(_plausible_or_layer, restored))
+        return restored if sound else m.group()
 
     return pattern.sub(back, text)
 
 
+def _sound_in_cyrillic(m: re.Match, restored: str) -> bool:
+    """Pairs of Cyrillic letters also stand in sound words (and in Latin ones written with look-alikes): a run counts only if it gives Latin letters or punctuation, or a whole Cyrillic word."""
+    if all("\xa0" <= c <= "\u017f" or "\u2010" <= c <= "\u203a" or c in "€™" for c in restored):
+        return True
+    text = m.string
+    edges = text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1]
+    return len(restored) > 1 and _cyrillic_word(restored) and not any(map(str.isalpha, edges))
+
+
 def _plausible_or_layer(c: str) -> bool:
     return _plausible(c) or 0x80 <= ord(c) < 0xA0
 

@@ -182,7 +182,7 @@ def test_copies(spark):
 
 # ---- 7 ---------------------------------------------------------------------------------------------------------------------------
 
-SOUND = ["It’s £5 for “café” – naïve Grüße à la façon", "Ваш заказ задержан, оплатите до пятницы", "20m² ½ price, NÃO feche", "plain ascii", "¿Quién dejó?"]
+SOUND = ["It’s £5 for “café” – naïve Grüße à la façon", "Ваш заказ задержан, оплатите до пятницы", "20m² ½ price, NÃO feche", "plain ascii", "¿Quién dejó?", "Ріck mе uр, Ні Іvо, Рiсе"]
 
 
 @pytest.mark.parametrize("codec", ["cp1252", "latin-1", "mac_roman", "cp437", "cp1250"])
