@@ -12,7 +12,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("corpus", "texts", "campaigns", "models", "evaluation", "answers", "relational")
+MODULES = ("corpus", "texts", "campaigns", "models", "evaluation", "answers", "relational", "experiments")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 

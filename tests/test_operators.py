@@ -181,3 +181,20 @@ def test_score_with_any_model(spark):
 def test_char_ngrams_stay_inside_words(spark):
     got = spark.createDataFrame([("Ab c",)], "t string").select(X.char_ngrams(F.col("t"), 2, 3).alias("g")).first().g
     assert sorted(got) == sorted([" a", "ab", "b ", " ab", "ab ", " c", "c ", " c "])
+
+
+def test_nearest_equals_brute_force(spark):
+    import numpy as np
+
+    from postmill.operators import neighbours
+
+    rng = np.random.default_rng(1)
+    data = {i: rng.normal(size=8).tolist() for i in range(200)}
+    data[7] = [0.0] * 8
+    rows = spark.createDataFrame([*data.items(), (999, None)], "vec_id bigint, embedding array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in data.items() if i != 7}
+    want = {(q, i) for q in range(0, 200, 20) for i in sorted((i for i in unit if i != q), key=lambda i: (-unit[q] @ unit[i], i))[:4]}
+    for size in (2048, 3):
+        neighbours.BLOCK = size
+        got = neighbours.nearest(rows.filter("vec_id % 20 = 0"), rows, 4)
+        assert {(r.query_id, r.id) for r in got.collect()} == want
