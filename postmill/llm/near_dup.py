@@ -13,12 +13,13 @@ Two texts of one domain are similar if the Jaccard similarity of their 5-charact
    which covers short texts; above that one part agrees with probability exp(-d / PARTS), which leaves a pair right at the
    threshold to chance now and then, while groups hang together by many pairs: brute force on 25,000 rows gives the same groups).
 3. Docs with equal parts meet in a bucket keyed by domain, band, part and parity. A bucket's rows, in a pseudo-random order that
-   differs from bucket to bucket, are proposed each to the first and to the one before: a linear number of proposals, never all
-   pairs, made in one pass that holds two ids. A doc that meets unlike docs in one bucket meets others in its remaining ones. No
+   differs from bucket to bucket, are proposed each to the first and to the one before: a linear number of proposals in one pass. No
    bucket can hold more than 1 / PARTS of a band's rows, so a campaign of a third of all rows is spread over many tasks.
 4. Proposals are verified exactly on whole texts, the one with most agreeing parts of each doc first; what then already lies in one
-   component needs no check; the rest is verified too.
-5. `connected_components` (large-star small-star) closes the groups.
+   component needs no check; the rest is verified too, and `connected_components` (large-star small-star) closes the groups.
+5. A bucket whose members then lie in one component is settled. Those of any other are compared exactly, each with every member of
+   another component, in pairs of blocks of BLOCK members, so that no task holds a bucket; the groups are closed once more. So
+   every two members of a bucket are in one group or were compared.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from postmill.runtime import cut, release, table
 
 K = 5
 PARTS, PER_PART, LEAST = 20, 6.5, 4
+BLOCK = 256  # members of a bucket that are compared at once with as many others
 SEEN = 500_000  # normalised texts a task remembers, to send each once
 CHUNK = 4096  # docs in one sort: 12 bits of the sort key, the other 52 are the shingle's hash
 _SPACE, _DIGIT = re.compile(r"\s+"), re.compile(r"\d")
@@ -177,13 +179,26 @@ def _verify(pairs: DataFrame, normal: DataFrame, threshold: float) -> DataFrame:
 def _pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket and turned id: each member of a bucket with the bucket's first and with the one before it.
 
-    Holds two ids between batches, whatever the size of a bucket.
+    A bucket of four rows or more, which so leaves pairs unproposed, also gives each of its rows once, as (null, id, bucket). Holds
+    five ids between batches, whatever the size of a bucket.
     """
     first_bucket = first = before = None
+    crowded, held = None, (np.empty(0, np.int64), np.empty(0, np.int64))
     for b in batches:
         bucket, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
         if not len(ids):
             continue
+        all_buckets, all_ids = np.concatenate((held[0], bucket)), np.concatenate((held[1], ids))
+        new = np.concatenate(([True], all_buckets[1:] != all_buckets[:-1]))
+        run = np.cumsum(new) - 1
+        many = (np.bincount(run) >= 4)[run]
+        if crowded is not None:
+            many |= all_buckets == crowded
+        members, of = all_ids[many], all_buckets[many]
+        if many[-1]:
+            crowded, held = all_buckets[-1], (all_buckets[:0], all_ids[:0])
+        else:
+            crowded, held = None, (all_buckets[run == run[-1]], all_ids[run == run[-1]])
         new = np.concatenate(([first_bucket is None or bucket[0] != first_bucket], bucket[1:] != bucket[:-1]))
         start = np.maximum.accumulate(np.where(new, np.arange(len(ids)), -1))
         head = np.where(start >= 0, ids[start], first if first is not None else ids[0])
@@ -192,14 +207,90 @@ def _pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, c = np.concatenate((who, who)), np.concatenate((head, last))
         first_bucket, first, before = bucket[-1], (ids[start[-1]] if start[-1] >= 0 else first), ids[-1]
         keep = a != c
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)[keep]), pa.array(np.maximum(a, c)[keep])], names=["lo", "hi"])
+        lo, hi = np.minimum(a, c)[keep], np.maximum(a, c)[keep]
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(lo), pa.nulls(len(members), pa.int64())]), pa.array(np.concatenate((hi, members))), pa.concat_arrays([pa.nulls(len(lo), pa.int64()), pa.array(of)])],
+            names=["lo", "hi", "bucket"],
+        )
 
 
-def _proposals(sketch: DataFrame, parts: int) -> DataFrame:
-    """(lo, hi, votes) from (bucket, id): one shuffle by bucket, one pass over its sorted rows."""
+def _proposals(sketch: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lo, hi, votes), and (bucket, id) of the buckets with unproposed pairs, and the table of both, from (bucket, id): one shuffle by bucket, one pass over its sorted rows."""
     turned = F.col("id").bitwiseXOR(F.col("bucket").bitwiseAND(F.lit(_ID_BITS)))
     met = sketch.repartition(parts, "bucket").sortWithinPartitions("bucket", turned).select("bucket", "id")
-    return met.mapInArrow(_pairing, "lo bigint, hi bigint").groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("votes"))
+    met = met.mapInArrow(_pairing, "lo bigint, hi bigint, bucket bigint").groupBy("lo", "hi", "bucket").agg(F.count(F.lit(1)).alias("votes"))
+    met = cut(met)
+    return met.filter("bucket is null").select("lo", "hi", "votes"), met.filter("bucket is not null").select("bucket", F.col("hi").alias("id")), met
+
+
+def _open_members(crowded: DataFrame, member: DataFrame, close: DataFrame) -> DataFrame:
+    """(bucket, rep, component, n) of the buckets whose members lie in several components; of buckets with the same members one."""
+    named = crowded.join(member, "id").select("bucket", "rep").distinct()
+    placed = named.join(close.withColumnsRenamed({"node": "rep"}), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    marks = placed.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(rep, 1))").alias("y"), F.min("component").alias("least"), F.max("component").alias("most")
+    )
+    one = marks.filter("least < most and n > 2").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    return placed.join(one, "bucket")
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """(bucket, i, j, slot, rep, component): every member in each pair of blocks that holds its own block."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumn("slot", F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return met.select("bucket", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "rep", "component")
+
+
+def overlaps(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles that each of `left` shares with each of `right`, and the shingles of either."""
+    texts = left + right
+    keys = np.concatenate([shingle_keys(texts[at : at + CHUNK]) for at in range(0, len(texts), CHUNK)])
+    ends = np.cumsum([0] + [len(texts[at : at + CHUNK]) for at in range(0, len(texts), CHUNK)])
+    doc = (keys >> np.uint64(52)).astype(np.int64)
+    doc += ends[np.cumsum(np.concatenate(([0], np.diff(doc) < 0)))] if len(doc) else 0
+    n = np.bincount(doc, minlength=len(texts))
+    _, column, times = np.unique(keys & np.uint64((1 << 52) - 1), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    doc, column = doc[shared[column]], place[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(shared.sum()), 4096):
+        a, z = np.searchsorted(column, (at, at + 4096))
+        held = np.zeros((len(texts), 4096), np.float32)
+        held[doc[a:z], column[a:z] - at] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out.astype(np.int64), n[: len(left)], n[len(left) :]
+
+
+def _block_links(threshold: float):
+    """Links between different components in one pair of blocks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        slot, rep, component = (t.column(c).to_numpy() for c in ("slot", "rep", "component"))
+        lo, hi = [], []
+        lefts, rights = np.nonzero(slot == i)[0], np.nonzero(slot == j)[0]
+        texts = t.column("norm").to_pylist()
+        for a in range(0, len(lefts), BLOCK):  # a block may come out somewhat larger than BLOCK
+            for b in range(0, len(rights), BLOCK):
+                left, right = lefts[a : a + BLOCK], rights[b : b + BLOCK]
+                both, n, m = overlaps([texts[k] for k in left], [texts[k] for k in right])
+                total = n[:, None] + m[None, :] - both
+                good = (both >= (threshold - 1e-12) * total) & (component[left][:, None] != component[right][None, :])
+                x, y = np.nonzero(good)
+                lo.append(rep[left[x]]), hi.append(rep[right[y]])
+        lo, hi = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (lo, hi))
+        return pa.table({"lo": pa.array(np.minimum(lo, hi)), "hi": pa.array(np.maximum(lo, hi))})
+
+    return run
+
+
+def _bucket_links(members: DataFrame, normal: DataFrame, threshold: float) -> DataFrame:
+    met = _block_pairs(members).join(normal.select(F.col("id").alias("rep"), "norm"), "rep")
+    return met.groupBy("bucket", "i", "j").applyInArrow(_block_links(threshold), "lo bigint, hi bigint").distinct()
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -223,7 +314,7 @@ def near_duplicates(df: DataFrame, id_col: str = "msg_id", text_col: str = "text
     member = cut(k.join(m, F.expr("k.domain <=> m.domain and k.key = m.key")).select("k.id", "m.rep"))
     release(keyed)
     parts = max(12, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = _proposals(rows.mapInArrow(_sketcher(threshold), "id bigint, bucket bigint"), parts)
+    met, crowded, proposed = _proposals(rows.mapInArrow(_sketcher(threshold), "id bigint, bucket bigint"), parts)
     lo, hi = (member.withColumnsRenamed({"id": side, "rep": f"{side}_rep"}) for side in ("lo", "hi"))
     named = met.join(lo, "lo").join(hi, "hi").filter("lo_rep <> hi_rep")
     pairs = cut(named.groupBy(F.least("lo_rep", "hi_rep").alias("lo"), F.greatest("lo_rep", "hi_rep").alias("hi")).agg(F.sum("votes").alias("votes")))
@@ -236,7 +327,10 @@ def near_duplicates(df: DataFrame, id_col: str = "msg_id", text_col: str = "text
     more = cut(_verify(_apart(pairs, close), texts, threshold))
     links = links.union(more)
     close = cut(connected_components(links, "lo", "hi"))
-    release(pairs, texts)
+    members = cut(_open_members(crowded, member, close))
+    rest = cut(_bucket_links(members, texts, threshold))
+    close = cut(connected_components(links.union(rest), "lo", "hi"))
+    release(pairs, texts, proposed, members)
     out = member.join(close.withColumnsRenamed({"node": "rep"}), "rep", "left")
     # ids of a class: the least id overall is the least representative, as a representative is the least id of its copies
     return out.select("id", F.coalesce("component", "rep").alias("class_id"))

@@ -68,6 +68,38 @@ def test_hot_campaign_is_one_class(spark):
     assert [r.class_id for r in out.select("class_id").distinct().collect()] == [1]
 
 
+def test_pairs_among_unlike_rows_of_one_bucket_are_found(spark, monkeypatch):
+    def one_bucket(threshold):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([7] * b.num_rows, pa.int64())], names=["id", "bucket"])
+
+        return run
+
+    monkeypatch.setattr(near_dup, "_sketcher", one_bucket)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80)) for _ in range(60)]
+    rows = [(k, "sms", x) for k, x in enumerate(texts, 1)] + [(60 + k, "sms", x + "xyz") for k, x in enumerate(texts[:30], 1)]
+    rng.shuffle(rows)
+    got = {r.id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "msg_id bigint, domain string, text string")).collect()}
+    assert got == {k: k - 60 if k > 60 else k for k in range(1, 91)}
+
+
+def test_crowded_buckets_are_given_whole_whatever_the_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = [1, 4, 2, 9, 3, 5]
+    bucket, ids = np.repeat(np.arange(6), sizes), np.arange(sum(sizes))
+    for step in (1, 2, 3, 5, 50):
+        batches = [pa.RecordBatch.from_arrays([pa.array(bucket[k : k + step]), pa.array(ids[k : k + step])], names=["bucket", "id"]) for k in range(0, len(ids), step)]
+        out = [r for b in near_dup._pairing(iter(batches)) for r in b.to_pylist() if r["bucket"] is not None]
+        assert sorted((r["bucket"], r["hi"]) for r in out) == [(int(b), int(k)) for b, k in zip(bucket, ids) if sizes[b] >= 4]
+
+
 def test_parity_parts_bound_the_difference():
     import numpy as np
 
