@@ -6,12 +6,11 @@ Two texts of one domain are similar if the Jaccard similarity of their 5-charact
 1. Texts that normalise alike have one representative (the least id); each task sketches a text once, however often it comes, and
    what the sketches of copies propose is counted for their representatives.
 2. Shingles are hashed; a doc of n shingles lies in the size band floor(log(n) / log(1 / threshold)), so similar docs lie in one band
-   or in neighbouring bands, and every doc is sketched for its own band and the next. A band's sketch splits the hash space into
+   or in neighbouring bands, and every doc is sketched for its own band and the next, SKETCHES times with independent hashes. A sketch splits the hash space into
    PARTS parts, samples the shingles at a rate that leaves about PER_PART in each part, and XORs the hashes of a part: the parity
    of the part's tokens. A shingle in just one of two docs changes the parity of one part, so the number of parts that differ is a
    lower bound of the symmetric difference; with at most d differences among PARTS parts some part agrees (always for d < PARTS,
-   which covers short texts; above that one part agrees with probability exp(-d / PARTS), which leaves a pair right at the
-   threshold to chance now and then, while groups hang together by many pairs: brute force on 25,000 rows gives the same groups).
+   which covers short texts; above that one part agrees with probability exp(-d / PARTS), so the sketches are repeated).
 3. Docs with equal parts meet in a bucket keyed by domain, band, part and parity. A bucket's rows, in a pseudo-random order that
    differs from bucket to bucket, are proposed each to the first and to the one before: a linear number of proposals in one pass. No
    bucket can hold more than 1 / PARTS of a band's rows, so a campaign of a third of all rows is spread over many tasks.
@@ -25,6 +24,7 @@ Two texts of one domain are similar if the Jaccard similarity of their 5-charact
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -38,7 +38,7 @@ from postmill.operators.components import connected_components
 from postmill.runtime import cut, release, table
 
 K = 5
-PARTS, PER_PART, LEAST = 20, 6.5, 4
+SKETCHES, PARTS, PER_PART, LEAST = 3, 20, 4.5, 4
 BLOCK = 256  # members of a bucket that are compared at once with as many others
 SEEN = 500_000  # normalised texts a task remembers, to send each once
 CHUNK = 4096  # docs in one sort: 12 bits of the sort key, the other 52 are the shingle's hash
@@ -90,19 +90,20 @@ def sketch_parts(texts: list[str], salt: np.ndarray, threshold: float) -> tuple[
     hashed = keys & np.uint64((1 << 52) - 1)
     n = np.bincount(doc, minlength=len(texts))
     docs, buckets = [], []
-    for up in (0, 1):
+    for turn, up in itertools.product(range(SKETCHES), (0, 1)):
+        turned = _mix(hashed + _ODD[2] * np.uint64(turn)) if turn else hashed
         band = band_of(n, threshold) + up
         floor_n = np.power(1 / threshold, band)
         rate = np.minimum(1.0, PARTS * PER_PART / floor_n)
-        keep = ((hashed >> np.uint64(20)) & np.uint64(0xFFFFF)) < (rate[doc] * (1 << 20)).astype(np.uint64)
-        slot = doc[keep] * PARTS + (hashed[keep] % np.uint64(PARTS)).astype(np.int64)
+        keep = ((turned >> np.uint64(20)) & np.uint64(0xFFFFF)) < (rate[doc] * (1 << 20)).astype(np.uint64)
+        slot = doc[keep] * PARTS + (turned[keep] % np.uint64(PARTS)).astype(np.int64)
         parity = np.zeros(len(texts) * PARTS, np.uint64)
         np.bitwise_xor.at(parity, slot, _mix(hashed[keep] + np.uint64(1)))
         filled = np.bincount(slot, minlength=len(parity))
         least = np.clip(np.minimum(n, PARTS * PER_PART) // PARTS, 1, LEAST)
         at = np.nonzero(filled >= np.repeat(least, PARTS))[0]
         who = at // PARTS
-        label = (band[who] * PARTS + at % PARTS).astype(np.uint64) * _ODD[1] ^ salt[who]
+        label = ((band[who] * SKETCHES + turn) * PARTS + at % PARTS).astype(np.uint64) * _ODD[1] ^ salt[who]
         docs.append(who)
         buckets.append(_mix(parity[at] + label))
     return np.concatenate(docs), np.concatenate(buckets)

@@ -111,6 +111,24 @@ def test_parity_parts_bound_the_difference():
     assert len(shared) >= near_dup.PARTS - 12
 
 
+@pytest.mark.parametrize("length", [60, 150, 400, 1200, 2000])
+@pytest.mark.parametrize("inserted", [False, True])
+def test_links_at_the_threshold_are_met(length, inserted):
+    import numpy as np
+
+    rng = random.Random(length)
+    fill = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz  ", k=n))
+    texts = []
+    for _ in range(200):
+        a, m = fill(length), int(length * 0.295 / 1.705)
+        texts += [a, a + fill(int(length * 0.295 / 0.705)) if inserted else a[: length // 2] + fill(m) + a[length // 2 + m :]]
+    who, bucket = near_dup.sketch_parts(texts, np.zeros(len(texts), np.uint64), 0.7)
+    parts = [set() for _ in texts]
+    for k, b in zip(who.tolist(), bucket.tolist()):
+        parts[k].add(b)
+    assert sum(not parts[k] & parts[k + 1] for k in range(0, 400, 2)) <= 4
+
+
 # ---- 3 ---------------------------------------------------------------------------------------------------------------------------
 
 
