@@ -26,10 +26,11 @@ _HIGH = re.compile(r"[^\x00-\x7f]")
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 CYRILLIC_CODECS = ("cp1251", "koi8-r", "iso8859-5")
 _LATIN_TOP = re.compile("(?<![A-Za-z])[\xc0-\xff\xb8\xa8]{2,}(?![A-Za-z])")
+UNAMBIGUOUS = 5  # letters in words of nothing but Latin-1's upper half: no sound Latin text has so many
 COMMON_CYRILLIC = "оеаинтсрвлкмдпу"
 
-# Blocks a restored character may come from (first and last code point).
-PLAUSIBLE = ((0xA0, 0x17F), (0x1CD, 0x21B), (0x2C6, 0x2DD), (0x300, 0x304), (0x370, 0x3FF), (0x400, 0x45F), (0x490, 0x491), (0x501, 0x51D), (0x1E00, 0x1EFF), (0x2009, 0x2026), (0x202F, 0x203A), (0x2060, 0x2060), (0x20A0, 0x20BF), (0x2100, 0x2122), (0x2190, 0x21FF), (0x2200, 0x22FF), (0x2310, 0x2321), (0x2500, 0x27BF), (0xFB00, 0xFB06), (0xFE0F, 0xFE0F), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E), (0xFFFD, 0xFFFD), (0x1F000, 0x1FAFF))
+# Blocks a single restored character may come from (first and last code point); others need the evidence of `_other_script`.
+PLAUSIBLE = ((0xA0, 0x17F), (0x1CD, 0x21B), (0x2C6, 0x2DD), (0x300, 0x304), (0x370, 0x3FF), (0x400, 0x45F), (0x490, 0x491), (0x501, 0x51D), (0x1E00, 0x1EFF), (0x2000, 0x2026), (0x202F, 0x203A), (0x2060, 0x2060), (0x20A0, 0x20BF), (0x2100, 0x2122), (0x2190, 0x21FF), (0x2200, 0x22FF), (0x2310, 0x2321), (0x2500, 0x27BF), (0x3000, 0x3002), (0xFB00, 0xFB06), (0xFE0F, 0xFE0F), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E), (0xFFFD, 0xFFFD), (0x1F000, 0x1FAFF))
 
 
 def _single_bytes(codec: str) -> list[str | None]:
@@ -81,7 +82,7 @@ def _undo(text: str, codec: str) -> str:
             restored = bytes(to_byte[ord(c)] for c in m.group()).decode("utf-8")
         except UnicodeDecodeError:
             return m.group()
-        sound = _sound_in_cyrillic(m, restored) if codec in CYRILLIC_CODECS else all(map(_plausible_or_layer, restored))
+        sound = _sound_in_cyrillic(m, restored) if codec in CYRILLIC_CODECS else all(map(_plausible_or_layer, restored)) or _other_script(restored)
         return restored if sound else m.group()
 
     return pattern.sub(back, text)
@@ -96,6 +97,21 @@ def _sound_in_cyrillic(m: re.Match, restored: str) -> bool:
     return len(restored) > 1 and _cyrillic_word(restored) and not any(map(str.isalpha, edges))
 
 
+@lru_cache(maxsize=65536)
+def _script(c: str) -> str:
+    """The script of a letter beyond Latin, by the first word of its name; the scripts that East Asian text mixes are one."""
+    if c < "\u0250" or unicodedata.category(c)[0] != "L":
+        return ""
+    name = re.split("[ -]", unicodedata.name(c, ""), maxsplit=1)[0]
+    return {"HIRAGANA": "CJK", "KATAKANA": "CJK", "HANGUL": "CJK", "BOPOMOFO": "CJK", "FULLWIDTH": "", "HALFWIDTH": "CJK", "LATIN": "", "MODIFIER": ""}.get(name, name)
+
+
+def _other_script(text: str) -> bool:
+    """Assigned characters with at least two letters beyond Latin, all of one script: two letters side by side do not come out of sound text by chance."""
+    scripts = [x for x in map(_script, text) if x]
+    return len(scripts) > 1 and len(set(scripts)) == 1 and all(_plausible_or_layer(c) or _script(c) or (c >= "\u0590" and unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs")) for c in text)
+
+
 def _plausible_or_layer(c: str) -> bool:
     return _plausible(c) or 0x80 <= ord(c) < 0xA0
 
@@ -105,15 +121,16 @@ def _cyrillic_word(word: str) -> bool:
 
 
 def _undo_cyrillic(text: str) -> str:
-    """Words of Latin-1's upper half read again as Cyrillic, if at least three of them and most of what they hold fit one encoding."""
+    """Words of Latin-1's upper half read again as Cyrillic, if most of them fit one encoding: three of them, or fewer of UNAMBIGUOUS letters together."""
     words = _LATIN_TOP.findall(text)
-    if len(words) < 3:
+    if not words or 2 * min(cost(_undo(text, c)) for c in ("cp1252", "latin-1")) <= cost(text):  # UTF-8 in Latin's letters
         return text
+    least = 3 if sum(map(len, words)) < UNAMBIGUOUS else 1
     best, codec_of = 0.0, ""
     for codec in CYRILLIC_CODECS:
         tried = [w.encode("latin-1").decode(codec, "replace") for w in words]
         good = [w for w in tried if _cyrillic_word(w)]
-        if len(good) >= max(3, 0.8 * len(tried)):
+        if len(good) >= max(least, 0.8 * len(tried)):
             weight = sum(w.lower().count(c) for w in good for c in COMMON_CYRILLIC) / sum(map(len, tried))
             if weight > best:
                 best, codec_of = weight, codec

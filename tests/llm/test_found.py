@@ -259,6 +259,19 @@ def test_cyrillic_read_as_latin_and_lost_characters():
     assert encoding.is_garbled("caf�") and encoding.is_garbled("don\x92t")
 
 
+@pytest.mark.parametrize("text", ["你好，世界", "안녕하세요", "สวัสดีครับ", "مرحبا بالعالم", "שלום עולם", "नमस्ते दुनिया", "こんにちは カタカナ", "a\u2003b\u3000c"])
+def test_scripts_beyond_europe_are_restored(text):
+    chars = encoding._single_bytes("cp1252")
+    bad = "".join(chars[b] or chr(b) for b in text.encode())
+    assert encoding.restore(bad)[0] == text and encoding.is_garbled(bad)
+    assert encoding.restore(text) == (text, 0) and not encoding.is_garbled(text)
+
+
+def test_one_cyrillic_word_read_as_latin():
+    assert encoding.restore("Hello Привет".encode("cp1251").decode("cp1252"))[0] == "Hello Привет"
+    assert encoding.restore("ÀÉÈ naïve") == ("ÀÉÈ naïve", 0)
+
+
 # ---- 1 ---------------------------------------------------------------------------------------------------------------------------
 
 MAIL = """Subject: Re: plan
