@@ -325,6 +325,14 @@ def test_recurring_closing_lines_of_a_sender(spark):
     assert old == {(1, 4), (1, 5), (2, 4), (2, 5)}
 
 
+def test_a_signature_above_a_long_quotation_is_evidence(spark):
+    block, quoted = "Weird Street Choir\nTuesdays in the hall", "\n".join(f"> old line {k}" for k in range(20))
+    rows = [(k, f"Subject: s{k}\nBody number {k} is here today.\n\n{block}\n\n{quoted}", "s", None) for k in (1, 2)]
+    df = spark.createDataFrame(rows, "msg_id bigint, text string, sender string, sent_at timestamp")
+    old = {(r.id, r.line_no) for r in newtext.judged_lines(df).filter("not is_new").collect()}
+    assert {(1, 4), (1, 5), (2, 4), (2, 5)} <= old
+
+
 # ---- 8 ---------------------------------------------------------------------------------------------------------------------------
 
 
