@@ -224,7 +224,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, nos, keys, kinds, closings, bodies = [], [], [], [], [], []
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             found = verdicts(text)
-            body = _key("\n".join(x for x, v in found if v == NEW and x)[:160])
+            body = _key("\n".join(x for x, v in found if v == NEW and x))
             filled = [k for k, (x, v) in enumerate(found) if x and v != OLD]
             closing = set(filled[-CLOSING_LINES:])
             for k, (line, v) in enumerate(found):

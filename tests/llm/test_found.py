@@ -333,6 +333,14 @@ def test_a_signature_above_a_long_quotation_is_evidence(spark):
     assert {(1, 4), (1, 5), (2, 4), (2, 5)} <= old
 
 
+def test_mails_with_a_common_opening_differ(spark):
+    block, opening = "Weird Street Choir\nTuesdays in the hall", "We write to every member of the club once a week. " * 4
+    rows = [(k, f"Subject: s\n{opening}\nBody number {k} is here today.\n\n{block}", "s", None) for k in (1, 2)]
+    df = spark.createDataFrame(rows, "msg_id bigint, text string, sender string, sent_at timestamp")
+    old = {(r.id, r.line_no) for r in newtext.judged_lines(df).filter("not is_new").collect()}
+    assert old == {(1, 5), (1, 6), (2, 5), (2, 6)}
+
+
 # ---- 8 ---------------------------------------------------------------------------------------------------------------------------
 
 
