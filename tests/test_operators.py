@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,29 @@ def test_near_duplicate_groups(spark):
         assert {r.id: r.group for r in dedup.near_duplicate_groups(df, verify=verify).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_registered_campaigns_link_every_shared_band(spark, monkeypatch):
+    from postmill.plans import campaigns
+
+    rng = random.Random(4)
+    words = ["parcel", "held", "fee", "river", "garden", "ticket", "window", "branch", "copper", "lantern", "market", "saddle"]
+    rows = []
+    for k in range(40):
+        base = [rng.choice(words) for _ in range(24)]
+        for _ in range(5):
+            edited = list(base)
+            for at in rng.sample(range(24), 4):
+                edited[at] = rng.choice(words)
+            rows.append((len(rows) + 1, "sms", " ".join(edited)))
+    monkeypatch.setattr(campaigns, "corpus", lambda spark, sf_dir: spark.createDataFrame(rows, "msg_id bigint, domain string, text string"))
+    batch = pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*rows)], names=["id", "domain", "text"])
+    bands = {}
+    for b in dedup._bands(iter([batch])):
+        for r in b.to_pylist():
+            bands.setdefault(r["band"], []).append(r["id"])
+    expected = {r[0]: r[0] for r in rows} | union_find([(m[0], x) for m in bands.values() for x in m[1:]])
+    assert {r.msg_id: r.campaign for r in campaigns.minhash_groups(spark, "").collect()} == expected
+
+
 def test_no_group_in_two_splits(spark):
     rows = [(i, i % 50, "sms_archive", "spam" if i % 3 else "legit", 2011) for i in range(500)]
     df = split.campaign_split(spark.createDataFrame(rows, "msg_id bigint, `group` bigint, source string, label string, year int"))
