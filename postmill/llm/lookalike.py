@@ -2,8 +2,9 @@
 
 The skeleton of a text: every character decomposed (canonically, and by compatibility for widths, fonts and letter ligatures), every
 piece replaced by its prototype from the table of look-alikes, decomposed again. What is invisible goes, every kind of blank becomes
-a blank of one width, every kind of line break a line feed. Blanks and line breaks keep their number; case, quotation marks, dashes,
-superscripts and accents stay, as they show. Texts compare equal by skeleton exactly if they look the same.
+a blank of one width. Blanks keep their number; tabs, carriage returns, line and paragraph separators stay what they are, as they move
+what follows them otherwise than a blank or a line feed does; case, quotation marks, dashes, superscripts and accents stay, as they
+show. Texts compare equal by skeleton exactly if they look the same.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ ARMENIAN = ("ՕՍԼօհոսցզյք", "OULohnugqjp")
 LATIN = ("ɡɑıȷℓ", "gaijl")
 HYPHENS = "\u2010\u2011\u2043\u02d7\u2212\u2796\ufe63\uff0d"
 INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
-LINE_BREAKS = "\u2028\u2029"
+LAYOUT = "\t\n\r\u2028\u2029"
 
 PROTOTYPE = {ord(a): b for source, target in (CYRILLIC, GREEK, ARMENIAN, LATIN) for a, b in zip(source, target, strict=True)} | {ord(c): "-" for c in HYPHENS}
 SHOWN_FORMS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
@@ -53,9 +54,9 @@ class _Skeleton(dict):
         point, kind = ord(c), unicodedata.category(c)
         if point in PROTOTYPE:
             return PROTOTYPE[point]
-        if c in LINE_BREAKS or c in "\n\r":
-            return "\n"
-        if kind == "Zs" or c == "\t":
+        if c in LAYOUT:
+            return c
+        if kind == "Zs":
             return " "
         if kind in ("Cf", "Cc") or c in INVISIBLE or 0xFE00 <= point <= 0xFE0F or 0xE0100 <= point <= 0xE01EF:
             return ""
@@ -66,7 +67,7 @@ _TABLE = _Skeleton()
 
 
 def skeleton(text: str) -> str:
-    flat = text.replace("\r\n", "\n").translate(_TABLE)
+    flat = text.translate(_TABLE)
     return flat if flat.isascii() else unicodedata.normalize("NFD", flat)
 
 
@@ -88,18 +89,32 @@ def one_form(df: DataFrame, id_col: str = "msg_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_forms, f"id {df.schema[id_col].dataType.simpleString()}, form string")
 
 
-def lookalike_pairs(df: DataFrame, id_col: str = "msg_id", text_col: str = "text") -> DataFrame:
-    """(a, b), a < b, for all pairs of rows whose texts differ and have one skeleton.
+def lookalike_classes(df: DataFrame, id_col: str = "msg_id", text_col: str = "text") -> DataFrame:
+    """(id, spelling_id, class_id) for each row whose text has a look-alike: the least id with the same text, and the least with the same skeleton.
 
-    Rows without id or text are left out; repeated ids give one pair. Only rows of a skeleton that occurs with two texts or more are
-    joined, on digests; the pairs are the result as stated, so a skeleton that many rows share in many spellings costs what it returns.
+    Rows without id or text are left out, and so are rows whose skeleton has one spelling only; a repeated row comes out again. Two
+    aggregates with map-side combine, on digests, so a skeleton that a third of all rows share is a few rows a task before any shuffle.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     seen = cut(rows.mapInArrow(_digests, "id bigint, look binary, own bigint"))
-    varied = seen.groupBy("look").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("look")
-    some = cut(seen.join(varied, "look", "left_semi"))
-    a, b = (some.select("look", F.col("own").alias(f"own_{s}"), F.col("id").alias(s)) for s in "ab")
-    return a.join(b, "look").filter("a < b and own_a <> own_b").select("a", "b").distinct()
+    spelled = seen.groupBy("look", "own").agg(F.min("id").alias("spelling_id"))
+    varied = spelled.groupBy("look").agg(F.min("spelling_id").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return seen.join(spelled.join(varied, "look"), ["look", "own"]).select("id", "spelling_id", "class_id")
+
+
+def lookalike_pairs(df: DataFrame, id_col: str = "msg_id", text_col: str = "text") -> DataFrame:
+    """(a, b), a < b, for all pairs of rows whose texts differ and have one skeleton; repeated ids give one pair.
+
+    Spellings of one class are paired by their representatives first, and the members of either spelling set against each other after;
+    the pairs are the result as stated, so a class of many rows costs what it returns. `lookalike_classes` is linear.
+    """
+    member = cut(lookalike_classes(df, id_col, text_col).distinct())
+    spelled = member.select("spelling_id", "class_id").distinct()
+    a, b = (spelled.select("class_id", F.col("spelling_id").alias(f"spelling_{s}")) for s in "ab")
+    unlike = a.join(b, "class_id").filter("spelling_a < spelling_b").select("spelling_a", "spelling_b")
+    x, y = (member.select(F.col("spelling_id").alias(f"spelling_{s}"), F.col("id").alias(s)) for s in "ab")
+    pairs = unlike.join(x, "spelling_a").join(y, "spelling_b").filter("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

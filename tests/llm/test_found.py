@@ -136,7 +136,7 @@ def test_links_at_the_threshold_are_met(length, inserted):
     "a, b, same",
     [
         ("paypal", "раураl", True), ("office", "oﬃce", True), ("ＦＲＥＥ", "FREE", True), ("café", "café", True), ("a b", "a b", True),
-        ("a​b", "ab", True), ("co-op", "co‑op", True), ("a\r\nb", "a\nb", True), ("cafe", "café", False), ("a  b", "a b", False),
+        ("a​b", "ab", True), ("co-op", "co‑op", True), ("a\r\nb", "a\nb", False), ("a\tb", "a b", False), ("a\tb", "a\u200b\tb", True), ("cafe", "café", False), ("a  b", "a b", False),
         ("Free", "free", False), ("“a”", '"a"', False), ("m²", "m2", False), ("a\n\nb", "a\nb", False),
     ],
 )
@@ -148,6 +148,8 @@ def test_lookalike_pairs(spark):
     rows = [(1, "hello"), (2, "hеllo"), (3, "hello"), (4, "Hello"), (5, "hello​"), (6, "other")]
     got = {(r.a, r.b) for r in lookalike.lookalike_pairs(spark.createDataFrame(rows, "msg_id bigint, text string")).collect()}
     assert got == {(1, 2), (1, 5), (2, 3), (2, 5), (3, 5)}
+    classes = {(r.id, r.spelling_id, r.class_id) for r in lookalike.lookalike_classes(spark.createDataFrame(rows, "msg_id bigint, text string")).collect()}
+    assert classes == {(1, 1, 1), (2, 2, 1), (3, 1, 1), (5, 5, 1)}
 
 
 # ---- 4 ---------------------------------------------------------------------------------------------------------------------------
@@ -223,16 +225,17 @@ def test_copies(spark):
     rows = [
         (1, "sms", "Hello, World 1"), (2, "sms", "hello world1"), (3, "email", "hello world1"), (4, "sms", "Name: A; Cost: 5; Day: x"),
         (5, "sms", "Day = X\nName = a\nCost = 5"), (6, "sms", "name a cost 5 day x"), (7, "sms", "Name: A; Cost: 5"), (8, "sms", "Cost: 5; Name: A"), (9, "sms", "Hello, World 1"),
+        (10, "email", "Plan: B; Sum: 7; Hour: y"), (11, "email", "Hour: y; Plan: B; Sum: 7"), (12, "sms", "plan b sum 7 hour y"), (13, "sms", "hour y plan b sum 7"),
     ]
     df = spark.createDataFrame(rows, "msg_id bigint, domain string, text string")
     got = {(r.id, r.keep_id) for r in copies.copy_members(df).collect()}
-    assert got == {(1, 1), (2, 1), (9, 1), (3, 3), (4, 4), (5, 4), (6, 4), (7, 7), (8, 8)}
-    assert {(r.keep_id, r.domain, r.copies) for r in copies.collapse_copies(df).collect()} == {(1, "sms", 3), (3, "email", 1), (4, "sms", 3), (7, "sms", 1), (8, "sms", 1)}
+    assert got == {(1, 1), (2, 1), (9, 1), (3, 3), (4, 4), (5, 4), (6, 4), (7, 7), (8, 8), (10, 10), (11, 10), (12, 12), (13, 13)}
+    assert {(r.keep_id, r.domain, r.copies) for r in copies.collapse_copies(df).collect()} == {(1, "sms", 3), (3, "email", 1), (4, "sms", 3), (7, "sms", 1), (8, "sms", 1), (10, "email", 2), (12, "sms", 1), (13, "sms", 1)}
 
 
 # ---- 7 ---------------------------------------------------------------------------------------------------------------------------
 
-SOUND = ["It’s £5 for “café” – naïve Grüße à la façon", "Ваш заказ задержан, оплатите до пятницы", "20m² ½ price, NÃO feche", "plain ascii", "¿Quién dejó?", "Ріck mе uр, Ні Іvо, Рiсе"]
+SOUND = ["It’s £5 for “café” – naïve Grüße à la façon", "Ваш заказ задержан, оплатите до пятницы", "20m² ½ price, NÃO feche", "plain ascii", "¿Quién dejó?", "Ріck mе uр, Ні Іvо, Рiсе", "Það var góðæri í fyrra", "ærið ðæ"]
 
 
 @pytest.mark.parametrize("codec", ["cp1252", "latin-1", "mac_roman", "cp437", "cp1250"])
@@ -270,6 +273,14 @@ def test_scripts_beyond_europe_are_restored(text):
 def test_one_cyrillic_word_read_as_latin():
     assert encoding.restore("Hello Привет".encode("cp1251").decode("cp1252"))[0] == "Hello Привет"
     assert encoding.restore("ÀÉÈ naïve") == ("ÀÉÈ naïve", 0)
+    assert [encoding.restore(x)[0] for x in ("Âàø çàêàç", "Âàø êîä 4821", "Ïðèâåò ìèð")] == ["Ваш заказ", "Ваш код 4821", "Привет мир"]
+
+
+def test_every_layer_is_undone():
+    bad = "café"
+    for _ in range(7):
+        bad = bad.encode().decode("latin-1")
+    assert encoding.restore(bad) == ("café", 7)
 
 
 # ---- 1 ---------------------------------------------------------------------------------------------------------------------------
