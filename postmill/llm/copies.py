@@ -43,8 +43,9 @@ def _digest(c: Column) -> Column:
 def _survivors(df: DataFrame, id_col: str, text_col: str, by: str) -> DataFrame:
     rows = df.select(F.col(id_col).alias("id"), F.col(by).alias("domain"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     raw = rows.groupBy("domain", "text").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    fields = F.when(F.col("text").rlike("[:=]") & is_fields(F.col("text")), _digest(F.concat(F.lit("fields:"), field_key(F.col("text")))))
-    return cut(raw.select("domain", _digest(F.col("text")).alias("raw"), "first_id", "n", _digest(letters(F.col("text"))).alias("plain"), fields.alias("fields")))
+    own = F.concat(F.coalesce(F.concat(F.lit("in:"), F.col("domain").cast("string")), F.lit("none")), F.lit("\u0001"))  # texts are linked inside a `by` value only
+    fields = F.when(F.col("text").rlike("[:=]") & is_fields(F.col("text")), _digest(F.concat(F.lit("fields:"), own, field_key(F.col("text")))))
+    return cut(raw.select("domain", _digest(F.col("text")).alias("raw"), "first_id", "n", _digest(F.concat(own, letters(F.col("text")))).alias("plain"), fields.alias("fields")))
 
 
 def _grouped(survivors: DataFrame) -> DataFrame:
