@@ -2,8 +2,9 @@
 
 UTF-8 read as a single-byte encoding leaves runs that, encoded back, are well-formed UTF-8. For each candidate encoding the runs that
 consist of a lead byte's character and its continuation bytes' characters are encoded back and strictly decoded; of all candidates
-the one with the lowest garbling cost wins if it lowers the cost, and the step repeats for text garbled more than once. Only the
-runs change, so text that is garbled in part keeps its sound part. Words wholly of Latin-1's upper half are tried as a Cyrillic
+the one with the lowest garbling cost wins if it lowers the cost, and the step repeats until the cost no longer falls, for text
+garbled more than once. Only the runs change, so text that is garbled in part keeps its sound part. A run of letters only may be sound
+(Icelandic has `ðæ`): there fewer characters prove nothing, and what comes out must be of the script of the word around it. Words wholly of Latin-1's upper half are tried as a Cyrillic
 single-byte encoding read as Latin and accepted when they come out as Cyrillic words of one case pattern. What is lost (U+FFFD, stray C1 controls, lead bytes whose
 continuation is gone) cannot be restored but marks the row.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from postmill.runtime import table
 
 CANDIDATES = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "mac_roman", "cp437", "cp850", "iso8859-15", "iso8859-2", "koi8-r")
-MAX_LAYERS = 5
+ODD_TAILS = ("cp1252", "latin-1")  # their continuation bytes are signs and controls; in the other encodings many are everyday letters
 _HIGH = re.compile(r"[^\x00-\x7f]")
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 CYRILLIC_CODECS = ("cp1251", "koi8-r", "iso8859-5")
@@ -83,11 +84,18 @@ def _undo(text: str, codec: str) -> str:
         except UnicodeDecodeError:
             return m.group()
         sound = _sound_in_cyrillic(m, restored) if codec in CYRILLIC_CODECS else all(map(_plausible_or_layer, restored)) or _other_script(restored)
-        return restored if sound else m.group()
+        return restored if sound and (codec in ODD_TAILS or not m.group().isalpha() or _fits_word(m, restored)) else m.group()
 
     return pattern.sub(back, text)
 
 
+def _fits_word(m: re.Match, restored: str) -> bool:
+    """Whether letters restored out of nothing but letters are of the script of the letters beside them, or several that stand alone; signs always fit."""
+    letters = {_alphabet(c) for c in restored if c.isalpha()}
+    edges = {_alphabet(c) for c in m.string[m.start() - 1 : m.start()] + m.string[m.end() : m.end() + 1] if c.isalpha()}
+    return not letters or (letters <= edges if edges else len(restored) > 1)
+
+
 def _sound_in_cyrillic(m: re.Match, restored: str) -> bool:
     """Pairs of Cyrillic letters also stand in sound words (and in Latin ones written with look-alikes): a run counts only if it gives Latin letters or punctuation, or a whole Cyrillic word."""
     if all("\xa0" <= c <= "\u017f" or "\u2010" <= c <= "\u203a" or c in "€™" for c in restored):
@@ -106,6 +114,10 @@ def _script(c: str) -> str:
     return {"HIRAGANA": "CJK", "KATAKANA": "CJK", "HANGUL": "CJK", "BOPOMOFO": "CJK", "FULLWIDTH": "", "HALFWIDTH": "CJK", "LATIN": "", "MODIFIER": ""}.get(name, name)
 
 
+def _alphabet(c: str) -> str:
+    return _script(c) or ("LATIN" if c < "\u0250" else "")
+
+
 def _other_script(text: str) -> bool:
     """Assigned characters with at least two letters beyond Latin, all of one script: two letters side by side do not come out of sound text by chance."""
     scripts = [x for x in map(_script, text) if x]
@@ -144,7 +156,7 @@ def restore(text: str) -> tuple[str, int]:
     layers = 0
     if (again := _undo_cyrillic(text)) != text:
         text, layers = again, 1
-    while layers < MAX_LAYERS and (runs := "\n".join(set(_RUN.findall(text)))):
+    while (runs := "\n".join(set(_RUN.findall(text)))):
         best, least = text, None
         for codec in CANDIDATES:
             if not _reader(codec)[0].search(runs):
