@@ -1,32 +1,39 @@
 """Problem 5: personal information in free text, found by patterns, confirmed by validators, weighed by context.
 
-Patterns propose spans. Where a kind of number carries a checksum (Luhn for card-like numbers, mod-97 for account numbers) or a
-public numbering rule (social security, national insurance, driving licences, German tax numbers), the validator's answer moves the score; so do words near
-the span: before a number `passport`, `SSN` or `call` speak for it, `order`, `parcel` or `bug` against it. Names need a list of
-names, which may be incomplete: a capitalised pair needs one half in the list, a name-like shape and no word that tells it is a
-street, a firm or a place. Overlapping spans give way to the better score. The longest reading of a text is scanned once; no text is
-cut.
+Patterns propose spans. Where a kind of number carries a check digit (mod-97 for account numbers, MOD 11,10 for German tax numbers, the
+letter of Spanish identity numbers, Luhn for card-like ones) or a public numbering rule (areas of social security numbers, prefixes of
+national insurance numbers, the date inside a driving licence), a number that passes is found by itself; one that fails needs words
+before it that tell what it is, as numbers in mail are mistyped, and those of examples come from ranges that are never issued. Words
+near a span adjust the score both ways: before a number `passport`, `SSN` or `call` speak for it, `order`, `parcel` or `bug` against it.
+Names need a list of names, which may be incomplete: a given name and a surname of the list are a name; where one of them is unknown,
+an ending that many surnames of the list share and the words around (titles, `wrote`, an address behind it) must tell, and no word
+that makes it a street, a firm or a place. Overlapping spans give way to the better score. A text is scanned once and whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postmill.llm.lookalike import _TABLE as skeleton_table
-from postmill.runtime import table
+from postmill.runtime import cut, table
 
 ACCEPT = 0.5
+NAMES_HELD = 100_000  # entries of a name list that a task holds; a longer list is joined
+CONFIRMED = 0.55  # what a passed validator gives
+UNCONFIRMED = {"nino": 0.35, "ssn": 0.35, "licence": 0.35, "tax": 0.1, "iban": 0.2, "dni": 0.2}
 
 # Words that speak for or against a number, by kind.
 ID_WORDS = (
-    r"id|passport|ssn|social security|national insurance|ni|nino|national id|identity card|identity|id card|driving licen[cs]e|driver['’]?s? licen[cs]e|licen[cs]e no|"
+    r"id|passport|ssn|soc(?:ial|\.)? sec(?:urity|\.)?|national insurance|ni|nino|national id|identity card|identity|id card|driving licen[cs]e|driver['’]?s? licen[cs]e|licen[cs]e|"
     r"tax(?:payer)?(?: id)?|steuer-?id(?:nr)?|steuernummer|tin|itin|dni|nif|nie|cpf|nhs|personalausweis|reisepass|aadhaar|insee|ausweis"
 )
 PHONE_WORDS = r"call|ring|phone|tel|telephone|mobile|mob|text|txt|number is|contact|fax|whatsapp|direct|t|dial"
@@ -47,7 +54,7 @@ FIRMS = "group|office|partners|ltd|limited|inc|llc|gmbh|plc|company|council|bank
 
 SPACE = r"[^\S\n]"
 EMAIL = re.compile(
-    r"(?<![\w.+-])[\w][\w.+'-]*(?:"
+    r"(?<![\w.+-])(?:\w[\w+'-]*[^\S\n]?[\[({][^\S\n]?dot[^\S\n]?[\])}][^\S\n]?)*[\w][\w.+'-]*(?:"
     r"@[\w-]+(?:\.[\w-]+)+"
     r"|[^\S\n]?(?:[\[({<][^\S\n]?(?:at|@)[^\S\n]?[\])}>]|[^\S\n]at[^\S\n](?=[\w-]+[^\S\n][\[({]?dot\b))[^\S\n]?[\w-]+(?:(?:[^\S\n]?[\[({<][^\S\n]?(?:dot|\.|punkt)[^\S\n]?[\])}>][^\S\n]?|[^\S\n]dot[^\S\n]|\.)[\w-]+)+"
     r"|@[\w-]+(?:(?:[^\S\n]?[\[({][^\S\n]?dot[^\S\n]?[\])}][^\S\n]?|[^\S\n]dot[^\S\n])[\w-]+)+"
@@ -61,7 +68,7 @@ ID_NUMBER = re.compile(
     r"|(?P<ssn>\d{3}[ \n-]\d{2}[ \n-]\d{4})"
     r"|(?P<licence>[A-Z9]{5}\d{6}[A-Z9]{2}\w[A-Z]{1,2})"
     r"|(?P<passport>[A-Z]{1,2}[ ]?\d{6,8})"
-    r"|(?P<tax>\d{2}[ \n]?\d{3}[ \n]?\d{3}[ \n]?\d{3})"
+    r"|(?P<tax>\d{11}|\d{2}[ \n]\d{3}[ \n]\d{3}[ \n]\d{3})"
     r"|(?P<grouped>\d{3,4}(?:[ -]\d{2,4}){2,3})"
     r"|(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?)"
     r"|(?P<dni>\d{8}[ -]?[A-Z])"
@@ -86,7 +93,10 @@ def _name_pattern(first: str) -> re.Pattern:
 
 
 NAME, NAME_SMALL = _name_pattern(_CAPITAL), _name_pattern(r"[^\W\d_]")
-_NAME_BEFORE = re.compile(r"(?:witness|from|von|to|name is|quoting|contact|reach|by|schrieb|for|mr|mrs|ms|dr)\b[:.]?[^\S\n]+$", re.IGNORECASE)
+_NAME_BEFORE = re.compile(r"(?:witness|from|von|to|dr|name is|quoting|contact|reach|by|schrieb|for|mr|mrs|ms)\b[:.]?\*?\s+$", re.IGNORECASE)
+_LINE_BEFORE = re.compile(r"(?:^|\n|\d,)[^\S\n]*(?:[>|*][^\S\n]*)*$")
+_LINE_AFTER = re.compile(r"[^\S\n]*(?:\n|[|[(–-]|$)")
+_SPEAKS_AFTER = re.compile(r"\s+(?:<|wrote\b|writes\b|schrieb\b|a écrit\b|moved\b)|[^\S\n]*\n\S*@", re.IGNORECASE)
 _LEFT = 42
 
 
@@ -125,12 +135,35 @@ def tax_check(digits: str) -> bool:
     return (11 - product) % 10 == int(digits[-1])
 
 
-_ID_BEFORE = re.compile(rf"\b(?:{ID_WORDS})\b['’]?(?:[\s:#.]|no|nr|number|num|card|card no|code|is)*$", re.IGNORECASE)
+def dni_check(value: str) -> bool:
+    """Spanish identity number: the letter is the number modulo 23 in a fixed order."""
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(re.sub(r"\D", "", value)) % 23] == value[-1].upper()
+
+
+def ssn_rule(digits: str) -> bool:
+    """Social security numbers have no area 000, 666 or 9xx, no group 00 and no serial 0000."""
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+def nino_rule(value: str) -> bool:
+    """National insurance numbers: letters and pairs that no prefix has; QQ is that of public examples."""
+    prefix = value[:2].upper()
+    return prefix == "QQ" or (prefix[0] not in "DFIQUV" and prefix[1] not in "DFIQUVO" and prefix not in ("BG", "GB", "KN", "NK", "NT", "TN", "ZZ"))
+
+
+def licence_rule(value: str) -> bool:
+    """British driving licences hold a month (plus 50 for women) and a day."""
+    month, day = int(value[6:8]) % 50, int(value[8:10])
+    return 1 <= month <= 12 and 1 <= day <= 31 and int(value[6:8]) < 63
+
+
+_ID_BEFORE = re.compile(rf"\b(?:{ID_WORDS})\b['’]?(?:[\s:#.!*]|no|nr|number|num|card|card no|code|is)*$", re.IGNORECASE)
+_LOCAL_PHONE = re.compile(r"\+?\(?0?\d{2,4}\)?[- ./]?\d{3,4}(?:[- ]\d{2})?")
 _PHONE_BEFORE = re.compile(rf"\b(?:{PHONE_WORDS})\b[^\n\d]{{0,24}}$", re.IGNORECASE)
 _OTHER_BEFORE = re.compile(rf"\b(?:{OTHER_WORDS})\b(?:[\s:#.]|no|nr|number|num)*$", re.IGNORECASE)
 _TITLE_BEFORE = re.compile(rf"\b(?:{TITLES})\.?[^\S\n]+$", re.IGNORECASE)
 _FIRM_AFTER = re.compile(rf"[^\S\n]+(?:[\w'-]+[^\S\n]+)?(?:{FIRMS})\b", re.IGNORECASE)
-_NUMBER_BEFORE = re.compile(r"\d[A-Za-z]?,?\s$")
+_NUMBER_BEFORE = re.compile(r"(?<![:.\d])\d{1,4}[A-Za-z]?,?[^\S\n]$")  # a house number, not a time
 
 
 def flatten(text: str) -> tuple[str, list[int] | None]:
@@ -165,41 +198,52 @@ def _folded(c: str) -> str:
 class Finder:
     """Finds personal data in texts. given, surnames: the list of names; it may be incomplete and hold ordinary words."""
 
-    def __init__(self, given: set[str], surnames: set[str]):
+    ENDING = range(4, 7)  # lengths of endings
+
+    def __init__(self, given: set[str], surnames: set[str], endings: set[str] | None = None):
+        """endings: those of the whole list, where `given` and `surnames` are a part of it."""
         fold = lambda names: {n.casefold() for n in names if n}
         self.given, self.surnames = fold(given), fold(surnames)
-        # Endings that many surnames of the list share let a surname outside the list be seen as one.
-        tails: dict[str, int] = {}
-        heads: dict[str, int] = {}
-        for name in self.surnames:
-            for k in range(3, min(7, len(name) - 2)):
-                tails[name[-k:]] = tails.get(name[-k:], 0) + 1
-            for k in range(3, min(8, len(name) - 2)):
-                heads[name[:k]] = heads.get(name[:k], 0) + 1
-        least = max(4, len(self.surnames) // 60)
-        self.tails = {t for t, n in tails.items() if n >= least}
-        self.heads = {h for h, n in heads.items() if n >= least}
-
-    def surname_like(self, word: str) -> bool:
+        if endings is None:  # an ending that many surnames of the list share speaks for a surname outside the list
+            counts = Counter(name[-k:] for name in self.surnames for k in self.ENDING if len(name) > k + 2)
+            endings = {e for e, n in counts.items() if n >= self.least_of(len(self.surnames))}
+        self.endings = endings
+
+    @staticmethod
+    def least_of(surnames: int) -> int:
+        """Surnames that must share an ending: a share, so that the endings are never more than a few hundred."""
+        return max(4, surnames // 60)
+
+    def surname(self, word: str) -> int:
+        """2: a surname of the list; 1: a word with an ending of surnames; 0: neither."""
         low = word.casefold()
         if low in self.surnames:
-            return True
-        return any(low[:k] in self.heads and low[k:] in self.tails for k in range(3, len(low) - 2))
+            return 2
+        return int(low not in self.given and any(low[-k:] in self.endings for k in self.ENDING if len(low) > k + 2))
+
+    @staticmethod
+    def _confirmed(kind: str, value: str, digits: str) -> bool:
+        """What the validator of a kind says; kinds without one are never confirmed. A card number is no number of a person, so Luhn speaks against one (`numbers`)."""
+        if kind == "tax":
+            return len(value) > 11 and value[0] != "0" and tax_check(digits)  # eleven digits in a row are as often a telephone number
+        if kind == "iban":
+            return mod97(re.sub(r"\s", "", value).upper())
+        if kind == "dni":
+            return dni_check(value)
+        if kind == "ssn":
+            return ssn_rule(digits)
+        return (kind == "nino" and nino_rule(value)) or (kind == "licence" and licence_rule(value))
 
     def numbers(self, text: str) -> Iterator[Span]:
         for m in ID_NUMBER.finditer(text):
             kind, value = m.lastgroup, m.group()
             before = text[max(0, m.start() - _LEFT) : m.start()]
             digits = re.sub(r"\D", "", value)
-            score = {"nino": 0.6, "ssn": 0.35, "licence": 0.6, "tax": 0.1, "iban": 0.2, "dni": 0.2}.get(kind, 0.0)
-            if kind == "tax" and tax_check(digits):
-                score += 0.2
-            if kind == "iban" and mod97(re.sub(r"\s", "", value).upper()):
-                score += 0.5
-            if kind == "grouped" and len(digits) == 16 and luhn(digits):
-                score += 0.1
+            score = CONFIRMED if self._confirmed(kind, value, digits) else UNCONFIRMED.get(kind, 0.0)
             if kind == "nino" and not (value[:2].isupper() or value[:2].islower()):
-                score -= 0.3
+                score -= 0.3  # a word and a number
+            if kind == "grouped" and len(digits) == 16 and luhn(digits):
+                score -= 0.6
             if _ID_BEFORE.search(before):
                 score += 0.7
             elif _OTHER_BEFORE.search(before):
@@ -224,9 +268,11 @@ class Finder:
                     continue
             digits = re.sub(r"\D", "", value)
             before = text[max(0, start - _LEFT) : start]
-            if not 9 <= len(digits) <= 15 or len(re.findall(r"[^\d]{3,}", value)):
+            if not 7 <= len(digits) <= 15 or len(re.findall(r"[^\d]{3,}", value)):
                 continue
             score = 0.0
+            if len(digits) < 9 and not (_LOCAL_PHONE.fullmatch(value) and _PHONE_BEFORE.search(before)):
+                continue  # seven or eight digits are a local number only where the words before say so
             if value[0] == "+" or digits.startswith("00"):
                 score += 0.6
             elif digits[0] == "0" and 10 <= len(digits) <= 12:
@@ -234,7 +280,7 @@ class Finder:
             elif re.fullmatch(r"(?:1[- .]?)?(?:\(\d{3}\)[ -]?|\d{3}[-. ])\d{3}[-. ]\d{4}", value):
                 score += 0.5
             if _PHONE_BEFORE.search(before):
-                score += 0.2
+                score += 0.2 if len(digits) >= 9 else 0.5
             if _OTHER_BEFORE.search(before) or _ID_BEFORE.search(before):
                 score -= 0.6
             if re.fullmatch(r"(?:19|20)\d\d[-./]\d\d[-./]\d\d.*|\d{1,2}[-./]\d{1,2}[-./]\d{2,4}.*", value):
@@ -258,10 +304,16 @@ class Finder:
         last = m["c"]
         if not m["ini"].isupper() and not text.islower() or last.casefold() in STOP:
             return None
-        if self.surname_like(last) and not _FIRM_AFTER.match(text, m.end()):
-            return Span(m.start(), m.end(), "name", 0.8)
+        known = self.surname(last)
+        if known and not _FIRM_AFTER.match(text, m.end()) and (known == 2 or self._told(text, m)):
+            return Span(m.start(), m.end(), "name", 0.8 if known == 2 else 0.6)
         return None
 
+    def _told(self, text: str, m: re.Match) -> bool:
+        """Whether the words around tell that this is a person."""
+        before, after = text[max(0, m.start() - _LEFT) : m.start()], text[m.end() : m.end() + 24]
+        return bool(_TITLE_BEFORE.search(before) or _NAME_BEFORE.search(before) or _SPEAKS_AFTER.match(after) or (_LINE_BEFORE.search(before) and _LINE_AFTER.match(after)))
+
     def _pair(self, text: str, m: re.Match) -> Span | None:
         a, b = m["a"], m["b"]
         la, lb = a.casefold(), b.casefold()
@@ -271,25 +323,25 @@ class Finder:
         if upper[0] != upper[1] or (m["mid"] and m["mid"][0].isupper() != upper[0]):
             return None
         score = 0.0
-        before, after = text[max(0, m.start() - _LEFT) : m.start()], text[m.end() : m.end() + 24]
-        ga, gb, sa, sb = la in self.given, lb in self.given, self.surname_like(a), self.surname_like(b)
+        before = text[max(0, m.start() - _LEFT) : m.start()]
+        ga, gb, sa, sb = la in self.given, lb in self.given, self.surname(a), self.surname(b)
         if m["comma"]:
-            score = 0.8 if sa and gb else 0.55 if sa and upper[1] and self._name_end(text, m.end()) and not sb else 0.0
+            score = 0.8 if sa and gb else 0.55 if upper[1] and not sb and (sa == 2 and self._name_end(text, m.end()) or sa and self._told(text, m)) else 0.0
         elif ga and sb or sa and gb:
-            score = 0.9
-        elif sb and not sa:
+            score = 0.9 if max(sa, sb) == 2 else 0.8
+        elif sb == 2 and not sa or (sb and not sa and self._told(text, m)):
             score = 0.6
-        elif sa and not sb:
+        elif sa and not sb and (sa == 2 or self._told(text, m)):
             score = 0.55 if self._name_end(text, m.end()) else 0.4
         elif ga and upper[1] and _NAME_BEFORE.search(before) and self._name_end(text, m.end()):
             score = 0.55
         if "\n" in m["gap"] and score < 0.8:
             return None
-        if score and not upper[0]:  # small letters: both halves must be known
-            score = 0.6 if (ga and sb) or (sa and gb) else 0.0
+        if score and not upper[0]:  # small letters: both halves must be known, or the words around tell
+            score = 0.6 if (ga and sb) or (sa and gb) or (sb and self._told(text, m)) else 0.0
         if _TITLE_BEFORE.search(before):
             score += 0.2 if score else 0.0
-        if _NUMBER_BEFORE.search(before) or _FIRM_AFTER.match(text, m.end()):
+        if (_NUMBER_BEFORE.search(before) and score < 0.9) or _FIRM_AFTER.match(text, m.end()):
             score -= 0.6
         if score >= ACCEPT:
             return Span(m.start(), m.end(), "name", min(score, 1.0))
@@ -301,7 +353,7 @@ class Finder:
 
     def _addresses(self, text: str) -> Iterator[Span]:
         for m in ADDRESS.finditer(text):
-            words = re.findall(r"[^\W\d_]+", m.group().casefold())
+            words = re.findall(r"(?<!\w)[^\W\d_]+", m.group().casefold())
             if not any(w in STOP and w not in _STREET_WORDS for w in words[:-1]):
                 yield Span(*m.span(), "address", 0.85)
         if _JOINED_HINT.search(text):
@@ -340,50 +392,92 @@ class Finder:
         return "".join(out) + text[at:]
 
 
-def _names_of(names: DataFrame, limit: int) -> tuple[set[str], set[str]]:
-    """The name list, which every task needs whole; refused above `limit` entries rather than cut."""
-    rows = names.select("name_text", "name_kind").filter("name_text is not null").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"the name list has more than {limit} entries")
-    return {r[0] for r in rows if r[1] == "given"}, {r[0] for r in rows if r[1] == "surname"}
-
-
-def _searcher(given: set[str], surnames: set[str]):
+def _found(finder_of) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(given, surnames)
         for b in batches:
             ids, kinds, texts = [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for s in finder.find(text) if text else ():
+            for i, text, names in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                for s in finder_of(names).find(text) if text else ():
                     ids.append(i), kinds.append(s.kind), texts.append(text[s.start : s.end])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], names=["id", "kind", "found_text"])
 
     return run
 
 
-def _replacer(given: set[str], surnames: set[str]):
+def _masked(finder_of) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(given, surnames)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t and finder.replace(t) for t in b.column(1).to_pylist()], pa.string())], names=["id", "masked"])
+            masked = [t and finder_of(n).replace(t) for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(masked, pa.string())], names=["id", "masked"])
 
     return run
 
 
-def personal_data(df: DataFrame, names: DataFrame, id_col: str = "msg_id", text_col: str = "text", name_limit: int = 100_000) -> DataFrame:
+def _words_of_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word of a text that stands where a name could, once a text, case folded."""
+    for b in batches:
+        rows, words = [], []
+        for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            flat = flatten(text)[0] if text else ""
+            own = {w.casefold() for w in re.findall(_PART, flat)}
+            rows += [row] * len(own)
+            words += own
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.string())], names=["row", "word"])
+
+
+def _search(rows: DataFrame, names: DataFrame, job, schema: str, held: int) -> DataFrame:
+    """`job` over (id, text) with the names it needs.
+
+    A list of up to `held` entries is held by each task. A longer one stays a table: the words of each text are joined to it, and
+    each row carries the entries that occur in it; the endings of surnames, at most 180 as each is shared by a sixtieth of
+    them, are counted in Spark. Both ways find the same.
+    """
+    listed = names.select(_fold(F.col("name_text")).alias("word"), F.col("name_kind").alias("kind")).filter("word <> '' and kind in ('given', 'surname')").distinct()
+    some = listed.limit(held + 1).collect()
+    if len(some) <= held:
+        given, surnames = ({r[0] for r in some if r[1] == kind} for kind in ("given", "surname"))
+
+        def of_all(batches):
+            finder = Finder(given, surnames)
+            return job(lambda _: finder)(batches)
+
+        return rows.select("id", "text", F.lit(None).cast("string").alias("names")).mapInArrow(of_all, schema)
+    surnames = listed.filter("kind = 'surname'").select("word")
+    least = Finder.least_of(surnames.count())
+    cut_off = surnames.select(F.explode(F.array(*(F.when(F.length("word") > k + 2, F.right("word", F.lit(k))) for k in Finder.ENDING))).alias("ending"))
+    endings = {r[0] for r in cut_off.filter("ending is not null").groupBy("ending").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).collect()}
+    kept = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    words = kept.select("row", "text").mapInArrow(_words_of_names, "row bigint, word string")
+    known = words.join(listed, "word").groupBy("row").agg(F.to_json(F.struct(*(F.collect_set(F.when(F.col("kind") == k, F.col("word"))).alias(k) for k in ("given", "surname")))).alias("names"))
+
+    def of_each(batches):
+        def finder_of(own: str | None) -> Finder:
+            sets = json.loads(own) if own else {}
+            return Finder(set(sets.get("given", ())), set(sets.get("surname", ())), endings)
+
+        return job(finder_of)(batches)
+
+    return kept.join(known, "row", "left").select("id", "text", "names").mapInArrow(of_each, schema)
+
+
+def _fold(c: Column) -> Column:
+    return F.pandas_udf(lambda names: names.map(lambda n: n.strip().casefold(), na_action="ignore"), "string")(c.cast("string"))
+
+
+def personal_data(df: DataFrame, names: DataFrame, id_col: str = "msg_id", text_col: str = "text", held: int = NAMES_HELD) -> DataFrame:
     """(id, kind, found_text): each distinct piece of personal data of each row, as it stands in the text.
 
-    Rows without id or text, and empty texts, give nothing; an empty name list leaves names unfound; a longer one than `name_limit`
-    is refused. A map over rows, no shuffle but the last `distinct`. Other columns are not read.
+    Rows without id or text, and empty texts, give nothing; an empty name list leaves names unfound. A map over rows, no shuffle but
+    the last `distinct`; a name list of more than `held` entries is joined instead of held. Other columns are not read.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    return rows.mapInArrow(_searcher(*_names_of(names, name_limit)), "id bigint, kind string, found_text string").distinct()
+    return _search(rows, names, _found, "id bigint, kind string, found_text string", held).distinct()
 
 
-def mask_personal_data(df: DataFrame, names: DataFrame, id_col: str = "msg_id", text_col: str = "text", name_limit: int = 100_000) -> DataFrame:
+def mask_personal_data(df: DataFrame, names: DataFrame, id_col: str = "msg_id", text_col: str = "text", held: int = NAMES_HELD) -> DataFrame:
     """(id, masked) for every row: the text with each piece replaced by its kind in brackets; null for a null text."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_replacer(*_names_of(names, name_limit)), f"id {df.schema[id_col].dataType.simpleString()}, masked string")
+    return _search(rows, names, _masked, f"id {df.schema[id_col].dataType.simpleString()}, masked string", held)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,7 +181,7 @@ def test_leaking_groups(spark):
 
 # ---- 5 ---------------------------------------------------------------------------------------------------------------------------
 
-FINDER = personal.Finder({"Mara", "Zoé"}, {"Quillfeld", "Quillworth", "Quilldahl", "Bramfeld", "Bramworth", "Bramdahl", "Oskfeld", "Oskworth", "Oskdahl", "Juniper"})
+FINDER = personal.Finder({"Mara", "Zoé"}, {"Quillfeld", "Quillworth", "Quilldahl", "Bramfeld", "Bramworth", "Bramdahl", "Oskfeld", "Oskworth", "Oskdahl", "Salvworth", "Juniper"})
 
 
 @pytest.mark.parametrize(
@@ -199,6 +199,14 @@ FINDER = personal.Finder({"Mara", "Zoé"}, {"Quillfeld", "Quillworth", "Quilldah
         ("Witness: Quillfeld, Mara, and Dr Zoé B. Oskfeld", [("name", "Quillfeld, Mara"), ("name", "Zoé B. Oskfeld")]),
         ("M. Bramdahl signed", [("name", "M. Bramdahl")]),
         ("Hello Mara, see you at Juniper Road", []),
+        ("On July 24, 2018 14:13, Mara Quillfeld wrote:", [("name", "Mara Quillfeld")]),
+        ("On 2018-07-24 14:13, Nils Bramfeld wrote:", [("name", "Nils Bramfeld")]),
+        ("Mara Tolworth wrote:", [("name", "Mara Tolworth")]),
+        ("Nils Tolworth said so near Tolworth", []),
+        ("meet at 20A Osier Crescent", [("address", "20A Osier Crescent")]),
+        ("soc sec no. 989 40 3686", [("id_number", "989 40 3686")]),
+        ("mail mara [dot] q [at] post [dot] example now", [("email", "mara [dot] q [at] post [dot] example")]),
+        ("ring 555-0142 tonight, code 555-0143 is for the door", [("phone", "555-0142")]),
         ("Mara moved; the 8 invoices on the road", []),
     ],
 )
@@ -212,6 +220,30 @@ def test_personal_data_seen_through_lookalikes_and_masked():
     assert FINDER.replace("nothing here") == "nothing here"
 
 
+@pytest.mark.parametrize(
+    "validator, passes, fails",
+    [
+        ("tax_check", "86 095 742 719 it is", "86 095 742 718 it is"), ("mod97", "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33"), ("dni_check", "12345678Z here", "12345678A here"),
+        ("ssn_rule", "a 123-45-6789 b", "a 923-45-6789 b"), ("nino_rule", "AB 12 34 56 C", "BG 12 34 56 C"), ("licence_rule", "MORGA657054SM9IJ", "MORGA637454SM9IJ"),
+    ],
+)
+def test_a_validator_decides_where_no_word_does(monkeypatch, validator, passes, fails):
+    assert [s.kind for s in FINDER.find(passes)] == ["id_number"] and FINDER.find(fails) == []
+    monkeypatch.setattr(personal, validator, lambda value: False)
+    assert FINDER.find(passes) == []
+
+
+def test_a_long_list_of_names_finds_the_same(spark):
+    listed = [("Mara", "given"), ("Zoé", "given"), (None, "given"), *((n, "surname") for n in FINDER.surnames)]
+    names = spark.createDataFrame(listed, "name_text string, name_kind string")
+    rows = [(1, "Mara Quillfeld wrote"), (1, "Zoé B. Oskfeld, Mara"), (2, None), (3, ""), (4, "call +44 7700 900 123"), (5, "Nils Tolworth wrote: Mara Tolworth"), (6, "nothing")]
+    df = spark.createDataFrame(rows, "msg_id bigint, text string")
+    found = [sorted(map(tuple, personal.personal_data(df, names, held=n).collect())) for n in (100, 3)]
+    assert found[0] == found[1] and ("name", "Mara Tolworth") in {x[1:] for x in found[0]}
+    masked = [sorted(map(str, personal.mask_personal_data(df, names, held=n).collect())) for n in (100, 3)]
+    assert masked[0] == masked[1] and len(masked[0]) == len(rows)
+
+
 def test_validators():
     assert personal.luhn("4539578763621486") and not personal.luhn("4539578763621487")
     assert personal.mod97("GB82WEST12345698765432") and not personal.mod97("GB82WEST12345698765433")
