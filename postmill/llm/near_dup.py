@@ -6,19 +6,23 @@ Two texts of one domain are similar if the Jaccard similarity of their 5-charact
 1. Texts that normalise alike have one representative (the least id); each task sketches a text once, however often it comes, and
    what the sketches of copies propose is counted for their representatives.
 2. Shingles are hashed; a doc of n shingles lies in the size band floor(log(n) / log(1 / threshold)), so similar docs lie in one band
-   or in neighbouring bands, and every doc is sketched for its own band and the next, SKETCHES times with independent hashes. A sketch splits the hash space into
-   PARTS parts, samples the shingles at a rate that leaves about PER_PART in each part, and XORs the hashes of a part: the parity
-   of the part's tokens. A shingle in just one of two docs changes the parity of one part, so the number of parts that differ is a
-   lower bound of the symmetric difference; with at most d differences among PARTS parts some part agrees (always for d < PARTS,
-   which covers short texts; above that one part agrees with probability exp(-d / PARTS), so the sketches are repeated).
+   or in neighbouring bands, and every doc is sketched for its own band and the next, SKETCHES times for each with independent hashes.
+   A sketch splits the hash space into PARTS parts, samples the shingles at a rate that leaves about PER_PART in each part, and XORs
+   the hashes of a part: the parity of the part's tokens. A shingle in just one of two docs changes the parity of one part, so the
+   number of parts that differ is a lower bound of the symmetric difference; with at most d differences among PARTS parts some part
+   agrees (always for d < PARTS, which covers short texts; above that one part agrees with probability exp(-d / PARTS), so the
+   sketches are repeated).
 3. Docs with equal parts meet in a bucket keyed by domain, band, part and parity. A bucket's rows, in a pseudo-random order that
    differs from bucket to bucket, are proposed each to the first and to the one before: a linear number of proposals in one pass. No
    bucket can hold more than 1 / PARTS of a band's rows, so a campaign of a third of all rows is spread over many tasks.
-4. Proposals are verified exactly on whole texts, the one with most agreeing parts of each doc first; what then already lies in one
-   component needs no check; the rest is verified too, and `connected_components` (large-star small-star) closes the groups.
-5. A bucket whose members then lie in one component is settled. Those of any other are compared exactly, each with every member of
-   another component, in pairs of blocks of BLOCK members, so that no task holds a bucket; the groups are closed once more. So
-   every two members of a bucket are in one group or were compared.
+4. Every doc that was proposed gets a parity bit sketch of twice as many bits as it has shingles: each shingle turns one bit, so the
+   Hamming distance of two sketches is a lower bound of the symmetric difference, and a proposal whose distance exceeds what the
+   threshold allows for the two sizes is ruled out, without error and without its texts.
+5. What is left is verified exactly on whole texts, the proposal with most agreeing parts of each doc first; what then already lies in
+   one component needs no check; the rest is verified too, and `connected_components` (large-star small-star) closes the groups.
+6. A bucket whose members then lie in one component is settled. Those of any other are compared by their bit sketches, each with every
+   member of another component, in pairs of blocks of BLOCK members, so that no task holds a bucket; pairs that are not ruled out are
+   verified and the groups are closed once more. So every two members of a bucket are in one group or were compared.
 """
 
 from __future__ import annotations
@@ -38,10 +42,13 @@ from postmill.operators.components import connected_components
 from postmill.runtime import cut, release, table
 
 K = 5
-SKETCHES, PARTS, PER_PART, LEAST = 3, 20, 4.5, 4
-BLOCK = 256  # members of a bucket that are compared at once with as many others
+SKETCHES, PARTS, PER_PART, LEAST = 2, 20, 4, 3
+BLOCK = 1024  # members of a bucket that are compared with as many others in one task
+LEAST_BITS = 256
+AT_ONCE = 1 << 21  # 64-bit words of bit sketches compared at once
+CHARS = 1 << 21  # characters of texts that are shingled at once
 SEEN = 500_000  # normalised texts a task remembers, to send each once
-CHUNK = 4096  # docs in one sort: 12 bits of the sort key, the other 52 are the shingle's hash
+CHUNK = 4096  # most docs in one sort: 12 bits of the sort key, the other 52 are the shingle's hash
 _SPACE, _DIGIT = re.compile(r"\s+"), re.compile(r"\d")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 _ID_BITS = (1 << 62) - 1
@@ -91,8 +98,8 @@ def sketch_parts(texts: list[str], salt: np.ndarray, threshold: float) -> tuple[
     n = np.bincount(doc, minlength=len(texts))
     docs, buckets = [], []
     for turn, up in itertools.product(range(SKETCHES), (0, 1)):
-        turned = _mix(hashed + _ODD[2] * np.uint64(turn)) if turn else hashed
         band = band_of(n, threshold) + up
+        turned = _mix(hashed + _ODD[2] * (band % 2 * SKETCHES + turn)[doc].astype(np.uint64))  # own band and next have hashes of their own
         floor_n = np.power(1 / threshold, band)
         rate = np.minimum(1.0, PARTS * PER_PART / floor_n)
         keep = ((turned >> np.uint64(20)) & np.uint64(0xFFFFF)) < (rate[doc] * (1 << 20)).astype(np.uint64)
@@ -109,9 +116,71 @@ def sketch_parts(texts: list[str], salt: np.ndarray, threshold: float) -> tuple[
     return np.concatenate(docs), np.concatenate(buckets)
 
 
+def chunks(texts: list[str]) -> Iterator[slice]:
+    """Slices of at most CHUNK texts and, unless one text alone is longer, CHARS characters."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        if k > start and (k - start == CHUNK or held + len(t) > CHARS):
+            yield slice(start, k)
+            start, held = k, 0
+        held += len(t)
+    if len(texts) > start:
+        yield slice(start, len(texts))
+
+
+def bit_sketches(texts: list[str]) -> tuple[np.ndarray, list[bytes]]:
+    """(shingles, parity bits) of each text: bit h mod m turned by each shingle of hash h, m the power of two from twice the shingles on."""
+    counts, sketches = [], []
+    for part in chunks(texts):
+        keys = shingle_keys(texts[part])
+        doc = (keys >> np.uint64(52)).astype(np.int64)
+        n = np.bincount(doc, minlength=part.stop - part.start)
+        m = np.maximum(LEAST_BITS, 2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+        ends = np.cumsum(m)
+        at = (ends - m)[doc] + (_mix(keys & np.uint64((1 << 52) - 1)) & (m - 1)[doc].astype(np.uint64)).astype(np.int64)
+        packed = np.packbits((np.bincount(at, minlength=int(ends[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+        counts.append(n)
+        sketches += [packed[(e - w) // 8 : e // 8] for e, w in zip(ends.tolist(), m.tolist())]
+    return np.concatenate(counts) if counts else np.empty(0, np.int64), sketches
+
+
+def _words(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one width as rows of 64-bit words."""
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """The sketches that the same shingles have in `width` words, a smaller power of two."""
+    while words.shape[1] > width:
+        words = words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
+    return words
+
+
+def most_apart(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """The largest symmetric difference that texts of n and m shingles may have; -1 where sizes alone rule them out."""
+    fits = np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
+    return np.where(fits, np.floor((1 - threshold) / (1 + threshold) * (n + m) + 1e-9), -1)
+
+
+def may_be_similar(n: np.ndarray, a: list[bytes], m: np.ndarray, b: list[bytes], threshold: float) -> np.ndarray:
+    """For paired texts (shingles, sketch): whether the sketches leave it open that their similarity reaches the threshold."""
+    widths = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    apart = np.zeros(len(a), np.int64)
+    for wa, wb in np.unique(widths, axis=0):
+        at = np.nonzero((widths == (wa, wb)).all(axis=1))[0]
+        step = max(1, AT_ONCE * 8 // int(max(wa, wb)))
+        for k in range(0, len(at), step):
+            some, least = at[k : k + step], int(min(wa, wb)) // 8
+            x, y = _folded(_words([a[i] for i in some]), least), _folded(_words([b[i] for i in some]), least)
+            apart[some] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return apart <= most_apart(n, m, threshold)
+
+
 def _normal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([normalise(t) for t in b.column(2).to_pylist()], pa.string())], names=["id", "domain", "norm"])
+        norms = [normalise(t) for t in b.column(1).to_pylist()]
+        n, bits = bit_sketches(norms)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(norms, pa.string()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["id", "norm", "n", "bits"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,19 +194,19 @@ def _sketcher(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for big in batches:
-            for at in range(0, big.num_rows, CHUNK):
-                ids, norms, salts = [], [], []
-                for i, domain, text in zip(*(big.column(k).slice(at, CHUNK).to_pylist() for k in range(3))):
-                    norm = normalise(text)
-                    key = hashlib.md5(f"{domain}\0{norm}".encode("utf-8", "surrogatepass")).digest()
-                    if key not in seen:
-                        seen.add(key)
-                        ids.append(i), norms.append(norm), salts.append(_salt(domain))
-                if len(seen) > SEEN:
-                    seen.clear()
-                who, bucket = sketch_parts(norms, np.array(salts, dtype=np.uint64), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[who]), pa.array(bucket.view(np.int64))], names=["id", "bucket"])
+        for b in batches:
+            ids, norms, salts = [], [], []
+            for i, domain, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+                norm = normalise(text)
+                key = hashlib.md5(f"{domain}\0{norm}".encode("utf-8", "surrogatepass")).digest()
+                if key not in seen:
+                    seen.add(key)
+                    ids.append(i), norms.append(norm), salts.append(_salt(domain))
+            if len(seen) > SEEN:
+                seen.clear()
+            for part in chunks(norms):
+                who, bucket = sketch_parts(norms[part], np.array(salts[part], dtype=np.uint64), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids[part], dtype=np.int64)[who]), pa.array(bucket.view(np.int64))], names=["id", "bucket"])
 
     return run
 
@@ -150,14 +219,13 @@ def _salt(domain: str | None) -> int:
 def jaccard(left: list[str], right: list[str]) -> np.ndarray:
     """Exact Jaccard similarity of the shingle sets of paired normalised texts (1 for two empty texts)."""
     out = np.empty(len(left))
-    for at in range(0, len(left), CHUNK):
-        a, b = shingle_keys(left[at : at + CHUNK]), shingle_keys(right[at : at + CHUNK])
+    for part in chunks([x if len(x) > len(y) else y for x, y in zip(left, right)]):
+        a, b = shingle_keys(left[part]), shingle_keys(right[part])
         both = np.sort(np.concatenate((a, b)))
         same = both[1:][both[1:] == both[:-1]]
-        m = len(left[at : at + CHUNK])
-        na, nb, ni = (np.bincount((x >> np.uint64(52)).astype(np.int64), minlength=m) for x in (a, b, same))
+        na, nb, ni = (np.bincount((x >> np.uint64(52)).astype(np.int64), minlength=part.stop - part.start) for x in (a, b, same))
         total = na + nb - ni
-        out[at : at + m] = np.where(total > 0, ni / np.maximum(total, 1), 1.0)
+        out[part] = np.where(total > 0, ni / np.maximum(total, 1), 1.0)
     return out
 
 
@@ -170,6 +238,24 @@ def _verifier(threshold: float):
     return run
 
 
+def _sifter(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column(3).to_numpy(), b.column(5).to_numpy()
+            open_ = pa.array(may_be_similar(n, b.column(4).to_pylist(), m, b.column(6).to_pylist(), threshold))
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(open_) for k in range(3)], names=["lo", "hi", "votes"])
+
+    return run
+
+
+def _sift(pairs: DataFrame, normal: DataFrame, threshold: float) -> DataFrame:
+    """The (lo, hi, votes) that bit sketches do not rule out."""
+    sketches = normal.select("id", "n", "bits")
+    with_a = pairs.select("lo", "hi", "votes").join(sketches.withColumnsRenamed({"id": "lo", "n": "na", "bits": "a"}), "lo")
+    with_b = with_a.join(sketches.withColumnsRenamed({"id": "hi", "n": "nb", "bits": "b"}), "hi")
+    return with_b.select("lo", "hi", "votes", "na", "a", "nb", "b").mapInArrow(_sifter(threshold), "lo bigint, hi bigint, votes bigint")
+
+
 def _verify(pairs: DataFrame, normal: DataFrame, threshold: float) -> DataFrame:
     texts = normal.select("id", "norm")
     with_a = pairs.select("lo", "hi").join(texts.withColumnsRenamed({"id": "lo", "norm": "a"}), "lo")
@@ -243,55 +329,69 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     return met.select("bucket", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "rep", "component")
 
 
-def overlaps(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles that each of `left` shares with each of `right`, and the shingles of either."""
-    texts = left + right
-    keys = np.concatenate([shingle_keys(texts[at : at + CHUNK]) for at in range(0, len(texts), CHUNK)])
-    ends = np.cumsum([0] + [len(texts[at : at + CHUNK]) for at in range(0, len(texts), CHUNK)])
-    doc = (keys >> np.uint64(52)).astype(np.int64)
-    doc += ends[np.cumsum(np.concatenate(([0], np.diff(doc) < 0)))] if len(doc) else 0
-    n = np.bincount(doc, minlength=len(texts))
-    _, column, times = np.unique(keys & np.uint64((1 << 52) - 1), return_inverse=True, return_counts=True)
-    shared = times > 1
-    place = np.cumsum(shared) - 1
-    doc, column = doc[shared[column]], place[column[shared[column]]]
-    order = np.argsort(column, kind="stable")
-    doc, column = doc[order], column[order]
-    out = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, int(shared.sum()), 4096):
-        a, z = np.searchsorted(column, (at, at + 4096))
-        held = np.zeros((len(texts), 4096), np.float32)
-        held[doc[a:z], column[a:z] - at] = 1
-        out += held[: len(left)] @ held[len(left) :].T
-    return out.astype(np.int64), n[: len(left)], n[len(left) :]
-
-
-def _block_links(threshold: float):
-    """Links between different components in one pair of blocks."""
-
-    def run(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        slot, rep, component = (t.column(c).to_numpy() for c in ("slot", "rep", "component"))
-        lo, hi = [], []
-        lefts, rights = np.nonzero(slot == i)[0], np.nonzero(slot == j)[0]
-        texts = t.column("norm").to_pylist()
-        for a in range(0, len(lefts), BLOCK):  # a block may come out somewhat larger than BLOCK
-            for b in range(0, len(rights), BLOCK):
-                left, right = lefts[a : a + BLOCK], rights[b : b + BLOCK]
-                both, n, m = overlaps([texts[k] for k in left], [texts[k] for k in right])
-                total = n[:, None] + m[None, :] - both
-                good = (both >= (threshold - 1e-12) * total) & (component[left][:, None] != component[right][None, :])
-                x, y = np.nonzero(good)
-                lo.append(rep[left[x]]), hi.append(rep[right[y]])
-        lo, hi = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (lo, hi))
-        return pa.table({"lo": pa.array(np.minimum(lo, hi)), "hi": pa.array(np.maximum(lo, hi))})
+def close_pairs(left: np.ndarray, right: np.ndarray, n: np.ndarray, sketches: list[bytes], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index, index) of each of `left` with each of `right`, as far as their bit sketches leave it open that they are similar."""
+    width = np.fromiter(map(len, sketches), np.int64, len(sketches)) // 8
+    for wa, wb in itertools.product(np.unique(width[left]), np.unique(width[right])):
+        least = int(min(wa, wb))
+        some, others = left[width[left] == wa], right[width[right] == wb]
+        x, y = _folded(_words([sketches[k] for k in some]), least), _folded(_words([sketches[k] for k in others]), least)
+        step = max(1, math.isqrt(AT_ONCE // least))
+        for a, b in itertools.product(range(0, len(some), step), range(0, len(others), step)):
+            i, j = some[a : a + step], others[b : b + step]
+            apart = np.bitwise_count(x[a : a + step, None, :] ^ y[None, b : b + step, :]).sum(axis=2, dtype=np.int64)
+            p, q = np.nonzero(apart <= most_apart(n[i][:, None], n[j][None, :], threshold))
+            yield i[p], j[q]
+
+
+def _open_in_blocks(slot_left: np.ndarray, slot_right: np.ndarray, rep: np.ndarray, component: np.ndarray, n: np.ndarray, sketches: list[bytes], threshold: float) -> np.ndarray:
+    """Pairs (2, k) of different components in one pair of blocks that bit sketches do not rule out; the flags tell which rows are in the first and the second block."""
+    out = [np.empty((2, 0), np.int64)]
+    for a, b in close_pairs(np.nonzero(slot_left)[0], np.nonzero(slot_right)[0], n, sketches, threshold):
+        unlike = component[a] != component[b]
+        x, y = rep[a[unlike]], rep[b[unlike]]
+        out.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+    return np.concatenate(out, axis=1)
+
+
+def _block_scanner(threshold: float):
+    """Rows come sorted by bucket and pair of blocks: each such group is compared when its last row is there. Holds one group, two blocks, between batches."""
+
+    def compare(t: pa.Table) -> np.ndarray:
+        bucket, i, j, slot, rep, component, n = (t.column(c).to_numpy() for c in ("bucket", "i", "j", "slot", "rep", "component", "n"))
+        sketches = t.column("bits").to_pylist()
+        new = np.nonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))[0] + 1
+        found = []
+        for a, b in itertools.pairwise([0, *new.tolist(), len(bucket)]):
+            left, right = slot[a:b] == i[a], slot[a:b] == j[a]
+            found.append(_open_in_blocks(left, right, rep[a:b], component[a:b], n[a:b], sketches[a:b], threshold))
+        return np.unique(np.concatenate(found, axis=1), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            other = np.nonzero((keys != keys[:, -1:]).any(axis=0))[0]
+            cut_at = int(other[-1]) + 1 if len(other) else 0
+            held = t.slice(cut_at)
+            if cut_at:
+                lo, hi = compare(t.slice(0, cut_at))
+                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["lo", "hi"])
+        if held is not None and held.num_rows:
+            lo, hi = compare(held)
+            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["lo", "hi"])
 
     return run
 
 
-def _bucket_links(members: DataFrame, normal: DataFrame, threshold: float) -> DataFrame:
-    met = _block_pairs(members).join(normal.select(F.col("id").alias("rep"), "norm"), "rep")
-    return met.groupBy("bucket", "i", "j").applyInArrow(_block_links(threshold), "lo bigint, hi bigint").distinct()
+def _bucket_links(members: DataFrame, normal: DataFrame, threshold: float, parts: int) -> DataFrame:
+    met = _block_pairs(members).join(normal.select(F.col("id").alias("rep"), "n", "bits"), "rep")
+    met = met.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    open_ = met.select("bucket", "i", "j", "slot", "rep", "component", "n", "bits").mapInArrow(_block_scanner(threshold), "lo bigint, hi bigint")
+    return _verify(cut(open_.distinct()), normal, threshold)
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -318,20 +418,21 @@ def near_duplicates(df: DataFrame, id_col: str = "msg_id", text_col: str = "text
     met, crowded, proposed = _proposals(rows.mapInArrow(_sketcher(threshold), "id bigint, bucket bigint"), parts)
     lo, hi = (member.withColumnsRenamed({"id": side, "rep": f"{side}_rep"}) for side in ("lo", "hi"))
     named = met.join(lo, "lo").join(hi, "hi").filter("lo_rep <> hi_rep")
-    pairs = cut(named.groupBy(F.least("lo_rep", "hi_rep").alias("lo"), F.greatest("lo_rep", "hi_rep").alias("hi")).agg(F.sum("votes").alias("votes")))
-    met = pairs.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
-    texts = cut(rows.join(met, "id", "left_semi").select("id", "domain", "text").mapInArrow(_normal_batches, "id bigint, domain string, norm string"))
+    proposals = cut(named.groupBy(F.least("lo_rep", "hi_rep").alias("lo"), F.greatest("lo_rep", "hi_rep").alias("hi")).agg(F.sum("votes").alias("votes")))
+    met = proposals.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
+    texts = cut(rows.join(met, "id", "left_semi").select("id", "text").mapInArrow(_normal_batches, "id bigint, norm string, n bigint, bits binary"))
+    pairs = cut(_sift(proposals, texts, threshold))
+    release(proposals)
     sides = pairs.select(F.col("lo").alias("id"), "lo", "hi", "votes").union(pairs.select(F.col("hi").alias("id"), "lo", "hi", "votes"))
     best = sides.groupBy("id").agg(F.expr("max_by(struct(lo, hi), struct(votes, -lo, -hi))").alias("p")).select("p.lo", "p.hi").distinct()
     links = cut(_verify(best, texts, threshold))
     close = cut(connected_components(links, "lo", "hi"))
-    more = cut(_verify(_apart(pairs, close), texts, threshold))
-    links = links.union(more)
-    close = cut(connected_components(links, "lo", "hi"))
-    members = cut(_open_members(crowded, member, close))
-    rest = cut(_bucket_links(members, texts, threshold))
-    close = cut(connected_components(links.union(rest), "lo", "hi"))
-    release(pairs, texts, proposed, members)
+    for found in (lambda: _verify(_apart(pairs, close), texts, threshold), lambda: _bucket_links(cut(_open_members(crowded, member, close)), texts, threshold, parts)):
+        more = cut(found())
+        if not more.isEmpty():
+            links = links.union(more)
+            close = cut(connected_components(links, "lo", "hi"))
+    release(pairs, texts, proposed)
     out = member.join(close.withColumnsRenamed({"node": "rep"}), "rep", "left")
     # ids of a class: the least id overall is the least representative, as a representative is the least id of its copies
     return out.select("id", F.coalesce("component", "rep").alias("class_id"))

@@ -100,6 +100,27 @@ def test_crowded_buckets_are_given_whole_whatever_the_batches():
         assert sorted((r["bucket"], r["hi"]) for r in out) == [(int(b), int(k)) for b, k in zip(bucket, ids) if sizes[b] >= 4]
 
 
+def test_bit_sketches_bound_the_difference_and_fold():
+    import numpy as np
+
+    rng = random.Random(11)
+    texts = ["", "ab", *(sentence(rng, k) for k in (3, 20, 21, 90, 300)), "x" * 40]
+    n, bits = near_dup.bit_sketches(texts)
+    sets = [{t[k : k + 5] for k in range(max(len(t) - 4, 1))} if t else set() for t in texts]
+    assert n.tolist() == [len(x) for x in sets]
+    for a in range(len(texts)):
+        for b in range(len(texts)):
+            both = np.array([len(sets[a])]), np.array([len(sets[b])])
+            least = min(len(bits[a]), len(bits[b])) // 8
+            apart = int(np.bitwise_count(near_dup._folded(near_dup._words([bits[a]]), least) ^ near_dup._folded(near_dup._words([bits[b]]), least)).sum())
+            assert apart <= len(sets[a] ^ sets[b])
+            like = (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1) >= 0.7
+            assert near_dup.may_be_similar(both[0], [bits[a]], both[1], [bits[b]], 0.7)[0] or not like
+    every = np.arange(len(texts))
+    open_ = {(int(x), int(y)) for i, j in near_dup.close_pairs(every, every, n, bits, 0.7) for x, y in zip(i, j)}
+    assert {(k, k) for k in range(len(texts))} <= open_ and (2, 6) not in open_
+
+
 def test_parity_parts_bound_the_difference():
     import numpy as np
 
