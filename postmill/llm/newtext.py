@@ -1,16 +1,17 @@
 """Problem 1: the text newly written by an email's sender.
 
-Lines are exploded with a normalised key and a first verdict from the mail's own layout: `old` (quote marks, introductions, forwarded
-header blocks and what follows them, delimited signatures, device taglines, notices, list footers), `new`, or `maybe` (closing lines
-that may or may not be a signature, blocks that may be an unmarked quotation). Evidence from all mail settles the rest:
+Lines are exploded with a normalised key, the mail's thread (its subject without reply and forward marks) and a verdict that the mail's
+own layout proposes: `old` (quote marks, introductions, forwarded header blocks and what follows them, delimited signatures, device
+taglines, notices, list footers), `new`, or `maybe` (closing lines that may or may not be a signature). Evidence from all mail follows:
 
-* first authorship: the dates of all mails that hold a line rank them; a `maybe` line that another sender wrote in an earlier mail is
-  a repetition, only the first-authored occurrence is kept;
+* first authorship: the mails of a thread that hold a line are ranked by date; in a reply, a line that another sender wrote in an
+  earlier mail of the thread is a repetition, whatever the layout says, and only the first-authored occurrence is kept;
 * recurrence: a `maybe` line that closes mails of different content by the same sender is part of a signature.
 
-Both are ranks over (line) and (sender, line), taken as aggregates (least date, least and greatest content) with map-side combine
-instead of sorted windows, so that a line a third of all mails share is not gathered in one task. Quoted text is mostly from mails
-outside the collection and re-wrapped at other widths, so ranks alone cannot find it; hence the verdict from layout first.
+Both are ranks over (thread, line) and (sender, line), taken as aggregates (least date, least and greatest content) with map-side
+combine instead of sorted windows, so that a line a third of all mails share is not gathered in one task. Ranks alone cannot give the
+result where the quoted mail is not in the collection, or is wrapped at another width, or where a sender has one mail: there the
+layout's proposal stands.
 """
 
 from __future__ import annotations
@@ -70,7 +71,11 @@ _NAME = re.compile(r"^(?:[^\W\d_][\w'’-]*\.?,? ){1,3}[^\W\d_][\w'’-]+$")
 _REGARDS = re.compile(r"^(?:(?:with )?(?:kind|best|warm|many|all the|yours|kindest) ?\w*|(?:best )?regards|cheers|thanks?|thank you|sincerely|yours|love|bye|mit |viele |liebe |cordialement|saludos|abracos|un saludo)\b[\w ]{0,20},?$")
 _PS = re.compile(r"^p\. ?s\b|^ps\b")
 _OWN_SUBJECT = re.compile(r"^(?:subject|betreff|objet|asunto) ?[:=]")
-CLOSING_LINES = 14
+_SUBJECT = re.compile(r"^(?:subject|betreff|objet|asunto|assunto) ?[:=] ?")
+_REPLY = re.compile(r"^(?:re|fwd?|aw|wg|tr|sv|antw|rv|res|enc) ?(?:\[\d+\])? ?: ?")
+# What the parts of a mail are at most, by definition: lines of an introduction, of a header block, of a signature, characters of a signature's line.
+INTRO_LINES, HEADER_LINES, SIGNATURE_LINES, SIGNATURE_WIDTH = 3, 8, 8, 110
+LEAST_LETTERS = 25  # a shorter line of a thread (a greeting, a closing phrase) is anybody's
 
 
 def plain(line: str) -> str:
@@ -103,7 +108,7 @@ def _quotes(flat: list[str], verdict: list[str]) -> None:
         if verdict[i] == OLD or not line or not _INTRO_START.match(line):
             continue
         joined = ""
-        for k in range(i, min(i + 3, len(flat))):
+        for k in range(i, min(i + INTRO_LINES, len(flat))):
             if not flat[k] or verdict[k] == OLD:
                 break
             joined = f"{joined} {flat[k]}".strip()
@@ -129,7 +134,7 @@ def _forwarded(flat: list[str], verdict: list[str]) -> None:
             if block and _HEADER.match(block[0]) and i > 0:
                 at = i
         if at is not None:
-            head = [j for j in range(at + 1, min(at + 8, n)) if flat[j] and _HEADER.match(flat[j])]
+            head = [j for j in range(at + 1, min(at + HEADER_LINES, n)) if flat[j] and _HEADER.match(flat[j])]
             if not _FORWARD.match(line) or head or line.startswith("-") or line.startswith("begin"):
                 before = next((j for j in range(at - 1, -1, -1) if flat[j]), None)
                 if before is not None and _RULE.match(flat[before]) and verdict[before] == NEW:
@@ -147,13 +152,13 @@ def _signatures(flat: list[str], verdict: list[str]) -> None:
             continue
         if _RULE.match(line):
             end = i + 1
-            while end < n and flat[end] and verdict[end] == NEW and end - i <= 8:
+            while end < n and flat[end] and verdict[end] == NEW and end - i <= SIGNATURE_LINES:
                 end += 1
                 if _RULE.match(flat[end - 1]):
                     break
             block = flat[i + 1 : end]
             tail = all(not flat[j] or verdict[j] == OLD or j < end or _closing(flat[j]) or _PS.match(flat[j]) for j in range(end, n))
-            if block and all(len(x) <= 110 for x in block) and (any(map(_contact_like, block)) or any(map(_LIST_END.match, block)) or (tail and len(block) <= 5)):
+            if block and all(len(x) <= SIGNATURE_WIDTH for x in block) and (any(map(_contact_like, block)) or any(map(_LIST_END.match, block)) or (tail and len(block) <= 5)):
                 for j in range(i, end):
                     verdict[j] = OLD
             elif not block and i > 0 and verdict[i - 1] == OLD:
@@ -184,7 +189,7 @@ def _bare_signatures(flat: list[str], verdict: list[str]) -> None:
     for start, end in list(_paragraphs(flat, verdict)):
         block = flat[start:end]
         contacts = sum(map(_contact_like, block))
-        if _OWN_SUBJECT.match(block[0]) or any(len(x) > 110 for x in block):
+        if _OWN_SUBJECT.match(block[0]) or any(len(x) > SIGNATURE_WIDTH for x in block):
             continue
         for k in range(len(block)):  # the signature may stand right below the closing phrase and the given name
             rest = block[k:]
@@ -215,43 +220,80 @@ def verdicts(text: str) -> list[tuple[str, str]]:
     return [(_MARK.sub("", x) if v == OLD else x, v) for x, v in zip(flat, verdict)]
 
 
+def thread_of(flat: list[str]) -> tuple[str, int]:
+    """The subject without reply and forward marks (empty: none), and how many marks it has."""
+    first = next((x for x in flat if x), "")
+    head = _SUBJECT.match(first)
+    rest, marks = (first[head.end() :], 0) if head else ("", 0)
+    while mark := _REPLY.match(rest):
+        rest, marks = rest[mark.end() :], marks + 1
+    return rest.strip(), marks
+
+
+def _closing_lines(found: list[tuple[str, str]]) -> set[int]:
+    """Places of the lines at the end of a mail's own text: from its closing phrase on, or its last paragraph."""
+    own = [k for k, (x, v) in enumerate(found) if x and v != OLD]
+    if not own:
+        return set()
+    phrase = next((k for k in reversed(own) if _REGARDS.match(found[k][0])), None)
+    start = own[-1]
+    while start > 0 and found[start - 1][0] and found[start - 1][1] != OLD:
+        start -= 1
+    return {k for k in own if k >= (start if phrase is None else min(start, phrase))}
+
+
 def _key(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+_LINES = "id bigint, line_no bigint, key bigint, kind string, closing boolean, long boolean, body bigint, thread bigint, marks int, sender bigint, sent bigint"
+
+
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, nos, keys, kinds, closings, bodies = [], [], [], [], [], []
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        out: list[tuple] = []
+        for i, text, sender, sent in zip(*(b.column(k).to_pylist() for k in range(4))):
             found = verdicts(text)
             body = _key("\n".join(x for x, v in found if v == NEW and x))
-            filled = [k for k, (x, v) in enumerate(found) if x and v != OLD]
-            closing = set(filled[-CLOSING_LINES:])
-            for k, (line, v) in enumerate(found):
-                if line or v == OLD:
-                    ids.append(i), nos.append(k + 1), keys.append(_key(line)), kinds.append(v), closings.append(k in closing), bodies.append(body)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int64()), pa.array(keys, pa.int64()), pa.array(kinds, pa.string()), pa.array(closings, pa.bool_()), pa.array(bodies, pa.int64())], names=["id", "line_no", "key", "kind", "closing", "body"])
+            subject, marks = thread_of([x for x, _ in found])
+            own = (body, _key(subject) if subject else None, marks, None if sender is None else _key(sender), sent)
+            closing = _closing_lines(found)
+            headed = next((k for k, (x, _) in enumerate(found) if x), -1) if subject else -1
+            out += ((i, k + 1, _key(x), v, k in closing, len(x) >= LEAST_LETTERS and k != headed, *own) for k, (x, v) in enumerate(found) if x or v == OLD)
+        columns = list(zip(*out)) or [()] * 11
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=[f.split()[0] for f in _LINES.split(", ")])
+
+
+def _repeated(lines: DataFrame) -> DataFrame:
+    """(thread, key, first): lines of a thread that several mails hold with other numbers of reply marks, with their first-authored occurrence."""
+    own = lines.filter((F.col("kind") == NEW) & F.col("long") & F.col("thread").isNotNull() & F.col("sent").isNotNull() & F.col("sender").isNotNull())
+    ranked = own.groupBy("thread", "key").agg(F.min(F.struct("sent", "sender", "marks")).alias("first"), F.max("marks").alias("most"))
+    return ranked.filter("most > first.marks").select("thread", "key", "first")
 
 
-def judged_lines(df: DataFrame, id_col: str = "msg_id", text_col: str = "text", sender_col: str = "sender", sent_col: str = "sent_at") -> DataFrame:
+def judged_lines(df: DataFrame, id_col: str = "msg_id", text_col: str = "text", sender_col: str = "sender", sent_col: str = "sent_at", ranks: bool = True) -> DataFrame:
     """(id, line_no, is_new) for every line with anything on it of every row with an id and a text.
 
-    Lines are counted from 1 between line feeds. A null sender is nobody (nothing recurs for it), a null date comes last; a repeated row
-    comes out again and is no evidence, as its content is the same; an empty text has no lines. Other columns are not read.
+    Lines are counted from 1 between line feeds. A null sender is nobody (nothing recurs for it, it authors nothing first), a null date
+    ranks nowhere; a repeated row comes out again and is no evidence, as its content is the same; an empty text has no lines. ranks:
+    False leaves layout alone to decide, with `maybe` lines new. Other columns are not read.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    lines = cut(rows.mapInArrow(_explode, "id bigint, line_no bigint, key bigint, kind string, closing boolean, body bigint"))
-    sure = lines.filter(F.col("kind") != MAYBE).select("id", "line_no", (F.col("kind") == NEW).alias("is_new"))
-    who = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(sender_col).cast("string").alias("sender"), F.col(sent_col).cast("timestamp").alias("sent"))
-    open_ = lines.filter(F.col("kind") == MAYBE).join(who, "id").select("id", "line_no", "key", "body", "sender", "sent")
-    asked = open_.select("key").distinct()
-    held = lines.filter((F.col("kind") == NEW) | ((F.col("kind") == MAYBE) & F.col("closing"))).join(asked, "key", "left_semi").join(who, "id")
-    first = held.filter(F.col("kind") == NEW).groupBy("key").agg(F.min(F.struct("sent", "sender")).alias("first"))
-    closes = held.filter("sender is not null and closing").groupBy("sender", "key").agg(F.min("body").alias("b1"), F.max("body").alias("b2"))
-    ranked = open_.join(first, "key", "left").join(closes, ["sender", "key"], "left")
-    repeated = F.coalesce((F.col("first.sent") < F.col("sent")) & (F.col("first.sender") != F.col("sender")), F.lit(False))
-    recurs = F.coalesce(F.col("b1") != F.col("b2"), F.lit(False))
-    return sure.union(ranked.select("id", "line_no", (~(repeated | recurs)).alias("is_new")))
+    sent = F.unix_micros(F.col(sent_col).cast("timestamp"))
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(sender_col).cast("string").alias("sender"), sent.alias("sent")).filter("id is not null and text is not null")
+    lines = rows.mapInArrow(_explode, _LINES)
+    if not ranks:
+        return lines.select("id", "line_no", (F.col("kind") != OLD).alias("is_new"))
+    lines = cut(lines)
+    open_ = lines.filter(F.col("kind") == MAYBE)
+    closes = lines.filter("closing and sender is not null").join(open_.select("key").distinct(), "key", "left_semi").groupBy("sender", "key").agg(F.min("body").alias("b1"), F.max("body").alias("b2"))
+    signed = closes.filter("b1 <> b2").select("sender", "key", F.lit(True).alias("recurs"))
+    ranked = lines.join(_repeated(lines), ["thread", "key"], "left")
+    repeated = F.coalesce(F.col("long") & (F.col("first.sent") < F.col("sent")) & (F.col("first.sender") != F.col("sender")) & (F.col("first.marks") < F.col("marks")), F.lit(False))
+    judged = ranked.select("id", "line_no", "kind", "sender", "key", repeated.alias("repeated"))
+    sure = judged.filter(F.col("kind") != MAYBE).select("id", "line_no", ((F.col("kind") == NEW) & ~F.col("repeated")).alias("is_new"))
+    doubtful = judged.filter(F.col("kind") == MAYBE).join(signed, ["sender", "key"], "left")
+    return sure.union(doubtful.select("id", "line_no", (~(F.col("repeated") | F.coalesce("recurs", F.lit(False)))).alias("is_new")))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -405,6 +405,19 @@ def test_mails_with_a_common_opening_differ(spark):
     assert old == {(1, 5), (1, 6), (2, 5), (2, 6)}
 
 
+def test_an_unmarked_quotation_is_known_by_its_first_author(spark):
+    from datetime import datetime
+
+    first = "Subject: The plan\nHello Nora,\nThe pier opens at nine and closes late in the day.\nBring the red rope and both of the old lanterns."
+    reply = "Subject: RE: the plan\nThe ropes are ready, the lanterns are not yet here.\n\nThe pier opens at nine and closes late in the day.\nBring the red rope and both of the old lanterns."
+    day = lambda d: datetime(2020, 1, d)
+    rows = [(1, first, "a", day(1)), (2, reply, "b", day(2)), (3, first, "c", day(3)), (4, reply, "a", day(4)), (5, reply, None, day(5)), (6, reply, "b", None)]
+    df = spark.createDataFrame(rows, "msg_id bigint, text string, sender string, sent_at timestamp")
+    old = lambda **how: {(r.id, r.line_no) for r in newtext.judged_lines(df, **how).filter("not is_new").collect()}
+    assert old() == {(2, 4), (2, 5)}  # 3 is a copy, not a reply; 4 repeats what its sender wrote first
+    assert old(ranks=False) == set()
+
+
 # ---- 8 ---------------------------------------------------------------------------------------------------------------------------
 
 
