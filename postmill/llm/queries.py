@@ -11,6 +11,7 @@ QUERIES = {
     "p3_forms": lookalike.p3_forms,
     "p4_found": group_split.p4_found,
     "p4_split": group_split.p4_split,
+    "p4_authors": group_split.p4_authors,
     "p5_found": personal.p5_found,
     "p5_masked": personal.p5_masked,
     "p6_found": copies.p6_found,
@@ -37,6 +38,16 @@ _COPIES = (
     "g AS (SELECT domain, plain, min(root) AS root FROM r GROUP BY ALL), m AS (SELECT k.msg_id, k.domain, min(k.msg_id) OVER (PARTITION BY k.domain, g.root) AS keep_id, count(*) OVER (PARTITION BY k.domain, g.root) AS copies FROM k JOIN g ON g.domain = k.domain AND g.plain = k.plain) "
 )
 
+_SPLIT = (
+    "WITH RECURSIVE k AS (SELECT msg_id, coalesce('g' || \"group\", 'm' || msg_id) AS k, text, coalesce(lower(trim(domain)), '-') || '/' || coalesce(lower(trim(label)), '-') AS stratum FROM corpus), "
+    "n AS (SELECT k, min(msg_id) AS least FROM k GROUP BY k), e AS (SELECT DISTINCT a.k AS a, b.k AS b FROM k a JOIN k b ON a.text = b.text AND a.k <> b.k), "
+    "r(k, root) AS (SELECT k, least FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.k), c AS (SELECT k, min(root) AS component FROM r GROUP BY k), p AS (SELECT msg_id, component, stratum FROM k JOIN c USING (k)), "
+    "s AS (SELECT component, stratum, count(*) AS n FROM p GROUP BY ALL), w AS (SELECT component, sum(n)::bigint AS rows, arg_max(stratum, (n, stratum)) AS stratum FROM s GROUP BY component), "
+    f"d AS (SELECT *, length(bin(rows)) AS size, floor(('0x' || substr(md5('42:' || component), 1, 8))::bigint / 4294967296.0 * {group_split.BUCKETS})::int AS bucket FROM w), "
+    "g AS (SELECT stratum, size, bucket, sum(rows) AS rows FROM d GROUP BY ALL), "
+    "m AS (SELECT *, (sum(rows) OVER (PARTITION BY stratum, size ORDER BY bucket) - rows / 2) / sum(rows) OVER (PARTITION BY stratum, size) AS middle FROM g) "
+)
+
 ORACLES: dict[str, str] = {
     "p2_found": (
         f"WITH RECURSIVE n AS (SELECT msg_id, domain, regexp_replace(regexp_replace(lower(text), '\\p{{Nd}}', '0', 'g'), '{_BLANK}', ' ', 'g') AS t FROM corpus), "
@@ -50,6 +61,7 @@ ORACLES: dict[str, str] = {
         "SELECT m.root AS first_id, n.msg_id FROM n JOIN u USING (domain, t) JOIN m ON m.x = u.id WHERE n.msg_id <> m.root"
     ),
     "p4_found": "SELECT \"group\" AS group_id FROM (SELECT \"group\", lower(trim(split, E' \\t\\n\\r')) AS s FROM corpus WHERE \"group\" IS NOT NULL) WHERE s IN ('train', 'val', 'test') GROUP BY 1 HAVING count(DISTINCT s) > 1",
+    "p4_split": _SPLIT + "SELECT p.msg_id, p.component, CASE WHEN middle < 0.7 - 1e-12 THEN 'train' WHEN middle < 0.85 - 1e-12 THEN 'val' ELSE 'test' END AS split FROM p JOIN d USING (component) JOIN m ON m.stratum = d.stratum AND m.size = d.size AND m.bucket = d.bucket",
     "p6_found": _COPIES + "SELECT keep_id, msg_id FROM m WHERE msg_id <> keep_id",
     "p6_messages": _COPIES + "SELECT DISTINCT keep_id, domain, copies FROM m",
     "p9_found": f"WITH d AS (SELECT DISTINCT doc_id, unnest({_GRAMS}) AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents)), p AS (SELECT DISTINCT probe_id, unnest({_GRAMS}) AS g FROM (SELECT probe_id, {_WORDS} AS w FROM probes)) SELECT DISTINCT doc_id, probe_id FROM d JOIN p USING (g)",
