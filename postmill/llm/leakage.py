@@ -5,7 +5,8 @@ document, so texts are partitioned into windows of the size asked for: every `ru
 5-word shingles, and a window's signature is its least shingle under each of two hash functions. Equal windows have equal
 signatures, so no leak is missed, and a signature stays the same over several neighbouring windows, so a text has fewer of them than
 words. Signatures of documents and items are joined by equality (Catalyst broadcasts the items while their measured size is below
-its threshold and shuffles both sides beyond), and the document-item pairs that meet are verified on whole texts.
+its threshold and shuffles both sides beyond), and the document-item pairs that meet are verified on whole texts. Sizes need no
+further partition: what must be contained is `run` words of an item, whatever the item's own size, so every window has one size.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,17 +82,26 @@ def _signer(run: int):
     return signed
 
 
-def longest_run(a: list[str], b: list[str], run: int) -> bool:
-    """Whether a and b share `run` consecutive words."""
-    held = {tuple(a[i : i + run]) for i in range(len(a) - run + 1)}
-    return any(tuple(b[i : i + run]) in held for i in range(len(b) - run + 1))
+def runs(text: str, run: int) -> frozenset[tuple[str, ...]]:
+    """Every `run` consecutive words of a text."""
+    own = words(text)
+    return frozenset(tuple(own[i : i + run]) for i in range(len(own) - run + 1))
 
 
 def _verifier(run: int):
+    """Pairs of one document come one after another: its words are read once. Items are few and short, so theirs are kept."""
+
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_item = lru_cache(maxsize=4096)(lambda text: runs(text, run))
+        last, held = None, frozenset()
         for b in batches:
-            good = [longest_run(words(i), words(d), run) for d, i in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), b.column(1).filter(pa.array(good, pa.bool_()))], names=["doc", "item"])
+            good = []
+            for doc, item in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if doc != last:
+                    last, held = doc, runs(doc, run)
+                good.append(not held.isdisjoint(of_item(item)))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["doc", "item"])
 
     return verified
 
@@ -105,7 +116,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
         raise ValueError(f"run must be at least {SHINGLE}")
     d = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     i = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    asked = cut(i.mapInArrow(_signer(run), "id bigint, sig bigint").distinct().coalesce(1)).withColumnRenamed("id", "item")
+    asked = cut(i.mapInArrow(_signer(run), "id bigint, sig bigint").distinct()).withColumnRenamed("id", "item")
     offered = d.mapInArrow(_signer(run), "id bigint, sig bigint").withColumnRenamed("id", "doc")
     met = cut(offered.join(asked, "sig").select("doc", "item").distinct())
     with_item = met.join(i.select(F.col("id").alias("item"), F.col("text").alias("item_text")), "item")
