@@ -40,6 +40,11 @@ PACKAGING = (
     (r"([(\[$£]) ", "$1"),
     (r"(?:_ ){3,}_?", "_____"),
 )
+# What HTML drops with its contents, what breaks a line, any other tag; quoted lines, blanks and blank lines of a body.
+HTML_DROPPED = r"(?is)<(style|script|head)[^>]*>.*?</\1>"
+HTML_BREAK = r"(?i)<\s*(br|/p|/div|/tr|/li|/h\d)[^>]*>"
+HTML_TAG = r"<[^>]+>"
+QUOTED_LINE, BLANKS, BLANK_LINES = r"(?m)^[ \t\r\f\x0b]*>.*$", r"[ \t\r\f\x0b]+", r"\n\s*\n+"
 NAMED_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
@@ -115,13 +120,13 @@ def unpackage(c: Column) -> Column:
 
 def tidy(c: Column) -> Column:
     """Quoted lines dropped, blanks and blank lines squeezed."""
-    c = _chain(c, [(r"(?m)^[ \t\r\f\x0b]*>.*$", ""), (r"[ \t\r\f\x0b]+", " "), (r"\n\s*\n+", "\n")])
+    c = _chain(c, [(QUOTED_LINE, ""), (BLANKS, " "), (BLANK_LINES, "\n")])
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def html_to_text(c: Column) -> Column:
     """Style, script and head dropped, breaks as line feeds, other tags as blanks, named entities read."""
-    c = _chain(c, [(r"(?is)<(style|script|head)[^>]*>.*?</\1>", " "), (r"(?i)<\s*(br|/p|/div|/tr|/li|/h\d)[^>]*>", "\n"), (r"<[^>]+>", " ")])
+    c = _chain(c, [(HTML_DROPPED, " "), (HTML_BREAK, "\n"), (HTML_TAG, " ")])
     return reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), NAMED_ENTITIES, c)
 
 

@@ -5,6 +5,7 @@ Schemas are declared, never inferred. Paths may be folders or globs; nothing is
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,8 +74,8 @@ def read_mail_parquet(spark: SparkSession, *paths: str, source: str = "mail_corp
     return _named(out, "email", source, F.col("_year")).drop("_year")
 
 
-def _mail(raw: DataFrame, label: Column, source: str, default_year: int) -> DataFrame:
-    parsed = raw.withColumn("_m", U.parse_mime("content"))
+def _mail(raw: DataFrame, label: Column, source: str, default_year: int, boxed: bool = False) -> DataFrame:
+    parsed = raw.withColumn("_m", U.parse_mime("content", boxed))
     text = U.fix_encoding(T.as_message(F.col("_m.subject"), F.col("_m.body")))
     return _named(parsed.select(label.alias("label"), text.alias("text"), F.coalesce("_m.year", F.lit(default_year)).alias("_year"), *[c for c in raw.columns if c == "file"]), "email", source, F.col("_year")).drop("_year")
 
@@ -92,29 +93,71 @@ def read_mail_folders(spark: SparkSession, folders: dict[str, str], source: str
 
 
 def read_mbox(spark: SparkSession, path: str, label: str = "phishing", source: str = "mail_phish", default_year: int = 2005) -> DataFrame:
-    """Mailboxes cut at their `From ` lines by the text source, so a large mailbox is split over tasks; the year is the file name's."""
-    raw = spark.read.option("lineSep", "\nFrom ").text(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
-    body = F.regexp_replace(F.regexp_replace("value", r"^(?:From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
-    mail = _mail(raw.filter(F.length(F.trim("value")) > 0).select(F.encode(body, "UTF-8").alias("content"), "file"), F.lit(label), source, default_year)
+    """Mailboxes cut at their `From ` lines by the text source, so a large mailbox is split over tasks; the year is the file name's.
+
+    The source hands on the bytes of a record as they are, and they go to the parser as binary: bodies in any charset stay whole.
+    """
+    raw = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("value").cast("binary").alias("content"), F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"))
+    mail = _mail(raw.filter(F.octet_length("content") > 1), F.lit(label), source, default_year, boxed=True)
     return mail.withColumn("year", F.coalesce(F.expr(r"try_cast(regexp_extract(file, '(\\d{4})$', 1) AS INT)"), F.lit(default_year)))
 
 
-def read_zipped(spark: SparkSession, path: str, member: str = "") -> DataFrame:
-    """(path, member, content) of the files inside zip archives, one archive a task at a time."""
+def _members(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
+    """(member, bytes) of the files in a zip or a tar archive, compressed or not, one at a time."""
     import io
+    import tarfile
     import zipfile
 
+    if zipfile.is_zipfile(io.BytesIO(content)):
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            yield from ((x, archive.read(x)) for x in archive.namelist() if not x.endswith("/"))
+    elif re.search(r"\.(?:tar|tgz|tbz2?|txz)(?:\.(?:gz|bz2|xz))?$", name):
+        with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+            yield from ((x.name, archive.extractfile(x).read()) for x in archive if x.isfile())
+    else:
+        raise ValueError(f"no archive: {name}")
+
+
+def read_archive(spark: SparkSession, path: str, member: str = "") -> DataFrame:
+    """(path, member, content) of the files inside zip and tar archives whose name holds `member`; one archive a task at a time, each member its own row and batch."""
+
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for name, content in zip(frame["path"], frame["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    rows += [(name, x, archive.read(x)) for x in archive.namelist() if member in x and not x.endswith("/")]
-            yield pd.DataFrame(rows, columns=["path", "member", "content"])
+                for inner, data in _members(name, content):
+                    if member in inner:
+                        yield pd.DataFrame({"path": [name], "member": [inner], "content": [data]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "path string, member string, content binary")
 
 
+def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """JSON lines, or files that each hold one value or an array of them (found by their first character)."""
+    lines = spark.read.text(path, wholetext=False).limit(1).collect()
+    whole = bool(lines) and (lines[0][0].lstrip().startswith("[") or not lines[0][0].rstrip().endswith("}"))
+    return spark.read.schema(schema).json(path, multiLine=whole)
+
+
+# The public collections the message schema was made for: where each is read from below a root folder, and how. Archives are fetched by hand.
+CATALOGUE: dict[str, tuple[str, str, str]] = {
+    "sms_archive": ("sms_archive/*.tsv", "sms", "tsv"), "sms_relabel": ("sms_relabel/*.csv", "sms", "csv"), "sms_survey": ("sms_survey/*.csv", "sms", "ragged"),
+    "mail_corp": ("mail_corp/*.parquet", "email", "mail_parquet"), "mail_lists": ("mail_lists", "email", "mail_folders"), "mail_phish": ("mail_phish/*", "email", "mbox"),
+}
+
+
+def read_catalogue(spark: SparkSession, root: str, *names: str, folders: dict[str, str] | None = None) -> DataFrame:
+    """The named sources of CATALOGUE (all, if none is named) below `root`, in one table; folders: label of each folder of `mail_lists`."""
+    from postmill.schema import union_messages
+
+    readers = {
+        "tsv": lambda p, s: read_tsv(spark, p, source=s), "csv": lambda p, s: read_csv(spark, p, source=s), "ragged": lambda p, s: read_ragged(spark, p, source=s), "mail_parquet": lambda p, s: read_mail_parquet(spark, p, source=s),
+        "mail_folders": lambda p, s: read_mail_folders(spark, {f"{p}/{folder}": label for folder, label in (folders or {"easy_ham": "ham", "hard_ham": "hard_ham", "spam": "spam"}).items()}, source=s), "mbox": lambda p, s: read_mbox(spark, p, source=s),
+    }
+    if unknown := set(names) - set(CATALOGUE):
+        raise ValueError(f"no such source: {sorted(unknown)}")
+    return union_messages(*(readers[kind](f"{root.rstrip('/')}/{path}", name) for name, (path, _, kind) in CATALOGUE.items() if not names or name in names))
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """An append-only JSON-lines cache, the newest entry of each (model, variant, id)."""
     rows = spark.read.schema("seq bigint, model string, variant string, id string, label string, secs double").json(path)

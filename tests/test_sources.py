@@ -70,12 +70,38 @@ def test_folders_and_mailboxes(spark, tmp_path):
     assert [(r.text, r.year, r.file) for r in got] == [("Subject: one\nfirst\nFrom here", 2017, "phishing-2017"), ("Subject: two\nsecond", 2017, "phishing-2017")]
 
 
+def test_bytes_of_mailboxes_stay_whole(spark, tmp_path):
+    (tmp_path / "box-2001").write_bytes(b"From a@x Tue\nSubject: one\n\nfirst\n\nFrom b@x Wed\nSubject: two\nContent-Type: text/plain; charset=windows-1252\n\ncaf\xe9 \x80 5\n")
+    got = readers.read_mbox(spark, str(tmp_path / "box-2001")).orderBy("text").collect()
+    assert [r.text for r in got] == ["Subject: one\nfirst", "Subject: two\ncafé € 5"]
+
+
+def test_json_and_catalogue(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"x": 1},\n {"x": 2}]')
+    (tmp_path / "b.jsonl").write_text('{"x": 3}\n{"x": 4}\n')
+    assert [r.x for r in readers.read_json(spark, str(tmp_path / "a.json"), "x int").collect()] == [1, 2]
+    assert [r.x for r in readers.read_json(spark, str(tmp_path / "b.jsonl"), "x int").collect()] == [3, 4]
+    (tmp_path / "sms_archive").mkdir()
+    (tmp_path / "sms_archive" / "a.tsv").write_text("ham\thello\n")
+    got = readers.read_catalogue(spark, str(tmp_path), "sms_archive").first()
+    assert (got.text, got.source, got.domain) == ("hello", "sms_archive", "sms")
+
+
+def test_tar(spark, tmp_path):
+    import tarfile
+
+    (tmp_path / "a.txt").write_text("hello")
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as archive:
+        archive.add(tmp_path / "a.txt", "d/a.txt")
+    assert [(r.member, bytes(r.content)) for r in readers.read_archive(spark, str(tmp_path / "a.tar.gz")).collect()] == [("d/a.txt", b"hello")]
+
+
 def test_zip_and_digest(spark, tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
         z.writestr("d/a.txt", "hello")
     (tmp_path / "a.zip").write_bytes(buffer.getvalue())
-    assert [(r.member, bytes(r.content)) for r in readers.read_zipped(spark, str(tmp_path / "a.zip")).collect()] == [("d/a.txt", b"hello")]
+    assert [(r.member, bytes(r.content)) for r in readers.read_archive(spark, str(tmp_path / "a.zip")).collect()] == [("d/a.txt", b"hello")]
     assert len(sinks.bundle_digest(spark.read.format("binaryFile").load(str(tmp_path))).first().digest) == 12
 
 

@@ -63,7 +63,7 @@ def test_tidy_and_html(spark):
     assert one(spark, "a\n> quoted\n\n\n b \t c ", T.tidy) == "a\n b c"
     html = "<style>p{}</style><p>Hi &amp; <b>you</b></p>bye<br>now"
     assert one(spark, html, T.html_to_text).split() == ["Hi", "&", "you", "bye", "now"]
-    assert U.plain_html(html).split() == ["Hi", "&", "you", "bye", "now"]
+    assert U.page_text(html).split() == ["Hi", "&", "you", "bye", "now"]
 
 
 def test_attacks_are_drawn_per_row_and_rate_0_is_identity(spark):
