@@ -3,8 +3,8 @@
 Two texts of one domain are similar if the Jaccard similarity of their 5-character shingle sets (after `normalise`) is at least
 `threshold`. Similar texts, directly or through others, form a group. Steps:
 
-1. Texts that normalise alike have one representative (the least id); each task sketches a text once, however often it comes, and
-   what the sketches of copies propose is counted for their representatives.
+1. Each task sketches a text once, however often it comes; texts that normalise alike are one group by their digests, so copies that
+   different tasks have sketched are linked without a look at them, and copies that no task has sketched follow their digest.
 2. Shingles are hashed; a doc of n shingles lies in the size band floor(log(n) / log(1 / threshold)), so similar docs lie in one band
    or in neighbouring bands, and every doc is sketched for its own band and the next, SKETCHES times for each with independent hashes.
    A sketch splits the hash space into PARTS parts, samples the shingles at a rate that leaves about PER_PART in each part, and XORs
@@ -12,9 +12,10 @@ Two texts of one domain are similar if the Jaccard similarity of their 5-charact
    number of parts that differ is a lower bound of the symmetric difference; with at most d differences among PARTS parts some part
    agrees (always for d < PARTS, which covers short texts; above that one part agrees with probability exp(-d / PARTS), so the
    sketches are repeated).
-3. Docs with equal parts meet in a bucket keyed by domain, band, part and parity. A bucket's rows, in a pseudo-random order that
-   differs from bucket to bucket, are proposed each to the first and to the one before: a linear number of proposals in one pass. No
-   bucket can hold more than 1 / PARTS of a band's rows, so a campaign of a third of all rows is spread over many tasks.
+3. Docs with equal parts meet in a bucket keyed by domain, band, part and parity. All pairs of a bucket of up to FULL rows are
+   proposed; the rows of a larger one, in a pseudo-random order that differs from bucket to bucket, each with the first and with the
+   one before: a linear number of proposals in one pass. No bucket can hold more than 1 / PARTS of a band's rows, so a campaign of a
+   third of all rows is spread over many tasks.
 4. Every doc that was proposed gets a parity bit sketch of twice as many bits as it has shingles: each shingle turns one bit, so the
    Hamming distance of two sketches is a lower bound of the symmetric difference, and a proposal whose distance exceeds what the
    threshold allows for the two sizes is ruled out, without error and without its texts.
@@ -43,6 +44,7 @@ from postmill.runtime import cut, release, table
 
 K = 5
 SKETCHES, PARTS, PER_PART, LEAST = 2, 20, 4, 3
+FULL = 8  # rows of a bucket up to which all its pairs are proposed
 BLOCK = 1024  # members of a bucket that are compared with as many others in one task
 LEAST_BITS = 256
 AT_ONCE = 1 << 21  # 64-bit words of bit sketches compared at once
@@ -176,17 +178,22 @@ def may_be_similar(n: np.ndarray, a: list[bytes], m: np.ndarray, b: list[bytes],
     return apart <= most_apart(n, m, threshold)
 
 
+def _digest(domain: str | None, norm: str) -> bytes:
+    return hashlib.md5(f"{domain!r}\0{norm}".encode("utf-8", "surrogatepass")).digest()
+
+
 def _normal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        norms = [normalise(t) for t in b.column(1).to_pylist()]
+        norms = [normalise(t) for t in b.column(2).to_pylist()]
+        keys = [_digest(d, t) for d, t in zip(b.column(1).to_pylist(), norms)]
         n, bits = bit_sketches(norms)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(norms, pa.string()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["id", "norm", "n", "bits"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(norms, pa.string()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["id", "key", "norm", "n", "bits"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = [hashlib.md5(normalise(t).encode("utf-8", "surrogatepass")).digest() for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary())], names=["id", "domain", "key"])
+        keys = [_digest(d, normalise(t)) for d, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary())], names=["id", "key"])
 
 
 def _sketcher(threshold: float):
@@ -198,7 +205,7 @@ def _sketcher(threshold: float):
             ids, norms, salts = [], [], []
             for i, domain, text in zip(*(b.column(k).to_pylist() for k in range(3))):
                 norm = normalise(text)
-                key = hashlib.md5(f"{domain}\0{norm}".encode("utf-8", "surrogatepass")).digest()
+                key = _digest(domain, norm)
                 if key not in seen:
                     seen.add(key)
                     ids.append(i), norms.append(norm), salts.append(_salt(domain))
@@ -264,39 +271,45 @@ def _verify(pairs: DataFrame, normal: DataFrame, threshold: float) -> DataFrame:
 
 
 def _pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket and turned id: each member of a bucket with the bucket's first and with the one before it.
+    """Rows come sorted by bucket and turned id: all pairs of a bucket of up to FULL rows; of a larger one each row with the first and with the one before.
 
-    A bucket of four rows or more, which so leaves pairs unproposed, also gives each of its rows once, as (null, id, bucket). Holds
-    five ids between batches, whatever the size of a bucket.
+    A larger bucket, which so leaves pairs unproposed, also gives each of its rows once, as (null, id, bucket). Holds FULL rows and two
+    ids between batches, whatever the size of a bucket.
     """
-    first_bucket = first = before = None
-    crowded, held = None, (np.empty(0, np.int64), np.empty(0, np.int64))
-    for b in batches:
-        bucket, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(ids):
+    held = (np.empty(0, np.int64), np.empty(0, np.int64))
+    going = None  # (bucket, first, previous) of a large bucket whose rows go on
+    for b in itertools.chain(batches, [None]):  # None: the rows still held
+        bucket, ids = held if b is None else (np.concatenate((h, b.column(k).to_numpy())) for k, h in enumerate(held))
+        if not len(bucket):
             continue
-        all_buckets, all_ids = np.concatenate((held[0], bucket)), np.concatenate((held[1], ids))
-        new = np.concatenate(([True], all_buckets[1:] != all_buckets[:-1]))
-        run = np.cumsum(new) - 1
-        many = (np.bincount(run) >= 4)[run]
-        if crowded is not None:
-            many |= all_buckets == crowded
-        members, of = all_ids[many], all_buckets[many]
-        if many[-1]:
-            crowded, held = all_buckets[-1], (all_buckets[:0], all_ids[:0])
+        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        sizes = np.diff(np.append(starts, len(bucket)))
+        large = sizes > FULL
+        goes_on = going is not None and going[0] == bucket[0]
+        large[0] |= goes_on
+        if b is not None and not large[-1]:
+            held, keep = (bucket[starts[-1] :], ids[starts[-1] :]), starts[-1]
         else:
-            crowded, held = None, (all_buckets[run == run[-1]], all_ids[run == run[-1]])
-        new = np.concatenate(([first_bucket is None or bucket[0] != first_bucket], bucket[1:] != bucket[:-1]))
-        start = np.maximum.accumulate(np.where(new, np.arange(len(ids)), -1))
-        head = np.where(start >= 0, ids[start], first if first is not None else ids[0])
-        last = np.concatenate(([before if before is not None else ids[0]], ids[:-1]))
-        who, head, last = ids[~new], head[~new], last[~new]
-        a, c = np.concatenate((who, who)), np.concatenate((head, last))
-        first_bucket, first, before = bucket[-1], (ids[start[-1]] if start[-1] >= 0 else first), ids[-1]
-        keep = a != c
-        lo, hi = np.minimum(a, c)[keep], np.maximum(a, c)[keep]
+            held, keep = (bucket[:0], ids[:0]), len(bucket)
+        open_, of_large = (large[-1], ids[starts[-1]], ids[-1], bucket[-1]), np.repeat(large, sizes)[:keep]
+        bucket, ids = bucket[:keep], ids[:keep]
+        pairs = [np.empty((2, 0), np.int64)]
+        for k in range(1, min(FULL, len(ids))):
+            same = (bucket[k:] == bucket[:-k]) & ~of_large[k:]
+            pairs.append(np.stack((ids[k:][same], ids[:-k][same])))
+        if of_large.any():
+            head = np.repeat(ids[starts[starts < keep]], sizes[: (starts < keep).sum()])[:keep]
+            before = np.concatenate((ids[:1], ids[:-1]))
+            inner = np.concatenate(([False], bucket[1:] == bucket[:-1]))
+            if goes_on:
+                head[: sizes[0]], before[0], inner[0] = going[1], going[2], True
+            inner &= of_large
+            pairs += [np.stack((ids[inner], head[inner])), np.stack((ids[inner], before[inner]))]
+        going = (open_[3], going[1] if goes_on and len(starts) == 1 else open_[1], open_[2]) if open_[0] else None
+        a, c = np.concatenate(pairs, axis=1)
+        a, c, members, of = a[a != c], c[a != c], ids[of_large], bucket[of_large]
         yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(lo), pa.nulls(len(members), pa.int64())]), pa.array(np.concatenate((hi, members))), pa.concat_arrays([pa.nulls(len(lo), pa.int64()), pa.array(of)])],
+            [pa.concat_arrays([pa.array(np.minimum(a, c)), pa.nulls(len(members), pa.int64())]), pa.array(np.concatenate((np.maximum(a, c), members))), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(of)])],
             names=["lo", "hi", "bucket"],
         )
 
@@ -310,14 +323,13 @@ def _proposals(sketch: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, Dat
     return met.filter("bucket is null").select("lo", "hi", "votes"), met.filter("bucket is not null").select("bucket", F.col("hi").alias("id")), met
 
 
-def _open_members(crowded: DataFrame, member: DataFrame, close: DataFrame) -> DataFrame:
+def _open_members(crowded: DataFrame, close: DataFrame) -> DataFrame:
     """(bucket, rep, component, n) of the buckets whose members lie in several components; of buckets with the same members one."""
-    named = crowded.join(member, "id").select("bucket", "rep").distinct()
-    placed = named.join(close.withColumnsRenamed({"node": "rep"}), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = crowded.withColumnRenamed("id", "rep").join(close.withColumnsRenamed({"node": "rep"}), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     marks = placed.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(rep, 1))").alias("y"), F.min("component").alias("least"), F.max("component").alias("most")
     )
-    one = marks.filter("least < most and n > 2").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    one = marks.filter("least < most").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     return placed.join(one, "bucket")
 
 
@@ -409,33 +421,31 @@ def near_duplicates(df: DataFrame, id_col: str = "msg_id", text_col: str = "text
     texts; a repeated row comes out as often as it comes in; ids must be non-negative and below 2^62, one text each. Other columns are not read.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(by).cast("string").alias("domain"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    keyed = cut(rows.mapInArrow(_keys, "id bigint, domain string, key binary"))
-    least = keyed.groupBy("domain", "key").agg(F.min("id").alias("rep"))
-    k, m = keyed.alias("k"), least.alias("m")
-    member = cut(k.join(m, F.expr("k.domain <=> m.domain and k.key = m.key")).select("k.id", "m.rep"))
-    release(keyed)
     parts = max(12, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met, crowded, proposed = _proposals(rows.mapInArrow(_sketcher(threshold), "id bigint, bucket bigint"), parts)
-    lo, hi = (member.withColumnsRenamed({"id": side, "rep": f"{side}_rep"}) for side in ("lo", "hi"))
-    named = met.join(lo, "lo").join(hi, "hi").filter("lo_rep <> hi_rep")
-    proposals = cut(named.groupBy(F.least("lo_rep", "hi_rep").alias("lo"), F.greatest("lo_rep", "hi_rep").alias("hi")).agg(F.sum("votes").alias("votes")))
+    proposals, crowded, proposed = _proposals(rows.mapInArrow(_sketcher(threshold), "id bigint, bucket bigint"), parts)
     met = proposals.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
-    texts = cut(rows.join(met, "id", "left_semi").select("id", "text").mapInArrow(_normal_batches, "id bigint, norm string, n bigint, bits binary"))
+    texts = cut(rows.join(met, "id", "left_semi").mapInArrow(_normal_batches, "id bigint, key binary, norm string, n bigint, bits binary"))
     pairs = cut(_sift(proposals, texts, threshold))
-    release(proposals)
+    least = texts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lo")
+    copies = cut(texts.select("id", "key").join(least, "key").filter("id > lo").select("lo", F.col("id").alias("hi")).distinct())
+    crowded = crowded.join(copies.select(F.col("hi").alias("id")), "id", "left_anti")  # the least copy is in the same buckets
     sides = pairs.select(F.col("lo").alias("id"), "lo", "hi", "votes").union(pairs.select(F.col("hi").alias("id"), "lo", "hi", "votes"))
     best = sides.groupBy("id").agg(F.expr("max_by(struct(lo, hi), struct(votes, -lo, -hi))").alias("p")).select("p.lo", "p.hi").distinct()
-    links = cut(_verify(best, texts, threshold))
+    links = copies.union(cut(_verify(best, texts, threshold)))
     close = cut(connected_components(links, "lo", "hi"))
-    for found in (lambda: _verify(_apart(pairs, close), texts, threshold), lambda: _bucket_links(cut(_open_members(crowded, member, close)), texts, threshold, parts)):
+    for found in (lambda: _verify(_apart(pairs, close), texts, threshold), lambda: _bucket_links(cut(_open_members(crowded, close)), texts, threshold, parts)):
         more = cut(found())
         if not more.isEmpty():
             links = links.union(more)
             close = cut(connected_components(links, "lo", "hi"))
-    release(pairs, texts, proposed)
-    out = member.join(close.withColumnsRenamed({"node": "rep"}), "rep", "left")
-    # ids of a class: the least id overall is the least representative, as a representative is the least id of its copies
-    return out.select("id", F.coalesce("component", "rep").alias("class_id"))
+    # a text's copies share its digest: digest -> component -> least id
+    placed = texts.select("id", "key").join(close.withColumnsRenamed({"node": "id"}), "id").groupBy("key").agg(F.min("component").alias("component"))
+    keyed = cut(rows.mapInArrow(_keys, "id bigint, key binary").join(placed, "key", "left"))
+    release(proposed, texts)
+    group = [F.when(F.col("component").isNull(), F.col("key")).alias("key"), F.col("component")]
+    first = keyed.groupBy(*group).agg(F.min("id").alias("class_id")).alias("f")
+    k = keyed.select("id", *group).alias("k")
+    return k.join(first, F.expr("k.key <=> f.key and k.component <=> f.component")).select("k.id", "f.class_id")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,16 +88,30 @@ def test_pairs_among_unlike_rows_of_one_bucket_are_found(spark, monkeypatch):
     assert got == {k: k - 60 if k > 60 else k for k in range(1, 91)}
 
 
-def test_crowded_buckets_are_given_whole_whatever_the_batches():
+def test_buckets_are_paired_whatever_the_batches():
+    import itertools
+
     import numpy as np
     import pyarrow as pa
 
-    sizes = [1, 4, 2, 9, 3, 5]
-    bucket, ids = np.repeat(np.arange(6), sizes), np.arange(sum(sizes))
-    for step in (1, 2, 3, 5, 50):
+    sizes = [1, 4, 2, 9, 3, 8, 30, 12, 1, 25]
+    bucket, ids = np.repeat(np.arange(len(sizes)), sizes), np.arange(sum(sizes))
+    runs = np.split(ids, np.cumsum(sizes)[:-1])
+    want = set()
+    for run in (r.tolist() for r in runs):
+        want |= set(itertools.combinations(run, 2)) if len(run) <= near_dup.FULL else {(run[0], x) for x in run[1:]} | set(itertools.pairwise(run))
+    for step in (1, 2, 3, 5, 7, 11, 26, 500):
         batches = [pa.RecordBatch.from_arrays([pa.array(bucket[k : k + step]), pa.array(ids[k : k + step])], names=["bucket", "id"]) for k in range(0, len(ids), step)]
-        out = [r for b in near_dup._pairing(iter(batches)) for r in b.to_pylist() if r["bucket"] is not None]
-        assert sorted((r["bucket"], r["hi"]) for r in out) == [(int(b), int(k)) for b, k in zip(bucket, ids) if sizes[b] >= 4]
+        out = [r for b in near_dup._pairing(iter(batches)) for r in b.to_pylist()]
+        assert {(r["lo"], r["hi"]) for r in out if r["bucket"] is None} == want, step
+        assert sorted((r["bucket"], r["hi"]) for r in out if r["bucket"] is not None) == [(int(b), int(k)) for b, k in zip(bucket, ids) if sizes[b] > near_dup.FULL]
+
+
+def test_copies_of_several_tasks_are_one(spark):
+    rows = [(k, "sms", "the very same words, again and again" + "!" * (k % 2)) for k in range(400)] + [(400 + k, "email", f"no two of these {k * 7919} are {k * 104729} alike {chr(97 + k)}") for k in range(20)]
+    df = spark.createDataFrame(rows, "msg_id bigint, domain string, text string").repartition(12)
+    got = {r.id: r.class_id for r in near_dup.near_duplicates(df).collect()}
+    assert got == brute_groups(rows)
 
 
 def test_bit_sketches_bound_the_difference_and_fold():
