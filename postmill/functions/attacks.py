@@ -57,11 +57,15 @@ def attack(text: Column, row: Column, name: str, rate: Column | float, seed: str
     rate = rate if isinstance(rate, Column) else F.lit(float(rate))
     pieces = F.regexp_extract_all(text, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
 
-    def touch(piece: Column, at: Column) -> Column:
+    def drawn(piece: Column, at: Column) -> Column:
+        """The piece and its luck, null where it is left alone: drawn here once, not at each use."""
         hit = piece.rlike(f"^[A-Za-z]{{{LEAST_LETTERS},}}$") & (draw(f"{seed}:hit", row, at) < rate)
-        return F.when(hit, how(piece, draw(f"{seed}:luck", row, at))).otherwise(piece)
+        return F.struct(piece.alias("piece"), F.when(hit, draw(f"{seed}:luck", row, at)).alias("luck"))
 
-    return F.array_join(F.transform(pieces, touch), "")
+    def touch(word: Column) -> Column:
+        return F.when(word["luck"].isNull(), word["piece"]).otherwise(how(word["piece"], word["luck"]))
+
+    return F.array_join(F.transform(F.transform(pieces, drawn), touch), "")
 
 
 def augment(df: DataFrame, id_col: str = "msg_id", text_col: str = "text", label_col: str = "label", seed: str = "0") -> DataFrame:

@@ -16,6 +16,10 @@ CONFUSABLE_TO = "aeopcyxiABEKMHOPCTXoav"
 LEET_FROM, LEET_TO = "013457@$", "oieastas"
 ZERO_WIDTH = "[\\u200b-\\u200f\\u2060\\ufeff]"
 # An address; the entities in the order they are tagged.
+# Full-width signs stand 0xFEE0 above their ASCII forms. Ligatures of Latin letters.
+WIDE = "".join(chr(0xFEE0 + x) for x in range(0x21, 0x7F))
+NARROW = "".join(map(chr, range(0x21, 0x7F)))
+LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ĳ", "ij"), ("Ĳ", "IJ"), ("ǆ", "dž"), ("ǉ", "lj"), ("ǌ", "nj"))
 ADDRESS = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 ENTITIES = (
     ("xxemail", r"(?dU)[\w.+-]+@[\w-]+(\.[\w-]+)+"),
@@ -58,9 +62,20 @@ def repair_latin1(c: Column) -> Column:
     return F.when(fits, F.coalesce(F.try_validate_utf8(F.encode(F.when(fits, c), "ISO-8859-1")), c)).otherwise(c)
 
 
+def read_entities(c: Column) -> Column:
+    """Named entities read, in texts without a tag."""
+    return F.when(c.contains("<"), c).otherwise(reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), NAMED_ENTITIES, c))
+
+
+def plain_forms(c: Column) -> Column:
+    """Full-width signs and ligatures as plain letters; a text of ASCII is left alone."""
+    flat = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), LIGATURES, F.translate(c, WIDE, NARROW))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), flat).otherwise(c)
+
+
 def dedup_key(c: Column) -> Column:
-    """Letters a-z and digits of the repaired, lower-cased text."""
-    return F.regexp_replace(F.lower(repair_latin1(c)), "[^a-z0-9]", "")
+    """Letters a-z and digits of the text, repaired, entities and other forms of letters read, lower-cased."""
+    return F.regexp_replace(F.lower(plain_forms(read_entities(repair_latin1(c)))), "[^a-z0-9]", "")
 
 
 def latin_share(c: Column) -> Column:
@@ -86,7 +101,8 @@ def deleet(c: Column) -> Column:
         wordish = t.rlike(r"(?U)\p{L}") & (digits <= F.length(t) / 2) & ~t.rlike(f"(?dU){ADDRESS}")
         return F.when(wordish, F.translate(t, LEET_FROM, LEET_TO)).otherwise(t)
 
-    return F.array_join(F.transform(runs, word), "")
+    mixed = c.rlike(r"(?U)\p{L}[^\s]*[013457@$]|[013457@$][^\s]*\p{L}")  # a run with a letter and a sign of LEET_FROM
+    return F.when(mixed, F.array_join(F.transform(runs, word), "")).otherwise(c)
 
 
 def tag_entities(c: Column) -> Column:

@@ -81,12 +81,11 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int =
 
 SHINGLE = 5
 PERMUTATIONS, BANDS, ROWS = 126, 14, 9
-_PRIME = np.uint64((1 << 61) - 1)
 
 
 def _parameters(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(1, 1 << 31, n, dtype=np.uint64), rng.integers(0, 1 << 31, n, dtype=np.uint64)
+    return rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
 def masked(text: Column) -> Column:
@@ -112,7 +111,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys = [], []
         for i, domain, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             sh = _shingles(text)
-            signature = ((sh[:, None] * a + b) % _PRIME).min(axis=0)
+            signature = (sh * a[:, None] + b[:, None]).min(axis=1) >> np.uint64(20)  # multiply-shift hashing; a permutation at a time stays in the cache
             salt = np.uint64(hash_text(domain or ""))
             folded = np.zeros(BANDS, np.uint64)
             for r in range(ROWS):

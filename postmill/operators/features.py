@@ -6,7 +6,18 @@ feature of the vectoriser), with ties by term.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
+
+from postmill.runtime import cut
+
+# Fixed value: white space as `(?U)\\s` of the JVM has it.
+_WORD = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
 def _joined(tokens: Column, n: int):
@@ -44,6 +55,29 @@ def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     return F.flatten(F.transform(padded, grams))
 
 
+def char_counts(df: DataFrame, low: int = 2, high: int = 5, id_col: str = "msg_id", text_col: str = "text") -> DataFrame:
+    """(id, term, tf): the n-grams of `char_ngrams`, counted row by row in one pass over Arrow batches, so that only distinct n-grams of a row leave it. Null texts have none."""
+    rows = df.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).filter("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, terms, counts = [], [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                own: Counter[str] = Counter()
+                for word in _WORD.findall(text):
+                    padded = f" {word} "
+                    size = len(padded)
+                    own.update([padded[i : i + n] for n in range(low, min(high, size) + 1) for i in range(size - n + 1)])
+                    if size < low:
+                        own[padded] += 1
+                at += [k] * len(own)
+                terms += own.keys()
+                counts += own.values()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["id", "term", "tf"])
+
+    return rows.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, term string, tf bigint")
+
+
 def term_counts(df: DataFrame, terms: Column, id_col: str = "msg_id") -> DataFrame:
     """(id, term, tf)."""
     return df.select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -80,3 +114,20 @@ def chi_squared(weights: DataFrame, labels: DataFrame) -> DataFrame:
 
 def top(scores: DataFrame, by: str, k: int) -> DataFrame:
     return scores.orderBy(F.desc(by), "term").limit(k)
+
+
+def indexed(vocab: DataFrame, first: int = 0) -> DataFrame:
+    """(term, df, i): the vocabulary numbered from `first` in the order of its terms. One task sorts it: its size is the vectoriser's `max_terms`."""
+    return vocab.select("term", "df", (F.row_number().over(Window.orderBy("term")) - 1 + first).alias("i"))
+
+
+def vectors(weights: DataFrame, size: int, ids: DataFrame) -> DataFrame:
+    """(id, features): sparse vectors of (id, i, w) for every row of `ids`, built in the JVM: a vector is stored as the struct it is read from."""
+    from pyspark.ml.linalg import VectorUDT
+
+    entries = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("e"))
+    none = F.array().cast("array<struct<i:int,w:double>>")
+    filled = ids.join(entries, "id", "left").withColumn("e", F.coalesce("e", none))
+    stored = filled.select("id", F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("e.i").cast("array<int>").alias("indices"), F.col("e.w").alias("values")).alias("features"))
+    kind = StructType([stored.schema["id"], StructField("features", VectorUDT())])
+    return cut(stored, schema=kind)

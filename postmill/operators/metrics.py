@@ -109,17 +109,45 @@ def calibration_error(df: DataFrame, by: Sequence[str], bins: int = 10) -> DataF
     return cells.groupBy(*by).agg((F.sum(F.abs(F.col("h") - F.col("s"))) / F.sum("n")).alias("ece"))
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(by..., edges): exact interpolated quantiles of `value` at `shares`, without a group's values in one task.
+
+    Counts by distinct value are cumulated over BINS bins of the value's range first and inside a bin after, so no task sorts more than
+    a bin. Null values do not count.
+    """
+    steps = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    span = steps.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("n").alias("total"))
+    s, r = steps.alias("s"), span.alias("r")
+    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
+    placed = s.join(r, _same(by, "s", "r")).select(*(F.col(f"s.{c}").alias(c) for c in by), F.col(value).alias("v"), "n", "total", F.floor((F.col(value) - F.col("lo")) / width * BINS).alias("bin"))
+    bins = placed.groupBy(*by, "bin").agg(F.sum("n").alias("bn"), F.first("total").alias("total"))
+    before = F.sum("bn").over(Window.partitionBy(*by).orderBy("bin")) - F.col("bn")
+    wanted = F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(float(x)) * (F.col("total") - 1)).alias("rank")) for k, x in enumerate(shares)))
+    asked = bins.withColumn("n0", before).withColumn("w", F.explode(wanted))
+    # a quantile lies between the values at the ranks below and above it, which may stand in two bins
+    hit = asked.filter((F.floor("w.rank") >= F.col("n0")) & (F.floor("w.rank") < F.col("n0") + F.col("bn")) | (F.ceil("w.rank") >= F.col("n0")) & (F.ceil("w.rank") < F.col("n0") + F.col("bn")))
+    inside = Window.partitionBy(*by, "bin").orderBy("v")
+    p, h = placed.withColumn("c", F.sum("n").over(inside)).alias("p"), hit.alias("h")
+    met = p.join(h, _same([*by, "bin"], "p", "h")).select(*(F.col(f"p.{c}").alias(c) for c in by), "v", (F.col("n0") + F.col("c") - F.col("n")).alias("from"), (F.col("n0") + F.col("c")).alias("to"), F.col("w.k").alias("k"), F.col("w.rank").alias("rank"))
+    at = lambda x: F.max(F.when((x >= F.col("from")) & (x < F.col("to")), F.col("v")))
+    ends = met.groupBy(*by, "k").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"), F.first("rank").alias("rank"))
+    value_at = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
+    return ends.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value_at.alias("v")))), lambda x: x["v"]).alias("edges"))
+
+
+def _same(columns: Sequence[str], a: str, b: str) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
 def reliability(df: DataFrame, by: Sequence[str], bins: int = 8) -> DataFrame:
     """(by..., bin, n, mean_score, scam_share) over quantile bins of the scam score."""
-    score = (1 - F.col("p_legit")).alias("s")
-    scored = df.select(*by, score, (F.col("y") > 0).cast("double").alias("hit"))
-    edges = scored.groupBy(*by).agg(F.percentile("s", F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("edges"))
-    a, e = scored.alias("a"), edges.alias("e")
-    cond = F.lit(True)
-    for c in by:
-        cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"e.{c}"))
+    scored = df.select(*by, (1 - F.col("p_legit")).alias("s"), (F.col("y") > 0).cast("double").alias("hit"))
+    edges = quantiles(scored, by, "s", [k / bins for k in range(1, bins)])
     over = F.size(F.filter("edges", lambda x: F.col("s") >= x)).alias("bin")
-    binned = a.join(e, cond).select(*(F.col(f"a.{c}").alias(c) for c in by), "s", "hit", over)
+    binned = scored.alias("a").join(edges.alias("e"), _same(by, "a", "e")).select(*(F.col(f"a.{c}").alias(c) for c in by), "s", "hit", over)
     return binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean_score"), F.avg("hit").alias("scam_share"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postmill.operators import features as X
+from postmill.runtime import cut, release
 from postmill.schema import LABELS
 
 THRESHOLD = 0.5
@@ -37,6 +41,20 @@ def fit_bernoulli_nb(presence: DataFrame, labels: DataFrame, vocab: DataFrame) -
     return cells.select("label", "term", "yes").join(F.broadcast(base), "label")
 
 
+def fit_nb(counts: DataFrame, labels: DataFrame, vocabulary: int = 3000, selected: int = 1000) -> DataFrame:
+    """The published naive Bayes chain: TF-IDF over the `vocabulary` commonest terms of the labelled rows, of these the `selected` that differ most by class (chi-squared), presence of these.
+
+    counts: (id, term, tf), labelled or not; labels: (id, label) of the training rows. Returns the table of `fit_bernoulli_nb`.
+    """
+    own = cut(counts.join(labels.select("id"), "id"))
+    weights = cut(X.tfidf(own, X.vocabulary(own, max_terms=vocabulary), labels.agg(F.count(F.lit(1)).alias("n"))))
+    chosen = X.top(X.chi_squared(weights, labels).withColumn("k", F.round("chi2", 6)), "k", selected)
+    terms = cut(chosen.select("term"))
+    model = cut(fit_bernoulli_nb(own.select("id", "term"), labels, terms))
+    release(own, weights, terms)
+    return model
+
+
 def nb_scores(presence: DataFrame, ids: DataFrame, model: DataFrame) -> DataFrame:
     """(id, p_legit, p_spam, p_phishing): a row without known terms has the base scores."""
     base = model.select("label", "base").distinct()
@@ -48,17 +66,36 @@ def nb_scores(presence: DataFrame, ids: DataFrame, model: DataFrame) -> DataFram
     return wide.select("id", *((F.exp(F.coalesce(F.col(x) - best, F.lit(-745.0))) / total).alias(f"p_{x}") for x in LABELS))
 
 
-def logistic_regression(train: DataFrame, test: DataFrame, features: str = "features", label: str = "y", c: float = 10.0, iterations: int = 60) -> DataFrame:
+def logistic_regression(train: DataFrame, test: DataFrame, features: str = "features", label: str = "y", c: float = 10.0, iterations: int = 300) -> DataFrame:
     """`test` with `probability` and `prediction` of a balanced multinomial regression with inverse strength `c`."""
     from pyspark.ml.classification import LogisticRegression
 
-    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    n = train.count()
-    weighted = train.join(F.broadcast(counts), label).withColumn("_w", F.lit(float(n)) / (F.col("_n") * counts.count()))
-    lr = LogisticRegression(featuresCol=features, labelCol=label, weightCol="_w", family="multinomial", regParam=1 / (c * max(n, 1)), standardization=False, maxIter=iterations)
+    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # a row a class
+    sizes = [r["_n"] for r in counts.collect()]
+    n = sum(sizes)
+    weighted = train.join(F.broadcast(counts), label).withColumn("_w", F.lit(float(n)) / (F.col("_n") * max(len(sizes), 1)))
+    lr = LogisticRegression(featuresCol=features, labelCol=label, weightCol="_w", family="multinomial", regParam=1 / (c * max(n, 1)), standardization=False, maxIter=iterations, tol=1e-4)
     return lr.fit(weighted).transform(test)
 
 
+def text_vectors(prepared: DataFrame, train_ids: DataFrame, id_col: str = "msg_id", text_col: str = "text", words: int = 300_000, grams: int = 150_000) -> DataFrame:
+    """(id, features): sublinear TF-IDF of words and word pairs beside that of character n-grams inside words (2 to 5), each of length 1.
+
+    Vocabularies are those of the training rows: terms in two of them or more, the `words` commonest; n-grams in three or more, the
+    `grams` commonest. Numbers and weights stay long tables; no vocabulary reaches the driver.
+    """
+    rows = prepared.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    tokens = rows.select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)).alias("tokens"))
+    n = train_ids.agg(F.count(F.lit(1)).alias("n"))
+    halves, first = [], 0
+    for counts, least, most in ((X.term_counts(tokens, X.word_ngrams(F.col("tokens"), 1, 2), "id"), 2, words), (X.char_counts(rows, 2, 5, "id"), 3, grams)):
+        counts = cut(counts)
+        vocab = cut(X.indexed(X.vocabulary(counts.join(train_ids, "id"), least, most), first))
+        first += vocab.count()
+        halves.append(X.tfidf(counts, vocab, n, sublinear=True).join(vocab.select("term", "i"), "term").select("id", "i", "w"))
+    return X.vectors(halves[0].union(halves[1]), max(first, 1), rows.select("id"))
+
+
 def hashed_features(df: DataFrame, terms: Column, size: int = 1 << 16, out: str = "features") -> DataFrame:
     """Sparse vectors of hashed term counts, weighted by inverse document frequency."""
     from pyspark.ml.feature import IDF, HashingTF
@@ -95,26 +132,32 @@ def score_with(df: DataFrame, scorer: Callable[[], Callable[[list[str], list[str
 
 
 def onnx_scorer(model: str, tokenizer: str, max_len: dict[str, int], temperature: float = 1.0):
-    """A scorer for `score_with`: an ONNX classifier and its tokenizer file, each at the same path on every machine."""
+    """A scorer for `score_with`: an ONNX classifier and its tokenizer file, each at the same path on every machine.
+
+    Texts are cut to the length of their own domain and padded to the longest of the batch.
+    """
 
     def build():
         import numpy as np
-        import onnxruntime as ort
-        from tokenizers import Tokenizer
+        import onnxruntime
+        import tokenizers
 
-        options = ort.SessionOptions()
-        options.intra_op_num_threads = 1
-        session = ort.InferenceSession(model, options, providers=["CPUExecutionProvider"])
-        tok = Tokenizer.from_file(tokenizer)
-        tok.enable_padding()
+        encoder = tokenizers.Tokenizer.from_file(tokenizer)
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = 1  # tasks are the parallelism
+        network = onnxruntime.InferenceSession(model, options, providers=["CPUExecutionProvider"])
+        inputs = {x.name for x in network.get_inputs()}
 
         def predict(texts: list[str], domains: list[str]) -> list[list[float]]:
-            tok.enable_truncation(max(max_len[d] for d in domains))
-            encoded = tok.encode_batch(texts)
-            feed = {"input_ids": np.array([e.ids for e in encoded], np.int64), "attention_mask": np.array([e.attention_mask for e in encoded], np.int64)}
-            z = session.run(None, feed)[0] / temperature
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            return (z / z.sum(axis=1, keepdims=True)).tolist()
+            ids = [encoder.encode(t).ids[: max_len[d]] for t, d in zip(texts, domains)]
+            width = max(map(len, ids), default=1)
+            tokens, mask = np.zeros((len(ids), width), np.int64), np.zeros((len(ids), width), np.int64)
+            for row, own in enumerate(ids):
+                tokens[row, : len(own)], mask[row, : len(own)] = own, 1
+            given = {"input_ids": tokens, "attention_mask": mask, "token_type_ids": np.zeros_like(tokens)}
+            (logits,) = network.run(None, {k: v for k, v in given.items() if k in inputs})[:1]
+            odds = np.exp((logits - logits.max(axis=1, keepdims=True)) / temperature)
+            return (odds / odds.sum(axis=1, keepdims=True)).tolist()
 
         return predict
 
@@ -125,18 +168,38 @@ class QuotaExhausted(RuntimeError):
     """No key has calls left."""
 
 
-def remote_scorer(make_client: Callable[[str], Callable[[str, str], str]], keys: list[str], attempts: int = 6, wait: Callable[[float], None] = lambda s: None):
-    """label(text, system) by a remote service: keys take over from one another when their quota ends, failures are tried again with growing waits, unknown labels read `error`."""
-    state = {"key": 0, "client": None}
+def parse_label(answer: str) -> str:
+    """The label in a service's answer: a JSON object with `label`, or the bare word; `error` for anything else."""
+    try:
+        value = json.loads(answer)
+        answer = value.get("label", "") if isinstance(value, dict) else value
+    except ValueError:
+        pass
+    answer = answer.strip().lower() if isinstance(answer, str) else ""
+    return answer if answer in LABELS else "error"
+
+
+def remote_scorer(make_client: Callable[[str], Callable[[str, str], str]], keys: list[str], attempts: int = 6, wait: Callable[[float], None] = lambda s: None, pause: float = 0.0):
+    """label(text, system) by a remote service: keys take over from one another when their quota ends, failures are tried again with growing waits, unknown labels read `error`.
+
+    pause: least seconds between two calls, waited for with `wait`.
+    """
+    state = {"key": 0, "client": None, "last": None}
+
+    def throttle() -> None:
+        now = time.monotonic()
+        if pause and state["last"] is not None and (left := state["last"] + pause - now) > 0:
+            wait(left)
+        state["last"] = time.monotonic()
 
     def label(text: str, system: str) -> str:
         while state["key"] < len(keys):
             if state["client"] is None:
                 state["client"] = make_client(keys[state["key"]])
             for k in range(attempts):
+                throttle()
                 try:
-                    answer = state["client"](text, system)
-                    return answer if answer in LABELS else "error"
+                    return parse_label(state["client"](text, system))
                 except QuotaExhausted:
                     break
                 except (ConnectionError, TimeoutError):
@@ -147,3 +210,24 @@ def remote_scorer(make_client: Callable[[str], Callable[[str, str], str]], keys:
         raise QuotaExhausted("all keys are used up")
 
     return label
+
+
+def answer_pending(messages: DataFrame, done: DataFrame, labeller: Callable[[], Callable[[str, str], str]], model: str, variant: str, system: str = "", id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(model, variant, id, label, secs) of the messages without a usable answer in `done` yet; append it to the cache and call again to resume.
+
+    labeller: builds, once a task, what labels a text. done: (model, variant, id, label).
+    """
+    usable = done.filter((F.col("model") == model) & (F.col("variant") == variant) & F.col("label").isin(*LABELS)).select(F.col("id").alias(id_col))
+    pending = messages.select(F.col(id_col).cast("string").alias(id_col), F.col(text_col).alias("text")).join(usable, id_col, "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        label = labeller()
+        for frame in frames:
+            said, took = [], []
+            for text in frame["text"].fillna(""):
+                began = time.perf_counter()
+                said.append(label(text, system))
+                took.append(time.perf_counter() - began)
+            yield pd.DataFrame({"model": model, "variant": variant, "id": frame[id_col].to_numpy(), "label": said, "secs": took})
+
+    return pending.mapInPandas(run, "model string, variant string, id string, label string, secs double")

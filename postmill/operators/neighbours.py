@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-BLOCK = 2048
+QUERY_BLOCK, ROW_BLOCK = 512, 16_384  # a block of scores is 34 MB
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -17,7 +17,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id",
     have no neighbours.
     """
     n_queries, n_rows = queries.count(), rows.count()
-    q_blocks, r_blocks = max(1, -(-n_queries // BLOCK)), max(1, -(-n_rows // (32 * BLOCK)))
+    q_blocks, r_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // ROW_BLOCK))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     asked = queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.lit(True).alias("asks"), deal(id_col, q_blocks).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).alias("r"))
     base = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"), deal(id_col, r_blocks).alias("r"))
@@ -27,12 +27,16 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id",
         if asks.empty or held.empty:
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
         ids, qids = held["id"].to_numpy(), asks["id"].to_numpy()
-        scores = _unit(np.stack(asks["v"].to_numpy())) @ _unit(np.stack(held["v"].to_numpy())).T
-        scores[(qids[:, None] == ids[None, :]) | ~np.isfinite(scores)] = -np.inf
-        take = min(k, len(ids))
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :take]
-        out = pd.DataFrame({"query_id": np.repeat(qids, take), "id": ids[order].ravel(), "similarity": np.take_along_axis(scores, order, 1).ravel()})
-        return out[np.isfinite(out["similarity"])]
+        asked_units, units, take = _unit(np.stack(asks["v"].to_numpy())), _unit(np.stack(held["v"].to_numpy())), min(k, len(ids))
+        found = []
+        for at in range(0, len(qids), QUERY_BLOCK):  # hashing may deal a block somewhat more
+            scores = asked_units[at : at + QUERY_BLOCK] @ units.T
+            scores[(qids[at : at + QUERY_BLOCK, None] == ids[None, :]) | ~np.isfinite(scores)] = -np.inf
+            least = np.partition(scores, len(ids) - take, axis=1)[:, len(ids) - take]  # the k-th best; ties with it stay, and Spark ranks them by id
+            q, r = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            found.append(pd.DataFrame({"query_id": qids[at + q], "id": ids[r], "similarity": scores[q, r]}))
+        best = pd.concat(found).sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
+        return best.groupby("query_id").head(k)
 
     kind = dict(rows.dtypes)[id_col]
     met = asked.unionByName(base).filter("v is not null").groupBy("q", "r").applyInPandas(best, f"query_id {kind}, id {kind}, similarity double")

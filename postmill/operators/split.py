@@ -32,6 +32,23 @@ def campaign_split(df: DataFrame, seed: str = "42") -> DataFrame:
     return df.join(folds, "group", "left").withColumn("new_split", name).drop("_fold")
 
 
+def stratified_folds(df: DataFrame, group: str = "group", strata: tuple[str, ...] = ("domain", "label"), folds: int = 7, seed: str = "42", buckets: int = 1024) -> DataFrame:
+    """(group, stratum, fold): folds of whole groups that each hold about the same share of every stratum.
+
+    A group's stratum is its commonest combination of `strata`. Groups fall into hash buckets, and a stratum's buckets are cut into
+    `folds` runs of equally many rows: a table of strata times `buckets` cells is all that is ever sorted. Rows without a group have
+    no fold.
+    """
+    stratum = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in strata))
+    counted = df.select(F.col(group).alias("group"), stratum.alias("stratum")).filter(F.col("group").isNotNull()).groupBy("group", "stratum").agg(F.count(F.lit(1)).alias("n"))
+    groups = counted.groupBy("group").agg(F.sum("n").alias("rows"), F.expr("max_by(stratum, struct(n, stratum))").alias("stratum"))
+    groups = groups.withColumn("bucket", F.floor(draw(seed, F.col("group")) * buckets).cast("int"))
+    cells = groups.groupBy("stratum", "bucket").agg(F.sum("rows").alias("rows"))
+    middle = (F.sum("rows").over(Window.partitionBy("stratum").orderBy("bucket")) - F.col("rows") / 2) / F.sum("rows").over(Window.partitionBy("stratum"))
+    placed = cells.select("stratum", "bucket", F.floor(middle * folds).cast("int").alias("fold"))
+    return groups.join(placed, ["stratum", "bucket"]).select("group", "stratum", "fold")
+
+
 def stratified_sample(df: DataFrame, strata: list[str], n: int, seed: str, id_col: str = "msg_id") -> DataFrame:
     """Up to `n` rows of each stratum, without replacement."""
     return first_per_key(df, strata, [F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))), F.col(id_col)], n)

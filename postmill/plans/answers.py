@@ -61,7 +61,11 @@ def llm_metrics_refusal(spark, sf_dir):
 
 @query(_NEW + "SELECT model, variant, count(*) AS n, count(secs) AS timed, round(quantile_cont(secs, 0.5), 6) AS median_secs, max(secs) AS most_secs FROM n GROUP BY ALL")
 def latency_median(spark, sf_dir):
-    return latest(spark, sf_dir).groupBy("model", "variant").agg(F.count(F.lit(1)).alias("n"), F.count("secs").alias("timed"), F.round(F.percentile("secs", F.lit(0.5)), 6).alias("median_secs"), F.max("secs").alias("most_secs"))
+    rows = latest(spark, sf_dir).select("model", "variant", "secs")
+    sums = rows.groupBy("model", "variant").agg(F.count(F.lit(1)).alias("n"), F.count("secs").alias("timed"), F.max("secs").alias("most_secs")).alias("s")
+    middle = E.quantiles(rows, ["model", "variant"], "secs", [0.5]).alias("m")
+    same = F.expr("s.model <=> m.model and s.variant <=> m.variant")
+    return sums.join(middle, same, "left").select("s.model", "s.variant", "n", "timed", F.round(F.get("edges", F.lit(0)), 6).alias("median_secs"), "most_secs")
 
 
 @query(_NEW + "SELECT a.model, count(*) AS n, round(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 6) AS agree FROM n a JOIN n b ON a.model = b.model AND a.id = b.id AND a.variant = 'zero_shot' AND b.variant = 'few_shot' GROUP BY a.model")
@@ -104,3 +108,16 @@ def json_label(spark, sf_dir):
     raw = table(spark, sf_dir, "llm_cache").select(F.concat(F.lit('{"label": "'), F.coalesce("label", F.lit("none")), F.lit('"}')).alias("raw")).distinct()
     label = F.get_json_object("raw", "$.label")
     return raw.select("raw", F.when(label.isin(*LABELS), label).otherwise("error").alias("label"))
+
+
+@query(
+    _NEW + ", w AS (SELECT id, max(label) FILTER (variant = 'zero_shot') AS zero_shot, max(label) FILTER (variant = 'few_shot') AS few_shot FROM n GROUP BY id) "
+    "SELECT w.id, k.domain, CASE WHEN length(k.text) > 1200 THEN substr(k.text, 1, 1200) || '…' ELSE k.text END AS text, k.label, coalesce(zero_shot, 'error') AS zero_shot, coalesce(few_shot, 'error') AS few_shot FROM w JOIN corpus k ON w.id = k.domain || '-' || k.msg_id"
+)
+def comparison_export(spark, sf_dir):
+    """What a page that compares answers shows: the message, at most 1,200 characters of it, its label and the newest answers."""
+    from postmill.functions import text as T
+
+    wide = latest(spark, sf_dir).groupBy("id").pivot("variant", ["zero_shot", "few_shot"]).agg(F.max("label"))
+    shown = wide.join(truths(spark, sf_dir), "id").select("id", "domain", T.shorten(F.col("text")).alias("text"), F.col("truth").alias("label"), *(F.coalesce(v, F.lit("error")).alias(v) for v in ("zero_shot", "few_shot")))
+    return shown

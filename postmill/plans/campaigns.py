@@ -109,3 +109,17 @@ def shot_pool(spark, sf_dir):
     """What few-shot examples may be drawn from, by domain and label."""
     rows = dedup.with_key(corpus(spark, sf_dir)).filter((F.lower(F.trim("split")) == "train") & F.col("label").isNotNull() & (F.length("text") >= 60))
     return rows.groupBy("domain", "label").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("key").alias("n_keys"))
+
+
+_POOL = f"SELECT \"group\", coalesce(domain, '-') || '/' || coalesce(label, '-') AS stratum FROM corpus WHERE \"group\" IS NOT NULL AND NOT {_FUTURE} AND coalesce(source, '') <> 'sms_survey' AND coalesce(label, '') <> 'spam_unlabelled'"
+
+
+@query(
+    f"WITH p AS ({_POOL}), c AS (SELECT \"group\", stratum, count(*) AS n FROM p GROUP BY ALL), g AS (SELECT \"group\", sum(n)::bigint AS rows, arg_max(stratum, (n, stratum)) AS stratum FROM c GROUP BY 1), "
+    "b AS (SELECT *, floor(('0x' || substr(md5('42:' || \"group\"), 1, 8))::bigint / 4294967296.0 * 1024)::int AS bucket FROM g), k AS (SELECT stratum, bucket, sum(rows) AS rows FROM b GROUP BY ALL), "
+    "m AS (SELECT stratum, bucket, floor((sum(rows) OVER (PARTITION BY stratum ORDER BY bucket) - rows / 2) / sum(rows) OVER (PARTITION BY stratum) * 7)::int AS fold FROM k) SELECT \"group\", stratum, fold FROM b JOIN m USING (stratum, bucket)"
+)
+def stratified_folds(spark, sf_dir):
+    """Seven folds of whole campaigns, each with its share of every domain and label; future, external and unlabelled rows are held out."""
+    pool = corpus(spark, sf_dir).filter(~split.is_future() & (F.coalesce("source", F.lit("")) != split.EXTERNAL_SOURCE) & (F.coalesce("label", F.lit("")) != "spam_unlabelled"))
+    return split.stratified_folds(pool)

@@ -13,7 +13,17 @@ from postmill.schema import LABELS, SEVERITY, label_index, lookup, message_id, u
 # Shared pieces of oracle SQL. REPAIRED: text of Latin-1 that reads as UTF-8 byte for byte.
 BYTES = "from_hex(array_to_string(list_transform(string_split(text, ''), lambda c: printf('%02X', unicode(c))), ''))"
 REPAIRED = f"(CASE WHEN regexp_full_match(text, '[\\x{{00}}-\\x{{FF}}]*', 's') AND regexp_matches(text, '[\\x{{80}}-\\x{{FF}}]') THEN coalesce(TRY(decode({BYTES})), text) ELSE text END)"
-KEY = f"regexp_replace(lower({REPAIRED}), '[^a-z0-9]', '', 'g')"
+
+
+def _replaced(c: str, pairs) -> str:
+    for a, b in pairs:
+        c = f"replace({c}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return c
+
+
+ENTITIES_READ = f"(CASE WHEN contains({REPAIRED}, '<') THEN {REPAIRED} ELSE {_replaced(REPAIRED, T.NAMED_ENTITIES)} END)"
+PLAIN = _replaced(f"translate({ENTITIES_READ}, '{T.WIDE}', '{T.NARROW.replace(chr(39), chr(39) * 2)}')", T.LIGATURES)
+KEY = f"regexp_replace(lower({PLAIN}), '[^a-z0-9]', '', 'g')"
 LATIN = "CASE WHEN length(regexp_replace(text, '[^\\p{L}]', '', 'g')) = 0 THEN 1.0 ELSE length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::double / length(regexp_replace(text, '[^\\p{L}]', '', 'g')) END"
 SEV = "CASE label WHEN 'legit' THEN 0 WHEN 'spam' THEN 1 WHEN 'spam_unlabelled' THEN 1 WHEN 'phishing' THEN 2 ELSE -1 END"
 CLEAN = "lower(trim(split))"
@@ -182,3 +192,33 @@ def load_delay(spark, sf_dir):
 @query("SELECT msg_id, CASE label WHEN 'legit' THEN 0 WHEN 'spam' THEN 1 WHEN 'spam_unlabelled' THEN 1 WHEN 'phishing' THEN 2 END AS severity FROM corpus")
 def label_severity(spark, sf_dir):
     return corpus(spark, sf_dir).select("msg_id", lookup(F.col("label"), SEVERITY).alias("severity"))
+
+
+@query("SELECT msg_id FROM corpus WHERE domain = 'email' ORDER BY md5('400:' || msg_id), msg_id LIMIT 400")
+def fixed_mail_sample(spark, sf_dir):
+    """The 400 emails with the least draws: a fixed sample is the feature."""
+    mail = corpus(spark, sf_dir).filter("domain = 'email'").select("msg_id", F.md5(F.concat(F.lit("400:"), F.col("msg_id").cast("string"))).alias("d"))
+    return mail.orderBy("d", "msg_id").limit(400).select("msg_id")
+
+
+@query("SELECT probe_id FROM probes ORDER BY md5('30:' || probe_id), probe_id LIMIT 30")
+def random_probes(spark, sf_dir):
+    """A draw of 30 held-out messages: a sampling operator."""
+    drawn = table(spark, sf_dir, "probes").select("probe_id", F.md5(F.concat(F.lit("30:"), F.col("probe_id").cast("string"))).alias("d"))
+    return drawn.orderBy("d", "probe_id").limit(30).select("probe_id")
+
+
+# Twelve messages of our own, one of each kind that is easy to mistake.
+PROBES = [
+    (1, "sms", "legit", "Your parcel is at the corner shop, they close at six"), (2, "sms", "legit", "Bank holiday on Monday so no practice, see you Tuesday"), (3, "sms", "legit", "Code for the gate is 4471, do not ring after nine"),
+    (4, "sms", "spam", "Two ringtones for the price of one, text TONE to 80808"), (5, "sms", "spam", "Win a cruise for four, every entry counts"), (6, "sms", "phishing", "We could not deliver, pay 1.99 at www.parcel-fee.example"),
+    (7, "email", "legit", "Subject: minutes\nPlease find the minutes of the meeting below."), (8, "email", "legit", "Subject: password policy\nNobody will ever ask you for your password."), (9, "email", "spam", "Subject: pills\nOriginal pills without a recipe, shipped today."),
+    (10, "email", "spam", "Subject: degree\nA degree on your wall in three weeks."), (11, "email", "phishing", "Subject: account\nYour account is locked, confirm your details at http://login.example"), (12, "email", "phishing", "Subject: refund\nYour refund waits, enter your card number to receive it."),
+]
+
+
+@query("SELECT domain, label, count(*) AS n_probes, sum(length(text))::bigint AS n_chars FROM (VALUES " + ", ".join("({}, '{}', '{}', '{}')".format(i, d, x, t.replace("'", "''")) for i, d, x, t in PROBES) + ") v(id, domain, label, text) GROUP BY ALL")
+def inline_probes(spark, sf_dir):
+    """A table of inline values: twelve probes, by domain and label."""
+    rows = spark.createDataFrame(PROBES, "id int, domain string, label string, text string")
+    return rows.groupBy("domain", "label").agg(F.count(F.lit(1)).alias("n_probes"), F.sum(F.length("text")).alias("n_chars"))

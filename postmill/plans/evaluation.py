@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from postmill.operators import metrics as E, models as M
 from postmill.plans.corpus import CLEAN
@@ -150,8 +150,10 @@ def model_agreement(spark, sf_dir):
     rows = scored(spark, sf_dir).select("msg_id", *names)
     a, b = (rows.select("msg_id", *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab")
     apart = F.greatest(*(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) for c in names[2:]))
-    both = a.join(b, "msg_id").filter("run_a < run_b")
-    return both.groupBy("run_a", "run_b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("pred_a") == F.col("pred_b")).cast("double")), 6).alias("agree"), F.round(F.max(apart), 6).alias("most_apart"), F.round(F.percentile(apart, F.lit(0.5)), 6).alias("median_apart"))
+    both = a.join(b, "msg_id").filter("run_a < run_b").select("run_a", "run_b", (F.col("pred_a") == F.col("pred_b")).cast("double").alias("same"), apart.alias("apart"))
+    sums = both.groupBy("run_a", "run_b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("same"), 6).alias("agree"), F.round(F.max("apart"), 6).alias("most_apart"))
+    middle = E.quantiles(both, ["run_a", "run_b"], "apart", [0.5])
+    return sums.join(middle, ["run_a", "run_b"]).select("run_a", "run_b", "n", "agree", "most_apart", F.round(F.get("edges", F.lit(0)), 6).alias("median_apart"))
 
 
 @query(J + "SELECT msg_id, any_value(label) AS label FROM j GROUP BY msg_id HAVING count(DISTINCT pred) > 1 AND count(DISTINCT label) = 1")
@@ -179,6 +181,43 @@ def unpivot_scores(spark, sf_dir):
     return long.groupBy("run", "class").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 4).alias("mean_p"))
 
 
+@query(_CLASS + ", f AS (SELECT run, domain, avg(CASE WHEN support > 0 THEN coalesce(2 * hit / nullif(said + support, 0), 0) END) AS f FROM pc GROUP BY ALL), s AS (SELECT run, sum(f) AS total FROM f GROUP BY run) SELECT run, round(total, 6) AS total_f1, row_number() OVER (ORDER BY round(total, 6) DESC, run) AS place FROM s")
+def card_sort(spark, sf_dir):
+    """Runs in the order of their macro-F1 summed over domains (as many rows as runs)."""
+    totals = E.macro_f1(scored(spark, sf_dir), BY).groupBy("run").agg(F.round(F.sum("macro_f1"), 6).alias("total_f1"))
+    return totals.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total_f1"), "run")))
+
+
+@query(
+    _CLASS + f", f AS (SELECT run, domain, round(avg(CASE WHEN support > 0 THEN coalesce(2 * hit / nullif(said + support, 0), 0) END), 6) AS macro_f1 FROM pc GROUP BY ALL), r AS (SELECT run, domain, {_RATES} FROM j GROUP BY ALL), "
+    "b AS (SELECT run, domain, least(floor(s * 10), 9) AS bin, count(*) AS n, sum(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) AS h, sum(s) AS s FROM j GROUP BY ALL), c AS (SELECT run, domain, round(sum(abs(h - s)) / sum(n), 6) AS ece FROM b GROUP BY ALL) "
+    "SELECT run, domain, n, macro_f1, scam_recall, legit_fpr, ece FROM r JOIN f USING (run, domain) JOIN c USING (run, domain)"
+)
+def model_card(spark, sf_dir):
+    """What a model card says of each run and domain."""
+    rows = scored(spark, sf_dir)
+    f1 = E.macro_f1(rows, BY).select(*BY, F.round("macro_f1", 6).alias("macro_f1"))
+    calibration = E.calibration_error(rows, BY).select(*BY, F.round("ece", 6).alias("ece"))
+    return _rates(rows, BY).join(f1, BY).join(calibration, BY).select(*BY, "n", "macro_f1", "scam_recall", "legit_fpr", "ece")
+
+
+_ERA = "CASE WHEN year <= 2007 THEN '2005-2007' WHEN year >= 2015 THEN '2015-2022' ELSE 'between' END"
+
+
+@query(J + f"SELECT run, {_ERA} AS era, {_RATES} FROM j WHERE year IS NOT NULL GROUP BY ALL")
+def era_report(spark, sf_dir):
+    era = F.when(F.col("year") <= 2007, "2005-2007").when(F.col("year") >= 2015, "2015-2022").otherwise("between")
+    return _rates(scored(spark, sf_dir).filter("year is not null").withColumn("era", era), ["run", "era"])
+
+
+@query(_LAST.rstrip(", ") + f" SELECT run, domain, count(*) AS n, round(avg(CASE WHEN {_DECIDE} > 0 THEN 1.0 ELSE 0.0 END), 6) AS flagged, round(avg(CASE WHEN {_DECIDE} = 2 THEN 1.0 ELSE 0.0 END), 6) AS called_phishing FROM p WHERE label = 'spam_unlabelled' GROUP BY ALL")
+def unlabelled_report(spark, sf_dir):
+    """What runs make of spam whose kind nobody labelled."""
+    rows = E.clean_predictions(table(spark, sf_dir, "run_predictions")).filter("label = 'spam_unlabelled'")
+    pred = M.decide(F.col("p_legit"), F.col("p_spam"), F.col("p_phishing"))
+    return rows.withColumn("pred", pred).groupBy(*BY).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("pred") > 0).cast("double")), 6).alias("flagged"), F.round(F.avg((F.col("pred") == 2).cast("double")), 6).alias("called_phishing"))
+
+
 _RUNS = ("s7", "s13", "s42")
 
 

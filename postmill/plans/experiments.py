@@ -8,26 +8,32 @@ from postmill.functions import text as T
 from postmill.operators import dedup, models as M, split
 from postmill.operators.neighbours import nearest
 from postmill.plans.corpus import CLEAN, corpus
+from postmill.plans.models import LABELLED, NB_TERMS, SELECTED, VOCABULARY, nb_counts, nb_sql
 from postmill.plans.registry import query
 from postmill.runtime import cut, table
 from postmill.schema import LABELS, label_index
 
-TERMS = 1000
+DRAWS = 3  # repetitions of the leakage experiment, each with a random split of its own
+_T = f"WITH t AS {NB_TERMS.format(key='msg_id', text='text', rows='corpus')}, x AS (SELECT *, {CLEAN} AS s FROM corpus WHERE {LABELLED}), "
 
 
-def _presence(rows: DataFrame, text: str = "text") -> DataFrame:
-    return rows.select(F.col("msg_id").alias("id"), F.explode(F.array_distinct(T.tokenize(F.col(text)))).alias("term"))
+def _flagged_sql(model: str, test: str, by: str) -> str:
+    """Rows, flagged share and accuracy of a scorer (`model`, a query of scores) over `test`, (id, label, and `by`)."""
+    hit = "CASE WHEN 1 - p0 >= 0.5 THEN 1.0 ELSE 0.0 END"
+    return f"SELECT {by}, count(*) AS n_rows, round(avg({hit}), 4) AS flagged, round(avg(CASE WHEN (1 - p0 >= 0.5) = (label <> 'legit') THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM ({test}) JOIN ({model}) USING (id) GROUP BY ALL"
 
 
-def fitted(presence: DataFrame, train: DataFrame) -> DataFrame:
-    """The naive Bayes table of train rows (msg_id, label) over their TERMS commonest terms."""
-    labels = train.select(F.col("msg_id").alias("id"), "label")
-    vocab = presence.join(labels, "id").groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(TERMS).select("term")
-    return cut(M.fit_bernoulli_nb(presence, labels, cut(vocab)))
+def _fit_sql(train: str, terms: str = "t", ids: str = "SELECT DISTINCT id FROM t") -> str:
+    return f"WITH {nb_sql(train, terms, ids)} SELECT id, p0 FROM q"
 
 
-def _flagged(presence: DataFrame, test: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
-    scores = M.nb_scores(presence, test.select(F.col("msg_id").alias("id")), model)
+def fitted(counts: DataFrame, train: DataFrame) -> DataFrame:
+    """The naive Bayes table of train rows (msg_id, label), by the published chain."""
+    return M.fit_nb(counts, train.select(F.col("msg_id").alias("id"), "label"), VOCABULARY, SELECTED)
+
+
+def _flagged(counts: DataFrame, test: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
+    scores = M.nb_scores(counts, test.select(F.col("msg_id").alias("id")), model)
     hit = (1 - F.col("p_legit") >= M.THRESHOLD).cast("double")
     right = (hit == (F.col("label") != "legit").cast("double")).cast("double")
     return test.join(scores.withColumnRenamed("id", "msg_id"), "msg_id").groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(hit), 4).alias("flagged"), F.round(F.avg(right), 4).alias("accuracy"))
@@ -37,63 +43,106 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).filter(F.col("label").isin(*LABELS)).withColumn("split", F.lower(F.trim("split")))
 
 
-@query()
+_CHANNELS = (("sms", ["sms"]), ("email", ["email"]), ("both", ["sms", "email"]))
+_ALL = "SELECT msg_id AS id FROM corpus"
+
+
+@query(
+    _T + "y0 AS (SELECT 1) " + " UNION ALL ".join(
+        f"SELECT '{name}' AS trained_on, * FROM (" + _flagged_sql(_fit_sql("SELECT msg_id AS id, label FROM x WHERE s = 'train' AND domain IN (" + ", ".join(f"'{c}'" for c in channels) + ")", ids=_ALL), "SELECT msg_id AS id, label, domain FROM x WHERE s = 'test'", "domain") + ")"
+        for name, channels in _CHANNELS
+    )
+)
 def transfer_matrix(spark, sf_dir):
     """Accuracy on each channel of scorers trained on one channel or both."""
     rows = labelled(spark, sf_dir)
-    presence = cut(_presence(rows))
+    counts = nb_counts(rows)
     out = None
-    for name, channels in (("sms", ["sms"]), ("email", ["email"]), ("both", ["sms", "email"])):
-        model = fitted(presence, rows.filter((F.col("split") == "train") & F.col("domain").isin(*channels)))
-        part = _flagged(presence, rows.filter("split = 'test'"), model, ["domain"]).withColumn("trained_on", F.lit(name))
+    for name, channels in _CHANNELS:
+        model = fitted(counts, rows.filter((F.col("split") == "train") & F.col("domain").isin(*channels)))
+        part = _flagged(counts, rows.filter("split = 'test'"), model, ["domain"]).withColumn("trained_on", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query()
 def leakage_experiment(spark, sf_dir):
-    """Accuracy under a random split of all SMS, and of SMS without exact copies."""
+    """Accuracy under random splits of all SMS, and of SMS without exact copies: mean and deviation over DRAWS splits."""
     sms = dedup.with_key(labelled(spark, sf_dir).filter("domain = 'sms'"))
+    counts = nb_counts(sms)
     out = None
     for name, rows in (("all rows", sms), ("no exact copies", dedup.exact_dedup(sms))):
-        held = cut(split.stratified_holdout(rows.select("msg_id", "label", "text", "domain"), "label", 0.15, "0"))
-        presence = cut(_presence(held))
-        model = fitted(presence, held.filter("not is_test"))
-        part = _flagged(presence, held.filter("is_test"), model, ["domain"]).withColumn("rows", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+        for draw in range(DRAWS):
+            held = cut(split.stratified_holdout(rows.select("msg_id", "label", "domain"), "label", 0.15, str(draw)))
+            model = fitted(counts, held.filter("not is_test"))
+            part = _flagged(counts, held.filter("is_test"), model, ["domain"]).withColumn("rows", F.lit(name))
+            out = part if out is None else out.unionByName(part)
+    return out.groupBy("rows", "domain").agg(F.sum("n_rows").alias("n_rows"), F.round(F.avg("accuracy"), 4).alias("mean_accuracy"), F.round(F.stddev_pop("accuracy"), 4).alias("std_accuracy"))
 
 
-@query()
+_HELD = "coalesce(('0x' || substr(md5('42:' || \"group\"), 1, 8))::bigint / 4294967296.0 < 1 / 3.0, true)"
+_HELD_TEST = f"SELECT msg_id AS id, label, domain FROM x WHERE s = 'test' UNION ALL SELECT msg_id, label, 'external' FROM x WHERE s = 'external' AND {_HELD}"
+_ABLATED = {"without": "", "with": f" UNION ALL SELECT msg_id, label FROM x WHERE s = 'external' AND NOT {_HELD}"}
+
+
+@query(
+    _T + "y0 AS (SELECT 1) "
+    + " UNION ALL ".join(f"SELECT '{name}' AS external_in_training, * FROM (" + _flagged_sql(_fit_sql(f"SELECT msg_id AS id, label FROM x WHERE s = 'train'{more}", ids=_ALL), _HELD_TEST, "domain") + ")" for name, more in _ABLATED.items())
+)
 def source_ablation(spark, sf_dir):
     """Scores with and without two thirds of the external campaigns in training, on the third held back and on the test split."""
     rows = labelled(spark, sf_dir)
-    external = rows.filter("split = 'external'").withColumn("held", F.coalesce(T.draw("42", F.col("group")) < 1 / 3, F.lit(True)))
+    external = rows.filter("split = 'external'").withColumn("held", F.col("group").isNull() | (T.draw("42", F.col("group")) < 1 / 3))
     train = rows.filter("split = 'train'").select("msg_id", "label")
     test = rows.filter("split = 'test'").select("msg_id", "label", "domain").union(external.filter("held").select("msg_id", "label", F.lit("external")))
-    presence = cut(_presence(rows))
+    counts = nb_counts(rows)
     out = None
     for name, part in (("without", train), ("with", train.union(external.filter("not held").select("msg_id", "label")))):
-        scored = _flagged(presence, test, fitted(presence, part), ["domain"]).withColumn("external_in_training", F.lit(name))
+        scored = _flagged(counts, test, fitted(counts, part), ["domain"]).withColumn("external_in_training", F.lit(name))
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-@query()
-def shortcut_audit(spark, sf_dir):
-    """Do scorers learn the collection instead of the matter? Legitimate mail of a seen and an unseen source and phishing flagged, by text variant."""
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail of the shortcut audit: training rows of one legitimate and one phishing source, test rows by `set`."""
     mail = labelled(spark, sf_dir).filter("domain = 'email'")
     chosen = mail.filter(((F.col("split") == "train") & (((F.col("source") == "mail_corp") & (F.col("label") == "legit")) | (F.col("source") == "mail_phish"))) | (F.col("split") == "test"))
     seen = F.when((F.col("source") == "mail_corp") & (F.col("label") == "legit"), "legit, seen source").when((F.col("source") == "mail_lists") & (F.col("label") == "legit"), "legit, unseen source").when(F.col("source") == "mail_phish", "phishing")
+    return chosen.withColumn("set", seen)
+
+
+VARIANTS = {"as packaged": lambda: F.coalesce("text_as_packaged", "text"), "raw": lambda: F.col("text"), "scrubbed": lambda: T.prepare(F.col("text"), F.col("domain"))}
+_MAIL = f"SELECT *, CASE WHEN source = 'mail_corp' AND label = 'legit' THEN 'legit, seen source' WHEN source = 'mail_lists' AND label = 'legit' THEN 'legit, unseen source' WHEN source = 'mail_phish' THEN 'phishing' END AS \"set\" FROM (SELECT *, {CLEAN} AS s FROM corpus WHERE {LABELLED} AND domain = 'email') WHERE (s = 'train' AND ((source = 'mail_corp' AND label = 'legit') OR source = 'mail_phish')) OR s = 'test'"
+
+
+def _audit_sql(name: str, text: str) -> str:
+    terms = NB_TERMS.format(key="msg_id", text="body", rows=f"(SELECT msg_id, {text} AS body FROM mail)")
+    scored = f"WITH t AS {terms}, " + nb_sql("SELECT msg_id AS id, label FROM mail WHERE s = 'train'", ids="SELECT msg_id AS id FROM mail") + " SELECT id, p0 FROM q"
+    return f"SELECT '{name}' AS variant, * FROM (" + _flagged_sql(scored, "SELECT msg_id AS id, label, \"set\" FROM mail WHERE s = 'test' AND \"set\" IS NOT NULL", '"set"') + ")"
+
+
+def _audit(spark: SparkSession, sf_dir: str, variants: list[str]) -> DataFrame:
     out = None
-    for name, text in (("as packaged", F.coalesce("text_as_packaged", "text")), ("raw", F.col("text")), ("scrubbed", T.prepare(F.col("text"), F.col("domain")))):
-        rows = cut(chosen.select("msg_id", "label", "split", seen.alias("set"), text.alias("text")))
-        presence = cut(_presence(rows))
-        part = _flagged(presence, rows.filter("split = 'test' and `set` is not null"), fitted(presence, rows.filter("split = 'train'")), ["set"]).withColumn("variant", F.lit(name))
+    for name in variants:
+        rows = cut(audited(spark, sf_dir).select("msg_id", "label", "split", "set", VARIANTS[name]().alias("text")))
+        counts = nb_counts(rows)
+        part = _flagged(counts, rows.filter("split = 'test' and `set` is not null"), fitted(counts, rows.filter("split = 'train'")), ["set"]).withColumn("variant", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query(f"WITH mail AS ({_MAIL}) " + " UNION ALL ".join((_audit_sql("as packaged", "coalesce(text_as_packaged, text)"), _audit_sql("raw", "text"))))
+def shortcut_audit(spark, sf_dir):
+    """Do scorers learn the collection instead of the matter? Legitimate mail of a seen and an unseen source and phishing flagged, as packaged and as raw text."""
+    return _audit(spark, sf_dir, ["as packaged", "raw"])
+
+
+@query()
+def shortcut_audit_scrubbed(spark, sf_dir):
+    """The audit on text from which what gives a collection away is scrubbed."""
+    return _audit(spark, sf_dir, ["scrubbed"])
+
+
 @query()
 def classic_classifiers(spark, sf_dir):
     """Multinomial and Gaussian naive Bayes, a decision tree and a forest on hashed words of SMS: accuracy on the test split."""

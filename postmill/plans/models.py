@@ -8,7 +8,7 @@ from postmill.functions import text as T
 from postmill.operators import explain, features as X, models as M
 from postmill.plans.corpus import CLEAN, corpus
 from postmill.plans.registry import query
-from postmill.runtime import cut, table
+from postmill.runtime import cut, spread, table
 from postmill.schema import LABELS, label_index
 
 VOCABULARY, SELECTED = 3000, 1000
@@ -17,12 +17,12 @@ _TERMS = f"(SELECT msg_id AS id, term, count(*) AS tf FROM (SELECT msg_id, unnes
 
 
 def counts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.term_counts(corpus(spark, sf_dir), T.tokenize(F.col("text")))
+    return X.term_counts(spread(corpus(spark, sf_dir).select("msg_id", "text")), T.tokenize(F.col("text")))
 
 
 def grams_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of words and word pairs; tokens are a column of their own, so that they are made once a row and not once a pair."""
-    tokenised = corpus(spark, sf_dir).select("msg_id", T.tokenize(F.col("text")).alias("tokens"))
+    tokenised = spread(corpus(spark, sf_dir).select("msg_id", "text")).select("msg_id", T.tokenize(F.col("text")).alias("tokens"))
     return X.term_counts(tokenised, X.word_ngrams(F.col("tokens"), 1, 2))
 
 
@@ -53,7 +53,7 @@ _TFIDF = (
 
 @query(_TFIDF + "SELECT id AS msg_id, count(*) AS n_terms, round(max(w / norm), 6) AS top_weight, round(sum(w / norm), 4) AS total_weight FROM w JOIN n USING (id) GROUP BY id")
 def word_tfidf(spark, sf_dir):
-    grams = grams_of(spark, sf_dir)
+    grams = cut(grams_of(spark, sf_dir))
     weights = X.tfidf(grams, X.vocabulary(grams, min_df=2), rows_of(spark, sf_dir), sublinear=True)
     return weights.groupBy(F.col("id").alias("msg_id")).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("w"), 6).alias("top_weight"), F.round(F.sum("w"), 4).alias("total_weight"))
 
@@ -63,8 +63,40 @@ def word_tfidf(spark, sf_dir):
     "g AS (SELECT substr(w, i::int, n::int) AS gram FROM p, (SELECT unnest(range(2, 6)) AS n) s, LATERAL (SELECT unnest(range(1, greatest(length(w) - n + 2, 2))) AS i) r WHERE length(w) >= n) SELECT gram, count(*) AS n_grams FROM g GROUP BY gram HAVING count(*) >= 50"
 )
 def char_wb_ngrams(spark, sf_dir):
-    grams = corpus(spark, sf_dir).select(F.explode(X.char_ngrams(F.col("text"), 2, 5)).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_grams")).filter("n_grams >= 50")
+    counts = X.char_counts(spread(corpus(spark, sf_dir).select("msg_id", "text")), low=2, high=5)
+    return counts.groupBy(F.col("term").alias("gram")).agg(F.sum("tf").alias("n_grams")).filter("n_grams >= 50")
+
+
+_CHAR = (
+    "WITH p AS (SELECT msg_id AS id, ' ' || w || ' ' AS w FROM (SELECT msg_id, unnest(regexp_extract_all(lower(text), '[^\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')) AS w FROM corpus)), "
+    "g AS (SELECT id, substr(w, i::int, n::int) AS term FROM p, (SELECT unnest(range(2, 6)) AS n) s, LATERAL (SELECT unnest(range(1, greatest(length(w) - n + 2, 2))) AS i) r WHERE length(w) >= n), "
+    "b AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL), v AS (SELECT term, count(*) AS df FROM b GROUP BY term HAVING count(*) >= 3), "
+    "w AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM corpus)) / (1.0 + df)) + 1) AS w FROM b JOIN v USING (term)), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id) "
+)
+
+
+@query(_CHAR + "SELECT id AS msg_id, count(*) AS n_terms, round(max(w / norm), 6) AS top_weight, round(sum(w / norm), 4) AS total_weight FROM w JOIN n USING (id) GROUP BY id")
+def char_tfidf(spark, sf_dir):
+    """Sublinear TF-IDF of character n-grams inside words, in three rows or more."""
+    counts = cut(X.char_counts(spread(corpus(spark, sf_dir).select("msg_id", "text")), low=2, high=5))
+    weights = X.tfidf(counts, X.vocabulary(counts, min_df=3), rows_of(spark, sf_dir), sublinear=True)
+    return weights.groupBy(F.col("id").alias("msg_id")).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("w"), 6).alias("top_weight"), F.round(F.sum("w"), 4).alias("total_weight"))
+
+
+_AUDIT = (
+    "WITH k AS (SELECT msg_id, regexp_extract_all(text, '[^\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+') AS k FROM corpus WHERE domain = 'email'), "
+    "g AS (SELECT msg_id AS id, unnest(list_concat(k, list_transform(list_zip(k[1:len(k)-1], k[2:]), lambda p: p[1] || ' ' || p[2]))) AS term FROM k), b AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL), "
+    "v AS (SELECT term, count(*) AS df, sum(tf)::bigint AS total FROM b GROUP BY term HAVING count(*) >= 3 ORDER BY total DESC, term LIMIT 200000) "
+)
+
+
+@query(_AUDIT + ", w AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM k)) / (1.0 + df)) + 1) AS w FROM b JOIN v USING (term)), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id) SELECT id AS msg_id, count(*) AS n_terms, round(max(w / norm), 6) AS top_weight, round(sum(w / norm), 4) AS total_weight FROM w JOIN n USING (id) GROUP BY id")
+def audit_tfidf(spark, sf_dir):
+    """TF-IDF as the shortcut audit weighs mail: runs without blanks and pairs of them, case kept, in three mails or more."""
+    mail = spread(corpus(spark, sf_dir).filter("domain = 'email'").select("msg_id", "text"))
+    grams = cut(X.term_counts(mail.select("msg_id", T.words(F.col("text")).alias("tokens")), X.word_ngrams(F.col("tokens"), 1, 2)))
+    weights = X.tfidf(grams, X.vocabulary(grams, min_df=3, max_terms=200_000), mail.agg(F.count(F.lit(1)).alias("n")))
+    return weights.groupBy(F.col("id").alias("msg_id")).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("w"), 6).alias("top_weight"), F.round(F.sum("w"), 4).alias("total_weight"))
 
 
 _CHI = (
@@ -86,46 +118,56 @@ def chi2_top_k(spark, sf_dir):
     return X.top(scores, "k", 200).select("term", F.round("chi2", 4).alias("chi2"))
 
 
-# ---- naive Bayes on the presence of the commonest terms, trained on the train split ----------------------------------------------
+# ---- naive Bayes: TF-IDF of the commonest terms, chi-squared selection, presence; trained on the train split -----------------------
 
-_NB = (
-    f"WITH t AS (SELECT DISTINCT id, term FROM {_TERMS}), y AS (SELECT msg_id AS id, label FROM corpus WHERE label IN ('legit', 'spam', 'phishing') AND {CLEAN} = 'train'), "
-    f"v AS (SELECT term FROM t JOIN y USING (id) GROUP BY term ORDER BY count(*) DESC, term LIMIT {SELECTED}), k AS (SELECT label, count(*) AS n FROM y GROUP BY label), "
-    "s AS (SELECT label, term, count(*) AS c FROM t JOIN y USING (id) JOIN v USING (term) GROUP BY ALL), "
-    "th AS (SELECT label, term, (coalesce(c, 0) + 1.0) / (n + 2) AS p, n FROM v CROSS JOIN k LEFT JOIN s USING (label, term)), "
-    "b AS (SELECT label, sum(ln(1 - p)) + ln(max(n)::double / (SELECT sum(n) FROM k)) AS base FROM th GROUP BY label), "
-)
-_NB_SCORES = (
-    "h AS (SELECT id, label, sum(ln(p) - ln(1 - p)) AS s FROM t JOIN th USING (term) GROUP BY ALL), "
-    "z AS (SELECT msg_id AS id, b.label, base + coalesce(s, 0) AS s FROM corpus CROSS JOIN b LEFT JOIN h ON h.id = msg_id AND h.label = b.label), "
-    "e AS (SELECT id, label, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM z), "
-    "q AS (SELECT id, sum(e) FILTER (label = 'legit') / sum(e) AS p0, sum(e) FILTER (label = 'spam') / sum(e) AS p1, sum(e) FILTER (label = 'phishing') / sum(e) AS p2 FROM e GROUP BY id) "
-)
+LABELLED = "label IN ('legit', 'spam', 'phishing')"
+NB_TERMS = "(SELECT id, term, count(*) AS tf FROM (SELECT {key} AS id, unnest(regexp_extract_all(lower({text}), '[a-z0-9][a-z0-9]+')) AS term FROM {rows}) GROUP BY ALL)"
+
+
+def nb_sql(train: str, terms: str = "t", ids: str = "SELECT msg_id AS id FROM corpus") -> str:
+    """CTEs of the chain: train is (id, label), terms (id, term, tf); th holds the fitted weights, q the scores of `ids`."""
+    return (
+        f"y AS ({train}), o AS (SELECT {terms}.* FROM {terms} JOIN y USING (id)), v AS (SELECT term, count(*) AS df FROM o GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {VOCABULARY}), "
+        "w0 AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM y)) / (1.0 + df)) + 1) AS w FROM o JOIN v USING (term)), nn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w0 GROUP BY id), w AS (SELECT id, term, w / norm AS w FROM w0 JOIN nn USING (id)), "
+        "u AS (SELECT label, count(*)::double / sum(count(*)) OVER () AS share FROM y WHERE id IN (SELECT id FROM w) GROUP BY label), wl AS (SELECT w.*, label FROM w JOIN y USING (id)), m AS (SELECT term, sum(w) AS mass FROM wl GROUP BY term), ob AS (SELECT term, label, sum(w) AS seen FROM wl GROUP BY ALL), "
+        "ch AS (SELECT term, sum((coalesce(seen, 0) - mass * share) * (coalesce(seen, 0) - mass * share) / (mass * share)) AS chi2 FROM m CROSS JOIN u LEFT JOIN ob USING (term, label) GROUP BY term), "
+        f"sel AS (SELECT term FROM ch ORDER BY round(chi2, 6) DESC, term LIMIT {SELECTED}), k AS (SELECT label, count(*) AS n FROM y GROUP BY label), s AS (SELECT label, term, count(*) AS c FROM o JOIN sel USING (term) JOIN y USING (id) GROUP BY ALL), "
+        "th AS (SELECT label, term, (coalesce(c, 0) + 1.0) / (n + 2) AS p, n FROM sel CROSS JOIN k LEFT JOIN s USING (label, term)), b AS (SELECT label, sum(ln(1 - p)) + ln(max(n)::double / (SELECT sum(n) FROM k)) AS base FROM th GROUP BY label), "
+        f"h AS (SELECT id, label, sum(ln(p) - ln(1 - p)) AS s FROM {terms} JOIN th USING (term) GROUP BY ALL), z AS (SELECT i.id, b.label, base + coalesce(h.s, 0) AS s FROM ({ids}) i CROSS JOIN b LEFT JOIN h ON h.id = i.id AND h.label = b.label), "
+        "e AS (SELECT id, label, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM z), q AS (SELECT id, sum(e) FILTER (label = 'legit') / sum(e) AS p0, sum(e) FILTER (label = 'spam') / sum(e) AS p1, sum(e) FILTER (label = 'phishing') / sum(e) AS p2 FROM e GROUP BY id)"
+    )
+
+
+def nb_counts(rows: DataFrame, text: str = "text", key: str = "msg_id") -> DataFrame:
+    """(id, term, tf) over runs of two letters and digits or more, written once for all that read it."""
+    return cut(X.term_counts(spread(rows.select(key, text)), F.filter(T.tokenize(F.col(text)), lambda t: F.length(t) >= 2), key))
+
+
+_NB = f"WITH t AS {NB_TERMS.format(key='msg_id', text='text', rows='corpus')}, " + nb_sql(f"SELECT msg_id AS id, label FROM corpus WHERE {LABELLED} AND {CLEAN} = 'train'") + " "
 
 
 def nb_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(presence, model, scores) of the naive Bayes scorer."""
+    """(term counts, model, scores) of the naive Bayes scorer."""
     rows = corpus(spark, sf_dir)
-    presence = cut(rows.select(F.col("msg_id").alias("id"), F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term")))
+    counts = nb_counts(rows)
     train = rows.filter(F.col("label").isin(*LABELS) & (F.lower(F.trim("split")) == "train")).select(F.col("msg_id").alias("id"), "label")
-    vocab = presence.join(train, "id").groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(SELECTED).select("term")
-    model = cut(M.fit_bernoulli_nb(presence, train, cut(vocab)))
-    return presence, model, M.nb_scores(presence, rows.select(F.col("msg_id").alias("id")), model)
+    model = M.fit_nb(counts, train, VOCABULARY, SELECTED)
+    return counts, model, M.nb_scores(counts, rows.select(F.col("msg_id").alias("id")), model)
 
 
-@query(_NB.rstrip(", ") + " SELECT label, term, round(ln(p) - ln(1 - p), 6) AS weight FROM th")
+@query(_NB + "SELECT label, term, round(ln(p) - ln(1 - p), 6) AS weight FROM th")
 def nb_fit(spark, sf_dir):
     _, model, _ = nb_parts(spark, sf_dir)
     return model.select("label", "term", F.round("yes", 6).alias("weight"))
 
 
-@query(_NB + _NB_SCORES + "SELECT id AS msg_id, round(p0, 5) AS p_legit, round(p1, 5) AS p_spam, round(p2, 5) AS p_phishing, CASE WHEN 1 - p0 < 0.5 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS pred FROM q")
+@query(_NB + "SELECT id AS msg_id, round(p0, 5) AS p_legit, round(p1, 5) AS p_spam, round(p2, 5) AS p_phishing, CASE WHEN 1 - p0 < 0.5 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS pred FROM q")
 def nb_predict(spark, sf_dir):
     _, _, scores = nb_parts(spark, sf_dir)
     return scores.select(F.col("id").alias("msg_id"), *(F.round(f"p_{x}", 5).alias(f"p_{x}") for x in LABELS), M.decide(F.col("p_legit"), F.col("p_spam"), F.col("p_phishing")).alias("pred"))
 
 
-@query(_NB + _NB_SCORES + f"SELECT {CLEAN} AS split, domain, count(*) AS n_rows, round(avg(CASE WHEN (1 - p0 >= 0.5) = (label <> 'legit') THEN 1.0 ELSE 0.0 END), 6) AS scam_accuracy FROM q JOIN corpus ON msg_id = id WHERE label IN ('legit', 'spam', 'phishing') GROUP BY ALL")
+@query(_NB + f"SELECT {CLEAN} AS split, domain, count(*) AS n_rows, round(avg(CASE WHEN (1 - p0 >= 0.5) = (label <> 'legit') THEN 1.0 ELSE 0.0 END), 6) AS scam_accuracy FROM q JOIN corpus ON msg_id = id WHERE label IN ('legit', 'spam', 'phishing') GROUP BY ALL")
 def nb_accuracy(spark, sf_dir):
     _, _, scores = nb_parts(spark, sf_dir)
     rows = corpus(spark, sf_dir).filter(F.col("label").isin(*LABELS)).select(F.col("msg_id").alias("id"), F.lower(F.trim("split")).alias("split"), "domain", "label")
@@ -133,14 +175,29 @@ def nb_accuracy(spark, sf_dir):
     return rows.join(scores, "id").groupBy("split", "domain").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(right), 6).alias("scam_accuracy"))
 
 
-@query()
+_S = "\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_ODDS = "ln(greatest(least(1 - {p}, 1 - 1e-6), 1e-6) / (1 - greatest(least(1 - {p}, 1 - 1e-6), 1e-6)))"
+
+
+@query(
+    _NB + f", sp AS (SELECT msg_id AS id, regexp_extract_all(text, '[^{_S}]+') AS ws FROM corpus), ws AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS position FROM sp WHERE len(ws) >= 2), "
+    "tm AS (SELECT DISTINCT id, position, unnest(regexp_extract_all(lower(word), '[a-z0-9][a-z0-9]+')) AS term FROM ws), al AS (SELECT id, term, min(position) AS position FROM tm GROUP BY id, term HAVING count(*) = 1 AND min(position) < 60), "
+    "lo AS (SELECT id, position, coalesce(sum(ln(p) - ln(1 - p)) FILTER (label = 'legit'), 0) AS l0, coalesce(sum(ln(p) - ln(1 - p)) FILTER (label = 'spam'), 0) AS l1, coalesce(sum(ln(p) - ln(1 - p)) FILTER (label = 'phishing'), 0) AS l2 FROM al JOIN th USING (term) GROUP BY ALL), "
+    "lz AS (SELECT id, position, p0, ln(greatest(p0, 1e-300)) - l0 AS z0, ln(greatest(p1, 1e-300)) - l1 AS z1, ln(greatest(p2, 1e-300)) - l2 AS z2 FROM lo JOIN q USING (id)), "
+    "ln0 AS (SELECT id, position, p0, 1 / (1 + exp(z1 - z0) + exp(z2 - z0)) AS n0 FROM lz), im AS (SELECT id, position, round(" + _ODDS.format(p="p0") + " - " + _ODDS.format(p="n0") + ", 3) AS impact FROM ln0), "
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(impact) DESC, position) AS r FROM im WHERE abs(impact) >= 0.05) "
+    "SELECT id AS msg_id, word, position, instr(text, word) > 0 AS in_text, impact FROM rk JOIN ws USING (id, position) JOIN corpus ON msg_id = id WHERE r <= 6"
+)
 def occlusion_topk(spark, sf_dir):
     """Up to six words of every message with their impact."""
     _, model, scores = nb_parts(spark, sf_dir)
-    return explain.occlusion(corpus(spark, sf_dir), model, cut(scores)).withColumnRenamed("id", "msg_id")
+    rows = corpus(spark, sf_dir)
+    found = explain.occlusion(rows, model, cut(scores)).withColumnRenamed("id", "msg_id")
+    inside = (F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("word")).alias("in_text")
+    return found.join(rows.select("msg_id", "text"), "msg_id").select("msg_id", "word", "position", inside, "impact")
 
 
-@query(_NB.rstrip(", ") + " SELECT term, round(max(ln(p) - ln(1 - p)) FILTER (label = 'phishing') - max(ln(p) - ln(1 - p)) FILTER (label = 'legit'), 6) AS contrast FROM th GROUP BY term ORDER BY 2 DESC, term LIMIT 15")
+@query(_NB + "SELECT term, round(max(ln(p) - ln(1 - p)) FILTER (label = 'phishing') - max(ln(p) - ln(1 - p)) FILTER (label = 'legit'), 6) AS contrast FROM th GROUP BY term ORDER BY 2 DESC, term LIMIT 15")
 def shortcut_audit_nb(spark, sf_dir):
     """The 15 terms that speak most for phishing: a top-k report."""
     _, model, _ = nb_parts(spark, sf_dir)
@@ -149,33 +206,85 @@ def shortcut_audit_nb(spark, sf_dir):
     return X.top(contrast, "contrast", 15)
 
 
+RATES = (0.0, 0.1, 0.3, 0.5, 0.7)
+
+
 @query()
 def robustness_grid(spark, sf_dir):
-    """Share of validation scams still flagged, by disguise, rate and domain."""
+    """Share of validation scams still flagged, by disguise, rate and domain; a rate of 0 is scored once and holds for every disguise."""
     from postmill.functions import attacks as A
     from postmill.functions import udfs as U
 
     _, model, _ = nb_parts(spark, sf_dir)
-    scams = corpus(spark, sf_dir).filter(F.col("label").isin("spam", "phishing") & (F.lower(F.trim("split")) == "val"))
-    grid = spark.createDataFrame([(a, r) for a in (*A.ATTACKS, "mixed") for r in (0.0, 0.3, 0.7)], "attack string, rate double")
-    out = F.col("text")
-    for name in (*A.ATTACKS, "mixed"):
-        out = F.when(F.col("attack") == name, A.attack(F.col("text"), F.col("msg_id"), name, F.col("rate"))).otherwise(out)
-    hit = scams.crossJoin(F.broadcast(grid)).select(F.concat_ws("|", "attack", "rate", "domain", "msg_id").alias("id"), "attack", "rate", "domain", U.normalise(out).alias("text"))
+    scams = spread(corpus(spark, sf_dir).filter(F.col("label").isin("spam", "phishing") & (F.lower(F.trim("split")) == "val")).select("msg_id", "domain", "text"))
+    out = None
+    for name in ("", *A.ATTACKS, "mixed"):  # a branch for each disguise: no row carries the expressions of the others
+        rates = F.array(*(F.lit(r) for r in (RATES[1:] if name else RATES[:1])))
+        part = scams.select("msg_id", "domain", "text", F.explode(rates).alias("rate"))
+        text = A.attack(F.col("text"), F.col("msg_id"), name, F.col("rate")) if name else F.col("text")
+        part = part.select("msg_id", "domain", "rate", F.lit(name).alias("attack"), text.alias("text"))
+        out = part if out is None else out.union(part)
+    hit = out.select(F.concat_ws("|", "attack", "rate", "msg_id").alias("id"), "attack", "rate", "domain", U.normalise(F.col("text")).alias("text"))
     hit = cut(hit)
     presence = hit.select("id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term"))
     scores = M.nb_scores(presence, hit.select("id"), model)
     flagged = (M.decide(F.col("p_legit"), F.col("p_spam"), F.col("p_phishing")) > 0).cast("double")
-    return hit.join(scores, "id").groupBy("attack", "rate", "domain").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(flagged), 4).alias("scam_recall"))
+    cells = hit.join(scores, "id").groupBy("attack", "rate", "domain").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(flagged), 4).alias("scam_recall"))
+    named = F.when(F.col("attack") == "", F.array(*map(F.lit, (*A.ATTACKS, "mixed")))).otherwise(F.array("attack"))
+    return cells.select(F.explode(named).alias("attack"), "rate", "domain", "n_rows", "scam_recall")
+
+
+_PROBED = (
+    f"WITH t AS (SELECT * FROM {NB_TERMS.format(key='msg_id', text='text', rows='corpus')} UNION ALL SELECT -1 - id, term, tf FROM {NB_TERMS.format(key='probe_id', text='text', rows='probes')}), "
+    + nb_sql(f"SELECT msg_id AS id, label FROM corpus WHERE {LABELLED} AND {CLEAN} = 'train'", ids="SELECT -1 - probe_id AS id FROM probes")
+)
+
+
+@query(_PROBED + " SELECT domain, count(*) AS n_probes, count(*) FILTER (label = CASE WHEN 1 - p0 < 0.5 THEN 'legit' WHEN p1 >= p2 THEN 'spam' ELSE 'phishing' END) AS n_right FROM probes JOIN q ON q.id = -1 - probe_id GROUP BY domain")
+def probe_score(spark, sf_dir):
+    """How many held-out probes the naive Bayes scorer labels right."""
+    rows, probes = corpus(spark, sf_dir), table(spark, sf_dir, "probes")
+    train = rows.filter(F.col("label").isin(*LABELS) & (F.lower(F.trim("split")) == "train")).select(F.col("msg_id").alias("id"), "label")
+    model = M.fit_nb(nb_counts(rows), train, VOCABULARY, SELECTED)
+    scores = M.nb_scores(nb_counts(probes, key="probe_id"), probes.select(F.col("probe_id").alias("id")), model)
+    said = F.element_at(F.array(*map(F.lit, LABELS)), M.decide(F.col("p_legit"), F.col("p_spam"), F.col("p_phishing")) + 1)
+    return probes.join(scores, probes["probe_id"] == scores["id"]).groupBy("domain").agg(F.count(F.lit(1)).alias("n_probes"), F.count(F.when(F.col("label") == said, 1)).alias("n_right"))
+
+
+@query(_NB + ", r AS (SELECT *, row_number() OVER (PARTITION BY domain, label ORDER BY md5('90:' || msg_id), msg_id) AS r FROM corpus WHERE " + LABELLED + ") SELECT msg_id, domain, text, label, round(p0, 4) AS p_legit, round(p1, 4) AS p_spam, round(p2, 4) AS p_phishing FROM r JOIN q ON id = msg_id WHERE r <= 30")
+def parity_fixtures(spark, sf_dir):
+    """Thirty messages of each domain and label with the scorer's output, for other implementations to be held against: a sample is the feature."""
+    from postmill.operators.split import stratified_sample
+
+    _, _, scores = nb_parts(spark, sf_dir)
+    chosen = stratified_sample(corpus(spark, sf_dir).filter(F.col("label").isin(*LABELS)), ["domain", "label"], 30, "90")
+    return chosen.join(scores, chosen["msg_id"] == scores["id"]).select("msg_id", "domain", "text", "label", *(F.round(f"p_{x}", 4).alias(f"p_{x}") for x in LABELS))
+
+
+@query()
+def nb_published(spark, sf_dir):
+    """The naive Bayes chain on prepared text without stop words, stemmed: accuracy by split and domain."""
+    from postmill.functions import udfs as U
+
+    rows = corpus(spark, sf_dir).filter(F.col("label").isin(*LABELS)).select("msg_id", "domain", "label", F.lower(F.trim("split")).alias("split"), "text")
+    cleaned = spread(rows).withColumn("text", U.clean_text(T.prepare(F.col("text"), F.col("domain"), U.normalise)))
+    counts = nb_counts(cleaned)
+    model = M.fit_nb(counts, rows.filter("split = 'train'").select(F.col("msg_id").alias("id"), "label"), VOCABULARY, SELECTED)
+    scores = M.nb_scores(counts, rows.select(F.col("msg_id").alias("id")), model)
+    right = ((1 - F.col("p_legit") >= 0.5) == (F.col("label") != "legit")).cast("double")
+    return rows.join(scores, rows["msg_id"] == scores["id"]).groupBy("split", "domain").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(right), 4).alias("scam_accuracy"))
 
 
 @query()
 def lr_predict(spark, sf_dir):
-    """Accuracy of the balanced regression on hashed terms, by split and domain."""
+    """The balanced regression on words and character n-grams of prepared text, as published: accuracy by split and domain."""
+    from postmill.functions import udfs as U
+
     rows = corpus(spark, sf_dir).withColumn("y", label_index(F.col("label"))).filter("y is not null").select("msg_id", "domain", "y", F.lower(F.trim("split")).alias("split"), "text")
-    rows = rows.withColumn("tokens", T.tokenize(F.col("text"))).drop("text")
-    vectors = cut(M.hashed_features(rows, X.word_ngrams(F.col("tokens"), 1, 2), size=1 << 14))
-    scored = M.logistic_regression(vectors.filter("split = 'train'"), vectors.filter("split in ('val', 'test')"), label="y", iterations=15)
+    prepared = cut(spread(rows).withColumn("text", T.prepare(F.col("text"), F.col("domain"), U.normalise)))
+    train = prepared.filter("split = 'train'").select(F.col("msg_id").alias("id"))
+    vectors = M.text_vectors(prepared, train).join(prepared.select(F.col("msg_id").alias("id"), "domain", "y", "split"), "id")
+    scored = M.logistic_regression(vectors.filter("split = 'train'"), vectors.filter("split in ('val', 'test')"), label="y")
     return scored.groupBy("split", "domain").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg((F.col("prediction") == F.col("y")).cast("double")), 4).alias("accuracy"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from postmill.functions import attacks as A
@@ -74,9 +76,9 @@ def masked_sender(spark, sf_dir):
     return corpus(spark, sf_dir).filter("sender is not null").select("msg_id", T.mask_key(F.col("sender")).alias("masked"))
 
 
-@query("SELECT msg_id, length(text) AS n_chars, len(regexp_extract_all(text, '[^" + S + "]+')) AS n_words, len(string_split(text, E'\\n')) AS n_lines FROM corpus")
+@query("SELECT msg_id, length(text) AS n_chars, len(regexp_extract_all(text, '[^" + S + "]+')) AS n_words, len(string_split(text, E'\\n')) AS n_lines, len(regexp_extract_all(text, '[.!?]+(?:[ \\n]|$)')) AS n_sentences FROM corpus")
 def length_counts(spark, sf_dir):
-    return corpus(spark, sf_dir).select("msg_id", F.length("text").alias("n_chars"), F.size(T.words(F.col("text"))).alias("n_words"), F.size(F.split("text", "\n")).alias("n_lines"))
+    return corpus(spark, sf_dir).select("msg_id", F.length("text").alias("n_chars"), F.size(T.words(F.col("text"))).alias("n_words"), F.size(F.split("text", "\n")).alias("n_lines"), F.size(F.regexp_extract_all("text", F.lit(r"[.!?]+(?:[ \n]|\z)"), F.lit(0))).alias("n_sentences"))
 
 
 # The tags in RE2: \b before a digit or letter becomes the edge of a class, kept by a group.
@@ -103,6 +105,59 @@ def tag_entities(spark, sf_dir):
     return corpus(spark, sf_dir).select("msg_id", T.tag_entities(F.col("text")).alias("tagged"))
 
 
+# On texts of ASCII the classes of both dialects agree, and with them word edges: there the oracle states the whole operators.
+ASCII = "regexp_full_match(text, '[\\x00-\\x7f]*')"
+_RE2 = lambda c, steps: [c := f"regexp_replace({c}, '{p.replace(chr(39), chr(39) * 2)}', '{r}', 'g')" for p, r in steps][-1]
+_SPACE_RE2 = "[\\s\\x0b]"
+
+
+def _plain(pattern: str) -> str:
+    """A pattern of `functions.text` in RE2: flags that only widen classes go."""
+    flags = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
+    rest = pattern[flags.end() :] if flags else pattern
+    kept = "".join(x for x in (flags[1] if flags else "") if x in "ims")
+    return (f"(?{kept})" if kept else "") + rest
+
+
+def _tag_sql(c: str) -> str:
+    return _RE2(c, [(_plain(pattern), f" {tag} ") for tag, pattern in T.ENTITIES])
+
+
+def _scrub_sql(c: str) -> str:
+    c = _RE2(c, [(T.ADDRESS, " xxemail "), (_plain(T.LIST_TAG), "\\1"), (_plain(T.LIST_FOOTER), " ")])
+    return _RE2(f"lower({c})", [(_plain(T.SPACE_BEFORE), "\\1"), (_plain(T.SPACE_AFTER), "\\1"), (_plain(T.IDENTITY), " ")])
+
+
+_TEXT = "text"
+_PREPARED = f"'[' || domain || '] ' || trim(regexp_replace({_tag_sql(f'CASE WHEN domain = {chr(39)}email{chr(39)} THEN {_scrub_sql(_TEXT)} ELSE text END')}, '{_SPACE_RE2}+', ' ', 'g'))"
+
+
+def _ascii(spark, sf_dir):
+    return corpus(spark, sf_dir).filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+
+
+@query(f"SELECT msg_id, {_tag_sql('text')} AS tagged FROM corpus WHERE {ASCII}")
+def tag_entities_ascii(spark, sf_dir):
+    return _ascii(spark, sf_dir).select("msg_id", T.tag_entities(F.col("text")).alias("tagged"))
+
+
+@query(f"SELECT msg_id, {_scrub_sql('text')} AS scrubbed FROM corpus WHERE {ASCII} AND domain = 'email'")
+def scrub_email_ascii(spark, sf_dir):
+    return _ascii(spark, sf_dir).filter("domain = 'email'").select("msg_id", T.scrub_email(F.col("text")).alias("scrubbed"))
+
+
+@query(f"SELECT msg_id, {_PREPARED} AS prepared FROM corpus WHERE {ASCII}")
+def prepare_ascii(spark, sf_dir):
+    """Prepared text without the undoing of disguises."""
+    return _ascii(spark, sf_dir).select("msg_id", T.prepare(F.col("text"), F.col("domain")).alias("prepared"))
+
+
+@query(f"SELECT domain, label, count(*) AS n_rows, count(*) FILTER (regexp_matches({_PREPARED}, '{T.HOOKS}')) AS with_hook FROM corpus WHERE {ASCII} GROUP BY ALL")
+def hook_filter_ascii(spark, sf_dir):
+    prepared = T.prepare(F.col("text"), F.col("domain"))
+    return _ascii(spark, sf_dir).select("domain", "label", T.has_hook(prepared).alias("hook")).groupBy("domain", "label").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("hook"), 1)).alias("with_hook"))
+
+
 @query()
 def hook_filter(spark, sf_dir):
     prepared = T.prepare(F.col("text"), F.col("domain"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -29,9 +30,11 @@ def session(app: str = "postmill", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where the cluster sets it, else one made for this (local) session."""
+    """The folder all executors share: spark.checkpoint.dir where the cluster sets it, else one made for this session, which must be local then."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(shared_dir, "own", None)
         if base is None:
             base = shared_dir.own = f"file://{tempfile.mkdtemp(prefix='postmill-')}"
@@ -48,8 +51,8 @@ def spread(df: DataFrame) -> DataFrame:
 _written: set[str] = set()
 
 
-def cut(df: DataFrame, sort: str | None = None) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it again: later stages start from files, not from lineage.
+def cut(df: DataFrame, sort: str | None = None, schema: StructType | None = None) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it again (as `schema`, if given): later stages start from files, not from lineage.
 
     The files hold every row and stay until `release` or the end of the process, so a lost executor costs only its running tasks.
     """
@@ -58,7 +61,7 @@ def cut(df: DataFrame, sort: str | None = None) -> DataFrame:
     writer = df.sortWithinPartitions(sort) if sort else df
     writer.write.option("compression", "zstd").parquet(path)
     _written.add(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema or df.schema).parquet(path)
     out._postmill_path = path
     return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from postmill.functions import text as T
@@ -22,6 +24,19 @@ def check_request(texts: list[str], kind: str, batch: bool = False) -> list[str]
     return [t[:MOST_CHARS] for t in texts]
 
 
+def health() -> dict[str, str]:
+    """What a health check answers."""
+    from postmill import __version__
+
+    return {"status": "ok", "version": __version__}
+
+
+def model_card(report: DataFrame, name: str) -> str:
+    """The model card as JSON: a metric table of a run (a row a domain) under the model's name."""
+    rows = [r.asDict() for r in report.limit(100).collect()]
+    return json.dumps({"model": name, "labels": list(LABELS), "threshold": M.THRESHOLD, "metrics": rows}, sort_keys=True)
+
+
 def classify(df: DataFrame, model: DataFrame, id_col: str = "msg_id", text_col: str = "text", explained: bool = True) -> DataFrame:
     """(id, label, probabilities, scam_probability, evidence) for every row, by the naive Bayes tables of `fit_bernoulli_nb`."""
     presence = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(T.tokenize(F.col(text_col)))).alias("term"))
@@ -33,5 +48,5 @@ def classify(df: DataFrame, model: DataFrame, id_col: str = "msg_id", text_col:
     if not explained:
         return out
     words = explain.occlusion(df, model, scores, id_col, text_col)
-    evidence = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", "word", "impact"))).alias("evidence"))
+    evidence = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "word", "impact"))).alias("evidence"))
     return out.join(evidence, "id", "left")

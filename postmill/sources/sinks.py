@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from postmill.schema import LABELS
 
+ONE_FILE = 10_000
+
 
 def write_corpus(df: DataFrame, path: str) -> None:
     """Parquet by split and domain, so that a reader of one split prunes the others."""
@@ -19,8 +21,9 @@ def wide_predictions(df: DataFrame, models: list[str], keys: list[str], model_co
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A long metric table as one JSON-lines file."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A long metric table as JSON lines: one file, unless it has more than ONE_FILE rows."""
+    small = df.limit(ONE_FILE + 1).count() <= ONE_FILE
+    (df.coalesce(1) if small else df).write.mode("overwrite").json(path)
 
 
 def report_json(df: DataFrame, scope: str, metric: str, value: str) -> DataFrame:
@@ -39,5 +42,14 @@ def bundle_digest(df: DataFrame) -> DataFrame:
     return df.select("path", F.substring(F.sha2("content", 256), 1, 12).alias("digest"), F.length("content").alias("n_bytes"))
 
 
+def write_bundle(df: DataFrame, path: str) -> DataFrame:
+    """Write a table under a folder named by the digest of its rows, and return (digest, n_rows): equal tables have equal names whatever their order."""
+    row = F.xxhash64(*df.columns)
+    mark = df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(row).alias("x"), F.sum(F.pmod(row, F.lit(1_000_003))).alias("y"))
+    named = mark.select(F.substring(F.sha2(F.concat_ws(":", "n_rows", "x", "y"), 256), 1, 12).alias("digest"), "n_rows").first()
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path.rstrip('/')}/{named['digest']}")
+    return df.sparkSession.createDataFrame([tuple(named)], "digest string, n_rows bigint")
+
+
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)

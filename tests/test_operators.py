@@ -155,6 +155,24 @@ def test_classify_and_evidence(spark, model):
     assert {e.word for e in out[1].evidence} <= {"free", "prize", "now"} and out[1].evidence
     assert "account" not in {e.word for e in out[4].evidence}  # said twice: leaving one out changes nothing
     assert out[3].evidence is None
+    texts = {r.msg_id: r.text for r in df.collect()}
+    assert all(texts[i][e.start : e.end] == e.word for i, r in out.items() for e in r.evidence or ())
+
+
+def test_evidence_spans_of_a_text_that_begins_with_blanks(spark, model):
+    df = spark.createDataFrame([(1, " \u00a0free\n prize  now")], "msg_id bigint, text string")
+    found = {e.word: (e.start, e.end) for e in classify(df, model).first().evidence}
+    assert found and all(df.first().text[a:b] == w for w, (a, b) in found.items())
+
+
+def test_health_and_card(spark):
+    import json
+
+    from postmill import service
+
+    assert service.health()["status"] == "ok"
+    card = json.loads(service.model_card(spark.createDataFrame([("sms", 0.9)], "domain string, macro_f1 double"), "nb"))
+    assert card["model"] == "nb" and card["metrics"] == [{"domain": "sms", "macro_f1": 0.9}]
 
 
 def test_occlusion_equals_scoring_again(spark, model):
@@ -207,7 +225,7 @@ def test_char_ngrams_stay_inside_words(spark):
     assert sorted(got) == sorted([" a", "ab", "b ", " ab", "ab ", " c", "c ", " c "])
 
 
-def test_nearest_equals_brute_force(spark):
+def test_nearest_equals_brute_force(spark, monkeypatch):
     import numpy as np
 
     from postmill.operators import neighbours
@@ -218,7 +236,78 @@ def test_nearest_equals_brute_force(spark):
     rows = spark.createDataFrame([*data.items(), (999, None)], "vec_id bigint, embedding array<double>")
     unit = {i: np.array(v) / np.linalg.norm(v) for i, v in data.items() if i != 7}
     want = {(q, i) for q in range(0, 200, 20) for i in sorted((i for i in unit if i != q), key=lambda i: (-unit[q] @ unit[i], i))[:4]}
-    for size in (2048, 3):
-        neighbours.BLOCK = size
+    for size in (512, 3):
+        monkeypatch.setattr(neighbours, "QUERY_BLOCK", size)
+        monkeypatch.setattr(neighbours, "ROW_BLOCK", 32 * size)
         got = neighbours.nearest(rows.filter("vec_id % 20 = 0"), rows, 4)
         assert {(r.query_id, r.id) for r in got.collect()} == want
+
+
+def test_char_counts_are_the_char_ngrams(spark):
+    rows = [(1, "Ab c ab\u00a0É"), (2, ""), (3, None), (4, "x")]
+    df = spark.createDataFrame(rows, "msg_id bigint, text string")
+    got = {(r.id, r.term): r.tf for r in X.char_counts(df).collect()}
+    want = {(r.id, r.term): r.tf for r in X.term_counts(df.filter("text is not null"), X.char_ngrams(F.col("text"), 2, 5)).collect()}
+    assert got == want and got
+
+
+def test_quantiles_equal_percentile(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.choice([rng.random(), 0.5, -3.0, 7.25])) for g in ("a", "b", None) for _ in range(rng.choice([1, 2, 50, 301]))] + [("c", None), ("d", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = [0.0, 0.125, 0.5, 0.9, 1.0]
+    got = {r.g: list(r.edges) for r in E.quantiles(df, ["g"], "v", shares).collect()}
+    want = {r.g: list(r.p) for r in df.filter("v is not null").groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("p")).collect()}
+    assert got.keys() == want.keys()
+    for g in want:
+        assert got[g] == pytest.approx(want[g])
+
+
+def test_text_vectors_hold_two_unit_halves(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(k, t) for k, t, _ in TRAIN] + [(9, "unseen wörds")], "msg_id bigint, text string")
+    out = {r.id: r.features for r in M.text_vectors(df, df.filter("msg_id < 9").select(F.col("msg_id").alias("id"))).collect()}
+    assert len(out) == 7 and len({v.size for v in out.values()}) == 1
+    assert np.linalg.norm(out[1].toArray()) == pytest.approx(2**0.5)
+    labels = spark.createDataFrame([(k, {"legit": 0, "spam": 1, "phishing": 2}[x]) for k, _, x in TRAIN], "id bigint, y int")
+    vectors = M.text_vectors(df, df.filter("msg_id < 9").select(F.col("msg_id").alias("id"))).join(labels, "id")
+    scored = M.logistic_regression(vectors, vectors).collect()
+    assert all(r.prediction == r.y for r in scored)
+
+
+def test_stratified_folds_hold_their_share(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(900), rng.choice(["sms", "email"]), rng.choice(["legit", "spam"])) for _ in range(6000)] + [(None, "sms", "spam")]
+    out = split.stratified_folds(spark.createDataFrame(rows, "`group` bigint, domain string, label string")).toPandas()
+    assert len(out) == len({r[0] for r in rows}) - 1 and set(out.fold) <= set(range(7))
+    sizes = out.groupby(["stratum", "fold"]).group.count().unstack(fill_value=0)
+    assert (sizes.max(axis=1) < 2.2 * sizes.mean(axis=1)).all()
+
+
+def test_labels_in_answers():
+    answers = ['{"label": "spam"}', "Phishing ", '"legit"', "[1]", "", '{"label": 3}', "maybe"]
+    assert [M.parse_label(a) for a in answers] == ["spam", "phishing", "legit", "error", "error", "error", "error"]
+
+
+def test_calls_are_spaced():
+    waits = []
+    label = M.remote_scorer(lambda key: lambda text, system: text, ["a"], wait=waits.append, pause=5.0)
+    assert [label(x, "") for x in ("spam", "legit")] == ["spam", "legit"] and len(waits) == 1 and 4 < waits[0] <= 5
+
+
+def test_answers_resume(spark):
+    messages = spark.createDataFrame([("sms-1", "win"), ("sms-2", "hi"), ("sms-3", None)], "id string, text string")
+    done = spark.createDataFrame([("m", "v", "sms-1", "spam"), ("m", "v", "sms-2", "error"), ("m", "w", "sms-3", "spam")], "model string, variant string, id string, label string")
+    out = M.answer_pending(messages, done, lambda: lambda text, system: "legit", "m", "v")
+    assert {(r.id, r.label) for r in out.collect()} == {("sms-2", "legit"), ("sms-3", "legit")}
+    assert M.answer_pending(messages, done.unionByName(out.drop("secs")), lambda: lambda text, system: "legit", "m", "v").count() == 0
+
+
+def test_published_chain_learns(spark):
+    df = spark.createDataFrame(TRAIN, "msg_id bigint, text string, label string")
+    counts = X.term_counts(df, T.tokenize(F.col("text")))
+    model = M.fit_nb(counts, df.select(F.col("msg_id").alias("id"), "label"), vocabulary=20, selected=10)
+    assert model.select("term").distinct().count() == 10
+    scores = {r.id: r for r in M.nb_scores(counts, df.select(F.col("msg_id").alias("id")), model).collect()}
+    assert scores[1].p_spam > scores[1].p_legit and scores[5].p_legit > scores[5].p_spam

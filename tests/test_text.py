@@ -110,3 +110,16 @@ def test_small_helpers(spark):
     assert one(spark, "abcdefghijkl", T.mask_key) == "...ijkl" and one(spark, "short", T.mask_key) == "..."
     assert one(spark, "x" * 11, lambda c: T.shorten(c, 10)) == "x" * 10 + "…"
     assert one(spark, "Running of the bulls", U.clean_text) == "run bull"
+
+
+def test_keys_read_entities_widths_and_ligatures(spark):
+    same = ["Fish &amp; chips, office", "Ｆｉｓｈ & chips, oﬃce", "fish chips office"]
+    rows = spark.createDataFrame([(t,) for t in same], "t string").select(T.dedup_key(F.col("t")).alias("k")).collect()
+    assert {r.k for r in rows} == {"fishchipsoffice"}
+    assert one(spark, "ＷＩＮ ﬁve", U.fix_encoding) == "WIN five"
+    assert one(spark, "<b>&amp;</b>", T.dedup_key) == "bampb"
+
+
+def test_only_rows_that_need_it_are_undisguised(spark):
+    rows = spark.createDataFrame([("plain text 1st",), ("F R E E pr1ze",), ("ｗｉｎ раypal\u200b",), (None,)], "t string").select(U.normalise(F.col("t")).alias("n")).collect()
+    assert [r.n for r in rows] == ["plain text ist", "FREE prize", "win paypal", None]
