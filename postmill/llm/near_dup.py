@@ -16,7 +16,7 @@ Two texts of one domain are similar if the Jaccard similarity of their 5-charact
    proposed; the rows of a larger one, in a pseudo-random order that differs from bucket to bucket, each with the first and with the
    one before: a linear number of proposals in one pass. No bucket can hold more than 1 / PARTS of a band's rows, so a campaign of a
    third of all rows is spread over many tasks.
-4. Every doc that was proposed gets a parity bit sketch of twice as many bits as it has shingles: each shingle turns one bit, so the
+4. Every doc gets a parity bit sketch of twice as many bits as it has shingles: each shingle turns one bit, so the
    Hamming distance of two sketches is a lower bound of the symmetric difference, and a proposal whose distance exceeds what the
    threshold allows for the two sizes is ruled out, without error and without its texts.
 5. What is left is verified exactly on whole texts, the proposal with most agreeing parts of each doc first; what then already lies in
@@ -92,8 +92,8 @@ def band_of(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / math.log(1 / threshold) + 1e-9).astype(np.int64)
 
 
-def sketch_parts(texts: list[str], salt: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(doc index, bucket) of every usable part of the sketches of `texts` for their own size band and the next. salt: a number for each doc's domain."""
+def sketch_parts(texts: list[str], salt: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc index, bucket) of every usable part of the sketches of `texts` for their own size band and the next, and the shingles of each doc. salt: a number for each doc's domain."""
     keys = shingle_keys(texts)
     doc = (keys >> np.uint64(52)).astype(np.int64)
     hashed = keys & np.uint64((1 << 52) - 1)
@@ -115,7 +115,7 @@ def sketch_parts(texts: list[str], salt: np.ndarray, threshold: float) -> tuple[
         label = ((band[who] * SKETCHES + turn) * PARTS + at % PARTS).astype(np.uint64) * _ODD[1] ^ salt[who]
         docs.append(who)
         buckets.append(_mix(parity[at] + label))
-    return np.concatenate(docs), np.concatenate(buckets)
+    return np.concatenate(docs), np.concatenate(buckets), n
 
 
 def chunks(texts: list[str]) -> Iterator[slice]:
@@ -190,14 +190,8 @@ def _normal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(norms, pa.string()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["id", "key", "norm", "n", "bits"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys = [_digest(d, normalise(t)) for d, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary())], names=["id", "key"])
-
-
 def _sketcher(threshold: float):
-    """(id, domain, text) -> (id, bucket). Texts that this task has seen already are left out: copies combine before the shuffle."""
+    """(id, domain, text) -> (id, bucket, n). Texts that this task has seen already are left out: copies combine before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -212,8 +206,8 @@ def _sketcher(threshold: float):
             if len(seen) > SEEN:
                 seen.clear()
             for part in chunks(norms):
-                who, bucket = sketch_parts(norms[part], np.array(salts[part], dtype=np.uint64), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids[part], dtype=np.int64)[who]), pa.array(bucket.view(np.int64))], names=["id", "bucket"])
+                who, bucket, n = sketch_parts(norms[part], np.array(salts[part], dtype=np.uint64), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids[part], dtype=np.int64)[who]), pa.array(bucket.view(np.int64)), pa.array(n[who].astype(np.int32))], names=["id", "bucket", "n"])
 
     return run
 
@@ -270,55 +264,55 @@ def _verify(pairs: DataFrame, normal: DataFrame, threshold: float) -> DataFrame:
     return with_b.select("lo", "hi", "a", "b").mapInArrow(_verifier(threshold), "lo bigint, hi bigint")
 
 
-def _pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket and turned id: all pairs of a bucket of up to FULL rows; of a larger one each row with the first and with the one before.
+def _pairing(threshold: float):
+    """Rows (bucket, id, shingles) come sorted by bucket and turned id: all pairs of a bucket of up to FULL rows; of a larger one each row with the first and with the one before.
 
-    A larger bucket, which so leaves pairs unproposed, also gives each of its rows once, as (null, id, bucket). Holds FULL rows and two
-    ids between batches, whatever the size of a bucket.
+    Pairs that their sizes rule out are left out. A larger bucket, which leaves pairs unproposed, also gives each of its rows once, as
+    (null, id, bucket). Holds FULL rows or two between batches, whatever the size of a bucket.
     """
-    held = (np.empty(0, np.int64), np.empty(0, np.int64))
-    going = None  # (bucket, first, previous) of a large bucket whose rows go on
-    for b in itertools.chain(batches, [None]):  # None: the rows still held
-        bucket, ids = held if b is None else (np.concatenate((h, b.column(k).to_numpy())) for k, h in enumerate(held))
-        if not len(bucket):
-            continue
-        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        sizes = np.diff(np.append(starts, len(bucket)))
-        large = sizes > FULL
-        goes_on = going is not None and going[0] == bucket[0]
-        large[0] |= goes_on
-        if b is not None and not large[-1]:
-            held, keep = (bucket[starts[-1] :], ids[starts[-1] :]), starts[-1]
-        else:
-            held, keep = (bucket[:0], ids[:0]), len(bucket)
-        open_, of_large = (large[-1], ids[starts[-1]], ids[-1], bucket[-1]), np.repeat(large, sizes)[:keep]
-        bucket, ids = bucket[:keep], ids[:keep]
-        pairs = [np.empty((2, 0), np.int64)]
-        for k in range(1, min(FULL, len(ids))):
-            same = (bucket[k:] == bucket[:-k]) & ~of_large[k:]
-            pairs.append(np.stack((ids[k:][same], ids[:-k][same])))
-        if of_large.any():
-            head = np.repeat(ids[starts[starts < keep]], sizes[: (starts < keep).sum()])[:keep]
-            before = np.concatenate((ids[:1], ids[:-1]))
-            inner = np.concatenate(([False], bucket[1:] == bucket[:-1]))
-            if goes_on:
-                head[: sizes[0]], before[0], inner[0] = going[1], going[2], True
-            inner &= of_large
-            pairs += [np.stack((ids[inner], head[inner])), np.stack((ids[inner], before[inner]))]
-        going = (open_[3], going[1] if goes_on and len(starts) == 1 else open_[1], open_[2]) if open_[0] else None
-        a, c = np.concatenate(pairs, axis=1)
-        a, c, members, of = a[a != c], c[a != c], ids[of_large], bucket[of_large]
-        yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(np.minimum(a, c)), pa.nulls(len(members), pa.int64())]), pa.array(np.concatenate((np.maximum(a, c), members))), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(of)])],
-            names=["lo", "hi", "bucket"],
-        )
-
-
-def _proposals(sketch: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lo, hi, votes), and (bucket, id) of the buckets with unproposed pairs, and the table of both, from (bucket, id): one shuffle by bucket, one pass over its sorted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = tuple(np.empty(0, kind) for kind in (np.int64, np.int64, np.int32))
+        held, going = empty, None  # going: (bucket, id, shingles) of the first and the last row so far of a large bucket whose rows go on
+        for b in itertools.chain(batches, [None]):  # None: the rows still held
+            rows = held if b is None else tuple(np.concatenate((h, b.column(k).to_numpy())) for k, h in enumerate(held))
+            if not len(rows[0]):
+                continue
+            seen = 0
+            if going is not None and going[0][0] == rows[0][0]:
+                rows, seen = tuple(np.concatenate(x) for x in zip(going, rows)), 2
+            starts = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
+            sizes = np.diff(np.append(starts, len(rows[0])))
+            large = sizes > FULL
+            large[0] |= seen > 0
+            ends = [starts[-1], len(rows[0]) - 1]
+            going = tuple(x[ends] for x in rows) if large[-1] else None
+            keep = starts[-1] if b is not None and not large[-1] else len(rows[0])
+            held = tuple(x[keep:] for x in rows)
+            of_large, head = np.repeat(large, sizes)[:keep], np.repeat(starts, sizes)[:keep]
+            bucket, ids, n = (x[:keep] for x in rows)
+            at = np.arange(keep)
+            inner = of_large & (at > head) & (at >= seen)
+            pairs = [np.stack((at[inner], head[inner])), np.stack((at[inner], at[inner] - 1))]
+            for k in range(1, FULL):
+                same = at[k:][(bucket[k:] == bucket[:-k]) & ~of_large[k:]]
+                pairs.append(np.stack((same, same - k)))
+            a, c = np.concatenate(pairs, axis=1)
+            fits = (ids[a] != ids[c]) & (np.minimum(n[a], n[c]) >= threshold * np.maximum(n[a], n[c]) - 1e-9)
+            a, c, members = ids[a[fits]], ids[c[fits]], of_large & (at >= seen)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(np.minimum(a, c)), pa.nulls(int(members.sum()), pa.int64())]), pa.array(np.concatenate((np.maximum(a, c), ids[members]))), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(bucket[members])])],
+                names=["lo", "hi", "bucket"],
+            )
+
+    return run
+
+
+def _proposals(sketch: DataFrame, parts: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lo, hi, votes), and (bucket, id) of the buckets with unproposed pairs, and the table of both, from (bucket, id, n): one shuffle by bucket, one pass over its sorted rows."""
     turned = F.col("id").bitwiseXOR(F.col("bucket").bitwiseAND(F.lit(_ID_BITS)))
-    met = sketch.repartition(parts, "bucket").sortWithinPartitions("bucket", turned).select("bucket", "id")
-    met = met.mapInArrow(_pairing, "lo bigint, hi bigint, bucket bigint").groupBy("lo", "hi", "bucket").agg(F.count(F.lit(1)).alias("votes"))
+    met = sketch.repartition(parts, "bucket").sortWithinPartitions("bucket", turned).select("bucket", "id", "n")
+    met = met.mapInArrow(_pairing(threshold), "lo bigint, hi bigint, bucket bigint").groupBy("lo", "hi", "bucket").agg(F.count(F.lit(1)).alias("votes"))
     met = cut(met)
     return met.filter("bucket is null").select("lo", "hi", "votes"), met.filter("bucket is not null").select("bucket", F.col("hi").alias("id")), met
 
@@ -422,12 +416,12 @@ def near_duplicates(df: DataFrame, id_col: str = "msg_id", text_col: str = "text
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(by).cast("string").alias("domain"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     parts = max(12, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    proposals, crowded, proposed = _proposals(rows.mapInArrow(_sketcher(threshold), "id bigint, bucket bigint"), parts)
-    met = proposals.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
-    texts = cut(rows.join(met, "id", "left_semi").mapInArrow(_normal_batches, "id bigint, key binary, norm string, n bigint, bits binary"))
+    proposals, crowded, proposed = _proposals(rows.mapInArrow(_sketcher(threshold), "id bigint, bucket bigint, n int"), parts, threshold)
+    texts = cut(rows.mapInArrow(_normal_batches, "id bigint, key binary, norm string, n bigint, bits binary"))
     pairs = cut(_sift(proposals, texts, threshold))
-    least = texts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lo")
-    copies = cut(texts.select("id", "key").join(least, "key").filter("id > lo").select("lo", F.col("id").alias("hi")).distinct())
+    met = cut(pairs.select(F.explode(F.array("lo", "hi")).alias("id")).distinct().join(texts.select("id", "key"), "id"))
+    least = met.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lo")
+    copies = cut(met.join(least, "key").filter("id > lo").select("lo", F.col("id").alias("hi")).distinct())
     crowded = crowded.join(copies.select(F.col("hi").alias("id")), "id", "left_anti")  # the least copy is in the same buckets
     sides = pairs.select(F.col("lo").alias("id"), "lo", "hi", "votes").union(pairs.select(F.col("hi").alias("id"), "lo", "hi", "votes"))
     best = sides.groupBy("id").agg(F.expr("max_by(struct(lo, hi), struct(votes, -lo, -hi))").alias("p")).select("p.lo", "p.hi").distinct()
@@ -438,10 +432,15 @@ def near_duplicates(df: DataFrame, id_col: str = "msg_id", text_col: str = "text
         if not more.isEmpty():
             links = links.union(more)
             close = cut(connected_components(links, "lo", "hi"))
-    # a text's copies share its digest: digest -> component -> least id
-    placed = texts.select("id", "key").join(close.withColumnsRenamed({"node": "id"}), "id").groupBy("key").agg(F.min("component").alias("component"))
-    keyed = cut(rows.mapInArrow(_keys, "id bigint, key binary").join(placed, "key", "left"))
-    release(proposed, texts)
+    # a text's copies share its digest: digest -> component -> least id; copies that links have put into several components join these
+    owned = lambda: texts.select("id", "key").join(close.withColumnsRenamed({"node": "id"}), "id")
+    placed = owned().groupBy("key").agg(F.min("component").alias("component"))
+    bridges = cut(owned().select("key", F.col("component").alias("hi")).join(placed.withColumnRenamed("component", "lo"), "key").filter("hi > lo").select("lo", "hi").distinct())
+    if not bridges.isEmpty():
+        close = cut(connected_components(links.union(bridges), "lo", "hi"))
+        placed = owned().groupBy("key").agg(F.min("component").alias("component"))
+    keyed = cut(texts.select("id", "key").join(placed, "key", "left"))
+    release(proposed, texts, met)
     group = [F.when(F.col("component").isNull(), F.col("key")).alias("key"), F.col("component")]
     first = keyed.groupBy(*group).agg(F.min("id").alias("class_id")).alias("f")
     k = keyed.select("id", *group).alias("k")
