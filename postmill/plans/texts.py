@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from postmill.functions import attacks as A
 from postmill.functions import text as T
 from postmill.functions import udfs as U
+from postmill.plans import evaluation
 from postmill.plans.corpus import corpus
 from postmill.plans.registry import query
 from postmill.runtime import table
@@ -158,6 +159,18 @@ def hook_filter_ascii(spark, sf_dir):
     return _ascii(spark, sf_dir).select("domain", "label", T.has_hook(prepared).alias("hook")).groupBy("domain", "label").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("hook"), 1)).alias("with_hook"))
 
 
+@query(
+    evaluation.J + f", h AS (SELECT msg_id, regexp_matches({_PREPARED}, '{T.HOOKS}') AS hook FROM corpus WHERE {ASCII}) "
+    "SELECT run, j.domain, CASE WHEN hook THEN 'with hook' ELSE 'no hook' END AS slice, count(*) AS n, round(avg(CASE WHEN pred > 0 THEN 1.0 ELSE 0.0 END), 6) AS scam_recall FROM j JOIN h USING (msg_id) WHERE y > 0 GROUP BY ALL"
+)
+def no_hook_report(spark, sf_dir):
+    """Recall of scams with and without an address, number or sum to react to, over messages of ASCII."""
+    hook = F.when(T.has_hook(T.prepare(F.col("text"), F.col("domain"))), "with hook").otherwise("no hook")
+    slices = _ascii(spark, sf_dir).select("msg_id", hook.alias("slice"))
+    scams = evaluation.scored(spark, sf_dir).filter("y > 0").join(slices, "msg_id")
+    return scams.groupBy("run", "domain", "slice").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("pred") > 0).cast("double")), 6).alias("scam_recall"))
+
+
 @query()
 def hook_filter(spark, sf_dir):
     prepared = T.prepare(F.col("text"), F.col("domain"))

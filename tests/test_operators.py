@@ -311,3 +311,15 @@ def test_published_chain_learns(spark):
     assert model.select("term").distinct().count() == 10
     scores = {r.id: r for r in M.nb_scores(counts, df.select(F.col("msg_id").alias("id")), model).collect()}
     assert scores[1].p_spam > scores[1].p_legit and scores[5].p_legit > scores[5].p_spam
+
+
+def test_scratch_deletes_what_was_cut_inside(spark):
+    import os
+
+    from postmill import runtime
+
+    with runtime.scratch(spark):
+        kept = runtime.cut(spark.range(5))
+        path = kept._postmill_path.removeprefix("file://")
+        assert kept.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)
