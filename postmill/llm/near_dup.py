@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postmill.operators.components import connected_components
-from postmill.runtime import cut, release, table
+from postmill.runtime import cut, drop_shuffles, release, table
 
 K = 5
 SKETCHES, PARTS, PER_PART, LEAST = 2, 20, 4, 3
@@ -417,8 +417,10 @@ def near_duplicates(df: DataFrame, id_col: str = "msg_id", text_col: str = "text
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(by).cast("string").alias("domain"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     parts = max(12, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     proposals, crowded, proposed = _proposals(rows.mapInArrow(_sketcher(threshold), "id bigint, bucket bigint, n int"), parts, threshold)
+    drop_shuffles(df.sparkSession)  # here and below: the largest ones, before the next are written
     texts = cut(rows.mapInArrow(_normal_batches, "id bigint, key binary, norm string, n bigint, bits binary"))
     pairs = cut(_sift(proposals, texts, threshold))
+    drop_shuffles(df.sparkSession)
     met = cut(pairs.select(F.explode(F.array("lo", "hi")).alias("id")).distinct().join(texts.select("id", "key"), "id"))
     least = met.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lo")
     copies = cut(met.join(least, "key").filter("id > lo").select("lo", F.col("id").alias("hi")).distinct())
@@ -426,9 +428,11 @@ def near_duplicates(df: DataFrame, id_col: str = "msg_id", text_col: str = "text
     sides = pairs.select(F.col("lo").alias("id"), "lo", "hi", "votes").union(pairs.select(F.col("hi").alias("id"), "lo", "hi", "votes"))
     best = sides.groupBy("id").agg(F.expr("max_by(struct(lo, hi), struct(votes, -lo, -hi))").alias("p")).select("p.lo", "p.hi").distinct()
     links = copies.union(cut(_verify(best, texts, threshold)))
+    drop_shuffles(df.sparkSession)
     close = cut(connected_components(links, "lo", "hi"))
     for found in (lambda: _verify(_apart(pairs, close), texts, threshold), lambda: _bucket_links(cut(_open_members(crowded, close)), texts, threshold, parts)):
         more = cut(found())
+        drop_shuffles(df.sparkSession)
         if not more.isEmpty():
             links = links.union(more)
             close = cut(connected_components(links, "lo", "hi"))
