@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -79,8 +80,10 @@ def release(*frames: DataFrame | None) -> None:
 
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of stages whose result is written: it does so only when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of the plans, the second of the shuffles they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 @contextmanager
