@@ -12,7 +12,7 @@ from postmill.functions import udfs as U
 from postmill.plans import evaluation
 from postmill.plans.corpus import corpus
 from postmill.plans.registry import query
-from postmill.runtime import table
+from postmill.runtime import spread, table
 
 # Shared pieces of oracle SQL: RE2 knows no Unicode \w \d \s \b, so classes are written out.
 W, S = "\\p{L}\\p{N}_\\p{M}", "\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -184,7 +184,8 @@ def scrub_email(spark, sf_dir):
 
 @query()
 def prepare_messages(spark, sf_dir):
-    return corpus(spark, sf_dir).select("msg_id", T.prepare(F.col("text"), F.col("domain"), U.normalise).alias("prepared"))
+    rows = spread(corpus(spark, sf_dir).select("msg_id", "text", "domain"))
+    return rows.select("msg_id", T.prepare(F.col("text"), F.col("domain"), U.normalise).alias("prepared"))
 
 
 @query()
@@ -242,7 +243,7 @@ def _attack_sql(form: str) -> str:
 
 def _attacked(name: str):
     def run(spark, sf_dir):
-        return corpus(spark, sf_dir).select("msg_id", A.attack(F.col("text"), F.col("msg_id"), name, RATE).alias("attacked"))
+        return spread(corpus(spark, sf_dir).select("msg_id", "text")).select("msg_id", A.attack(F.col("text"), F.col("msg_id"), name, RATE).alias("attacked"))
 
     run.__name__ = f"attack_{name}"
     return run
