@@ -6,11 +6,14 @@ feature of the vectoriser), with ties by term.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -18,6 +21,8 @@ from postmill.runtime import cut
 
 # Fixed value: white space as `(?U)\\s` of the JVM has it.
 _WORD = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+AT_ONCE = 1 << 17  # characters of texts whose n-grams are counted at once
+HELD = 1 << 19  # n-grams a task numbers before it starts anew
 
 
 def _joined(tokens: Column, n: int):
@@ -55,29 +60,170 @@ def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     return F.flatten(F.transform(padded, grams))
 
 
+class _Numbers(dict):
+    """Numbers keys in the order they come; `new` is told of each."""
+
+    def __init__(self, new: Callable[[str], None] = lambda key: None):
+        self.new = new
+
+    def __missing__(self, key: str) -> int:
+        self.new(key)
+        k = self[key] = len(self)
+        return k
+
+
+class Grams:
+    """The n-grams of `char_ngrams`, numbered: each distinct word is taken apart once, a row's n-grams are those of its words."""
+
+    def __init__(self, low: int, high: int, held: int = HELD):
+        self.low, self.high, self.held = low, high, held
+        self.terms, self.words = _Numbers(), _Numbers(self._take_apart)
+        self.flat, self.starts = array("i"), array("q", [0])  # the numbers of each word's n-grams, one word after the other
+
+    def _take_apart(self, word: str) -> None:
+        padded = f" {word} "
+        size = len(padded)
+        grams = [padded[i : i + n] for n in range(self.low, min(self.high, size) + 1) for i in range(size - n + 1)] or [padded]
+        self.flat.extend(map(self.terms.__getitem__, grams))
+        self.starts.append(len(self.flat))
+
+    def full(self) -> bool:
+        return len(self.terms) >= self.held
+
+    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, number, tf), by row, of lower-case texts."""
+        found = [_WORD.findall(t) for t in texts]
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        words = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(found)), np.int64, int(lens.sum()))
+        starts = np.frombuffer(self.starts, np.int64)
+        sizes = starts[words + 1] - starts[words]
+        at = np.repeat(starts[words] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        keys = np.repeat(np.repeat(np.arange(len(found)) << 32, lens), sizes)
+        keys |= np.frombuffer(self.flat, np.int32)[at] if len(at) else at
+        keys.sort()
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else at
+        return keys[first] >> 32, keys[first] & 0xFFFFFFFF, np.diff(np.append(first, len(keys)))
+
+
+def _pieces(texts: list[str]) -> Iterator[slice]:
+    """Slices of at most AT_ONCE characters, unless one text alone is longer."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        if k > start and held + len(t) > AT_ONCE:
+            yield slice(start, k)
+            start, held = k, 0
+        held += len(t)
+    if len(texts) > start:
+        yield slice(start, len(texts))
+
+
 def char_counts(df: DataFrame, low: int = 2, high: int = 5, id_col: str = "msg_id", text_col: str = "text") -> DataFrame:
     """(id, term, tf): the n-grams of `char_ngrams`, counted row by row in one pass over Arrow batches, so that only distinct n-grams of a row leave it. Null texts have none."""
     rows = df.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).filter("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, terms = Grams(low, high), []
         for b in batches:
-            at, terms, counts = [], [], []
-            for k, text in enumerate(b.column(1).to_pylist()):
-                own: Counter[str] = Counter()
-                for word in _WORD.findall(text):
-                    padded = f" {word} "
-                    size = len(padded)
-                    own.update([padded[i : i + n] for n in range(low, min(high, size) + 1) for i in range(size - n + 1)])
-                    if size < low:
-                        own[padded] += 1
-                at += [k] * len(own)
-                terms += own.keys()
-                counts += own.values()
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["id", "term", "tf"])
+            texts = b.column(1).to_pylist()
+            for part in _pieces(texts):
+                if grams.full():
+                    grams, terms = Grams(low, high), []
+                row, number, tf = grams.count(texts[part])
+                terms += itertools.islice(grams.terms, len(terms), None)
+                own = np.unique(number)  # only these become an Arrow dictionary, not all the task knows
+                named = pa.array([terms[k] for k in own.tolist()], pa.string()).take(pa.array(np.searchsorted(own, number)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + part.start)), named, pa.array(tf)], names=["id", "term", "tf"])
 
     return rows.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, term string, tf bigint")
 
 
+def _with_grams(low: int, high: int, most: int):
+    """(id, text) -> (chunk, id, text, term, n): the rows, and for each chunk of them its n-grams with the number of its rows that have them. A chunk's low 32 bits are its partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, grams, n = TaskContext.get().partitionId(), Grams(low, high, most), np.zeros(0, np.int64)
+
+        def out(ids: pa.Array, texts: pa.Array, terms: list[str], counts: np.ndarray) -> pa.RecordBatch:
+            k, m = len(ids), len(terms)
+            columns = [pa.array(np.full(k + m, chunk)), *(pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in (ids, texts)), pa.array([None] * k + terms, pa.string()), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(counts, pa.int64())])]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "id", "text", "term", "n"])
+
+        for b in itertools.chain(batches, [None]):
+            texts = [] if b is None else b.column(1).to_pylist()
+            for part in _pieces(texts):
+                _, number, _ = grams.count(texts[part])
+                met = np.bincount(number, minlength=len(grams.terms))
+                met[: len(n)] += n
+                n = met
+                yield out(b.column(0)[part.start : part.stop], pa.array(texts[part], pa.string()), [], n[:0])
+                if grams.full():
+                    yield out(b.column(0)[:0], pa.array([], pa.string()), list(grams.terms), n)
+                    chunk, grams, n = chunk + (1 << 32), Grams(low, high, most), n[:0]
+            if b is None and len(n):
+                yield out(none, pa.array([], pa.string()), list(grams.terms), n)
+            elif b is not None:
+                none = b.column(0)[:0]
+
+    return run
+
+
+def _lengths(low: int, high: int):
+    """(chunk, id, text, term, idf), each chunk's n-grams before its rows -> (id, n_terms, top, total, squares) over the n-grams that have an idf. Holds one chunk's n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, grams, idf = None, Grams(low, high), array("d")
+        for b in batches:
+            chunks, named = b.column(0).to_numpy(), b.column(3).is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(named.astype(np.int8)) != 0)) + 1
+            for a, z in itertools.pairwise([0, *edges.tolist(), len(chunks)] if len(chunks) else []):
+                if chunks[a] != at:
+                    at, grams, idf = chunks[a], Grams(low, high), array("d")
+                if named[a]:
+                    for term in b.column(3)[a:z].to_pylist():
+                        grams.terms[term]
+                    idf.extend(b.column(4)[a:z].to_pylist())
+                    continue
+                weights = np.array(idf)
+                texts = b.column(2)[a:z].to_pylist()
+                for part in _pieces(texts):
+                    row, number, tf = grams.count(texts[part])
+                    known = number < len(weights)
+                    row, w = row[known], (np.log(tf[known]) + 1) * weights[number[known]]
+                    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else row
+                    some = len(first)
+                    made = [np.diff(np.append(first, len(row))), *((f.reduceat(x, first) if some else w) for f, x in ((np.maximum, w), (np.add, w), (np.add, w * w)))]
+                    yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(row[first] + a + part.start)), *map(pa.array, made)], names=["id", "n_terms", "top", "total", "squares"])
+
+    return run
+
+
+def char_tfidf_lengths(df: DataFrame, n_rows: DataFrame, min_df: int, low: int = 2, high: int = 5, id_col: str = "msg_id", text_col: str = "text", held: int = HELD) -> DataFrame:
+    """(id, n_terms, top, total): number, largest and sum of a row's sublinear TF-IDF weights of length 1 over the n-grams of `char_ngrams` in `min_df` rows or more. Rows without such n-grams are left out.
+
+    A row has hundreds of n-grams, so (id, term, tf) would take many times the disk of the texts. Instead each task counts, chunk by chunk
+    of its rows, in how many each n-gram stands; only these counts are shuffled, and each chunk's n-grams come back with their idf to the
+    chunk's rows, whose n-grams are counted again. Texts of a repeated id are one row. n_rows: one row with column n;
+    held: n-grams of a chunk that end it.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).filter("text is not null")
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("id").alias("again"))
+    if not again.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("again"))
+        joined = rows.join(again, same).groupBy("id").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+        rows = cut(rows.join(again, same, "left_anti").union(joined))
+    of = rows.rdd.getNumPartitions()
+    chunks = cut(rows.mapInArrow(_with_grams(low, high, held), f"chunk bigint, id {kind}, text string, term string, n bigint"))
+    terms = chunks.filter("term is not null").groupBy("term").agg(F.sum("n").alias("df"), F.collect_list("chunk").alias("chunks")).filter(F.col("df") >= min_df)
+    idf = terms.crossJoin(F.broadcast(n_rows)).select(F.explode("chunks").alias("chunk"), "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    idf = idf.select("chunk", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text"), "term", "idf")
+    texts = chunks.filter("term is null").select("chunk", "id", "text", "term", F.lit(None).cast("double").alias("idf"))
+    met = texts.union(idf).repartitionById(of, F.col("chunk").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).sortWithinPartitions("chunk", F.col("term").isNull())
+    sums = met.mapInArrow(_lengths(low, high), f"id {kind}, n_terms bigint, top double, total double, squares double")
+    norm = F.sqrt("squares")
+    return sums.filter("id is not null").select("id", "n_terms", (F.col("top") / norm).alias("top"), (F.col("total") / norm).alias("total"))
+
+
 def term_counts(df: DataFrame, terms: Column, id_col: str = "msg_id") -> DataFrame:
     """(id, term, tf)."""
     return df.select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -251,6 +251,45 @@ def test_char_counts_are_the_char_ngrams(spark):
     assert got == want and got
 
 
+def test_char_tfidf_writes_less_than_its_ngrams(spark, tmp_path):
+    """Repeated and missing ids as SQL has them; tables cut on the way stay near the size of the texts, not of their n-grams (hundreds a row)."""
+    import os
+
+    import duckdb
+
+    from postmill import runtime
+    from postmill.plans import models, registry
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    rows = [(k, " ".join(rng.choices(words, k=60))) for k in range(1500)] + [(3, "Once more \u00c9a"), (7, None), (8, "once more"), (None, "once more"), (None, "twice"), (5000, ""), (5001, "\u2003q"), (5002, None)]
+    spark.createDataFrame(rows, "msg_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/corpus.parquet")
+    before = set(runtime._written)
+    got = {r.msg_id: r[1:] for r in models.char_tfidf(spark, str(tmp_path)).collect()}
+    made = [os.path.join(d, f) for path in runtime._written - before for d, _, names in os.walk(path.removeprefix("file://")) for f in names]
+    assert sum(map(os.path.getsize, made)) < 2 * sum(len(t or "") for _, t in rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW corpus AS SELECT * FROM '{tmp_path}/corpus.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(registry.oracle_sql()["char_tfidf"]).fetchall()}
+    assert got.keys() == want.keys() and len(want) == 1500
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=2e-4)
+
+
+def test_char_tfidf_in_chunks(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(k, " ".join(rng.choice(["win", "a", "parcel", "\u00e9t\u00e9", str(rng.randrange(300))]) for _ in range(rng.randrange(1, 30)))) for k in range(400)], "msg_id bigint, text string").repartition(3)
+    n = df.agg(F.count(F.lit(1)).alias("n"))
+    counts = X.char_counts(df)
+    weights = X.tfidf(counts, X.vocabulary(counts, min_df=3), n, sublinear=True)
+    want = {r.id: r[1:] for r in weights.groupBy("id").agg(F.count("w"), F.max("w"), F.sum("w")).collect()}
+    for held in (1, 50, 1 << 19):
+        got = {r.id: r[1:] for r in X.char_tfidf_lengths(df, n, 3, held=held).collect()}
+        assert got.keys() == want.keys()
+        for k in want:
+            assert got[k] == pytest.approx(want[k])
+
+
 def test_quantiles_equal_percentile(spark):
     rng = random.Random(2)
     rows = [(g, rng.choice([rng.random(), 0.5, -3.0, 7.25])) for g in ("a", "b", None) for _ in range(rng.choice([1, 2, 50, 301]))] + [("c", None), ("d", 2.0)]
