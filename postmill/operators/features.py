@@ -9,7 +9,8 @@ from __future__ import annotations
 import itertools
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from postmill.runtime import cut
 
 # Fixed value: white space as `(?U)\\s` of the JVM has it.
 _WORD = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-AT_ONCE = 1 << 17  # characters of texts whose n-grams are counted at once
-HELD = 1 << 19  # n-grams a task numbers before it starts anew
+AT_ONCE = 1 << 18  # n-grams that are sorted at once
+HELD = 1 << 20  # characters of distinct words a task holds before it starts anew
 
 
 def _joined(tokens: Column, n: int):
@@ -60,61 +61,84 @@ def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     return F.flatten(F.transform(padded, grams))
 
 
-class _Numbers(dict):
-    """Numbers keys in the order they come; `new` is told of each."""
+def take_apart(words: list[str], low: int, high: int, terms: list[str] = []) -> tuple[np.ndarray, np.ndarray, str, np.ndarray, np.ndarray]:
+    """The n-grams of distinct words as `char_ngrams` has them, numbered: (numbers, one word after the other; where each word's begin, and
+    the end; all words as one string; by number, where in it the n-gram stands and its length).
 
-    def __init__(self, new: Callable[[str], None] = lambda key: None):
-        self.new = new
-
-    def __missing__(self, key: str) -> int:
-        self.new(key)
-        k = self[key] = len(self)
-        return k
-
-
-class Grams:
-    """The n-grams of `char_ngrams`, numbered: each distinct word is taken apart once, a row's n-grams are those of its words."""
-
-    def __init__(self, low: int, high: int, held: int = HELD):
-        self.low, self.high, self.held = low, high, held
-        self.terms, self.words = _Numbers(), _Numbers(self._take_apart)
-        self.flat, self.starts = array("i"), array("q", [0])  # the numbers of each word's n-grams, one word after the other
-
-    def _take_apart(self, word: str) -> None:
-        padded = f" {word} "
-        size = len(padded)
-        grams = [padded[i : i + n] for n in range(self.low, min(self.high, size) + 1) for i in range(size - n + 1)] or [padded]
-        self.flat.extend(map(self.terms.__getitem__, grams))
-        self.starts.append(len(self.flat))
-
-    def full(self) -> bool:
-        return len(self.terms) >= self.held
-
-    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, number, tf), by row, of lower-case texts."""
-        found = [_WORD.findall(t) for t in texts]
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        words = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(found)), np.int64, int(lens.sum()))
-        starts = np.frombuffer(self.starts, np.int64)
-        sizes = starts[words + 1] - starts[words]
-        at = np.repeat(starts[words] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        keys = np.repeat(np.repeat(np.arange(len(found)) << 32, lens), sizes)
-        keys |= np.frombuffer(self.flat, np.int32)[at] if len(at) else at
-        keys.sort()
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else at
-        return keys[first] >> 32, keys[first] & 0xFFFFFFFF, np.diff(np.append(first, len(keys)))
-
-
-def _pieces(texts: list[str]) -> Iterator[slice]:
-    """Slices of at most AT_ONCE characters, unless one text alone is longer."""
-    start = held = 0
-    for k, t in enumerate(texts):
-        if k > start and held + len(t) > AT_ONCE:
-            yield slice(start, k)
-            start, held = k, 0
-        held += len(t)
-    if len(texts) > start:
-        yield slice(start, len(texts))
+    An n-gram's number is that of the n-gram one shorter at its start and its last character, so numbers are exact in any alphabet.
+    `terms` follow the words, each an n-gram as it is.
+    """
+    whole = len(words)
+    words = words + terms
+    text = "".join(words)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    begins = np.cumsum(size) - size
+    single = (size < low) | (np.arange(len(words)) >= whole)
+    counts = {n: np.where(single, size == n, np.maximum(size - n + 1, 0) if n >= low else 0).astype(np.int64) for n in range(1, high + 1)}
+    starts = np.concatenate(([0], np.cumsum(sum(counts.values()), dtype=np.int64)))
+    numbers, place = np.empty(starts[-1], np.int64), starts[:-1].copy()
+    word, at, rank = np.repeat(np.arange(len(words)), size), np.arange(len(code)), np.zeros(len(code), np.int64)
+    named, first, length = 0, [], []
+    for n in range(1, high + 1):
+        fits = at + n <= (begins + size)[word]
+        word, at, rank = word[fits], at[fits], rank[fits]
+        keys = rank << 21 | code[at + n - 1]
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.cumsum(new) - 1
+        given = counts[n][word] > 0
+        if given.any():
+            numbers[place[word[given]] + at[given] - begins[word[given]]] = rank[given] + named
+            first.append(at[order[new]])
+            length.append(np.full(len(first[-1]), n))
+            named += len(first[-1])
+        place += counts[n]
+    return numbers, starts, text, *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, length))
+
+
+class Rows:
+    """Lower-case texts as numbers of distinct words, each between two blanks."""
+
+    def __init__(self):
+        self.words: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.texts, self.met, self.lens, self.size, self.chars, self.own = [], [], [], 0, 0, 0
+
+    def add(self, text: str) -> None:
+        found = _WORD.findall(text)
+        self.texts.append(text), self.lens.append(len(found))
+        self.met.append(np.fromiter(map(self.words.__getitem__, found), np.int64, len(found)))
+        self.size += len(text)
+        self.chars += sum(map(len, itertools.islice(reversed(self.words), len(self.words) - self.own)))
+        self.own = len(self.words)
+
+    def full(self, most: int) -> bool:
+        return self.chars >= most or self.size >= 16 * most
+
+    def padded(self) -> list[str]:
+        return [f" {w} " for w in self.words]
+
+    def counts(self, numbers: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, number, tf), by row, of a few rows at a time; numbers and starts are those of `take_apart`; a negative number is left out."""
+        sizes = np.diff(starts)
+        begin = held = 0
+        for k, own in enumerate(self.met + [None]):
+            if own is not None:
+                held += int(sizes[own].sum())
+            if own is None or held > AT_ONCE:
+                end = min(k + 1, len(self.met))
+                words = np.concatenate(self.met[begin:end]) if end > begin else np.zeros(0, np.int64)
+                many = sizes[words]
+                at = np.repeat(starts[words] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                number = numbers[at]
+                keys = (np.repeat(np.repeat(np.arange(begin, end) << 32, self.lens[begin:end]), many) | number)[number >= 0]
+                keys.sort()
+                if len(keys):
+                    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                    yield keys[first] >> 32, keys[first] & 0xFFFFFFFF, np.diff(np.append(first, len(keys)))
+                begin, held = end, 0
 
 
 def char_counts(df: DataFrame, low: int = 2, high: int = 5, id_col: str = "msg_id", text_col: str = "text") -> DataFrame:
@@ -122,17 +146,15 @@ def char_counts(df: DataFrame, low: int = 2, high: int = 5, id_col: str = "msg_i
     rows = df.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).filter("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, terms = Grams(low, high), []
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for part in _pieces(texts):
-                if grams.full():
-                    grams, terms = Grams(low, high), []
-                row, number, tf = grams.count(texts[part])
-                terms += itertools.islice(grams.terms, len(terms), None)
-                own = np.unique(number)  # only these become an Arrow dictionary, not all the task knows
-                named = pa.array([terms[k] for k in own.tolist()], pa.string()).take(pa.array(np.searchsorted(own, number)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + part.start)), named, pa.array(tf)], names=["id", "term", "tf"])
+            own = Rows()
+            for text in b.column(1).to_pylist():
+                own.add(text)
+            numbers, starts, joined, first, length = take_apart(own.padded(), low, high)
+            for row, number, tf in own.counts(numbers, starts):
+                some, place = np.unique(number, return_inverse=True)
+                terms = [joined[i : i + n] for i, n in zip(first[some].tolist(), length[some].tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(terms, pa.string()).take(pa.array(place)), pa.array(tf)], names=["id", "term", "tf"])
 
     return rows.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, term string, tf bigint")
 
@@ -141,58 +163,70 @@ def _with_grams(low: int, high: int, most: int):
     """(id, text) -> (chunk, id, text, term, n): the rows, and for each chunk of them its n-grams with the number of its rows that have them. A chunk's low 32 bits are its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, grams, n = TaskContext.get().partitionId(), Grams(low, high, most), np.zeros(0, np.int64)
-
-        def out(ids: pa.Array, texts: pa.Array, terms: list[str], counts: np.ndarray) -> pa.RecordBatch:
-            k, m = len(ids), len(terms)
-            columns = [pa.array(np.full(k + m, chunk)), *(pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in (ids, texts)), pa.array([None] * k + terms, pa.string()), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(counts, pa.int64())])]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "id", "text", "term", "n"])
-
-        for b in itertools.chain(batches, [None]):
-            texts = [] if b is None else b.column(1).to_pylist()
-            for part in _pieces(texts):
-                _, number, _ = grams.count(texts[part])
-                met = np.bincount(number, minlength=len(grams.terms))
-                met[: len(n)] += n
-                n = met
-                yield out(b.column(0)[part.start : part.stop], pa.array(texts[part], pa.string()), [], n[:0])
-                if grams.full():
-                    yield out(b.column(0)[:0], pa.array([], pa.string()), list(grams.terms), n)
-                    chunk, grams, n = chunk + (1 << 32), Grams(low, high, most), n[:0]
-            if b is None and len(n):
-                yield out(none, pa.array([], pa.string()), list(grams.terms), n)
-            elif b is not None:
-                none = b.column(0)[:0]
+        chunk, own = TaskContext.get().partitionId(), Rows()
+
+        def out(ids: pa.Array, texts: list[str], terms: list[str], counts: list[int]) -> pa.RecordBatch:
+            k, m = len(texts), len(terms)
+            columns = [np.full(k + m, chunk), pa.concat_arrays([ids, pa.nulls(m, ids.type)]), texts + [None] * m, [None] * k + terms, [None] * k + counts]
+            kinds = [pa.int64(), ids.type, pa.string(), pa.string(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) if not isinstance(x, pa.Array) else x for x, kind in zip(columns, kinds)], names=["chunk", "id", "text", "term", "n"])
+
+        def grams(none: pa.Array) -> pa.RecordBatch:
+            numbers, starts, joined, first, length = take_apart(own.padded(), low, high)
+            n = np.zeros(len(first), np.int64)
+            for _, number, _ in own.counts(numbers, starts):
+                n += np.bincount(number, minlength=len(n))
+            return out(none, [], [joined[i : i + k] for i, k in zip(first.tolist(), length.tolist())], n.tolist())
+
+        none = None
+        for b in batches:
+            texts, sent, none = b.column(1).to_pylist(), 0, b.column(0)[:0]
+            for k, text in enumerate(texts):
+                own.add(text)
+                if own.full(most):
+                    yield out(b.column(0)[sent : k + 1], texts[sent : k + 1], [], [])
+                    yield grams(none)
+                    chunk, own, sent = chunk + (1 << 32), Rows(), k + 1
+            yield out(b.column(0)[sent:], texts[sent:], [], [])
+        if own.texts:
+            yield grams(none)
 
     return run
 
 
 def _lengths(low: int, high: int):
-    """(chunk, id, text, term, idf), each chunk's n-grams before its rows -> (id, n_terms, top, total, squares) over the n-grams that have an idf. Holds one chunk's n-grams."""
+    """(chunk, id, text, term, idf), each chunk's n-grams before its rows -> (id, n_terms, top, total, squares) over the n-grams that have an idf. Holds one chunk."""
+
+    def sums(ids: list[pa.Array], texts: list[str], terms: list[str], idf: list[float]) -> Iterator[pa.RecordBatch]:
+        own = Rows()
+        for text in texts:
+            own.add(text)
+        numbers, starts, _, first, _ = take_apart(own.padded(), low, high, terms)
+        words, places = len(own.words), pa.chunked_array(ids).combine_chunks() if ids else None
+        weights = np.zeros(len(first))
+        weights[numbers[starts[words] :]] = idf  # an idf is 1 or more
+        numbers[weights[numbers] == 0] = -1
+        for row, number, tf in own.counts(numbers, starts[: words + 1]):
+            w = (np.log(tf) + 1) * weights[number]
+            at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            made = np.diff(np.append(at, len(row))), np.maximum.reduceat(w, at), np.add.reduceat(w, at), np.add.reduceat(w * w, at)
+            yield pa.RecordBatch.from_arrays([places.take(pa.array(row[at])), *map(pa.array, made)], names=["id", "n_terms", "top", "total", "squares"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, grams, idf = None, Grams(low, high), array("d")
+        going, ids, texts, terms, idf = None, [], [], [], []
         for b in batches:
-            chunks, named = b.column(0).to_numpy(), b.column(3).is_valid().to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(named.astype(np.int8)) != 0)) + 1
+            chunks = b.column(0).to_numpy()
+            edges = np.flatnonzero(chunks[1:] != chunks[:-1]) + 1
             for a, z in itertools.pairwise([0, *edges.tolist(), len(chunks)] if len(chunks) else []):
-                if chunks[a] != at:
-                    at, grams, idf = chunks[a], Grams(low, high), array("d")
-                if named[a]:
-                    for term in b.column(3)[a:z].to_pylist():
-                        grams.terms[term]
-                    idf.extend(b.column(4)[a:z].to_pylist())
-                    continue
-                weights = np.array(idf)
-                texts = b.column(2)[a:z].to_pylist()
-                for part in _pieces(texts):
-                    row, number, tf = grams.count(texts[part])
-                    known = number < len(weights)
-                    row, w = row[known], (np.log(tf[known]) + 1) * weights[number[known]]
-                    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else row
-                    some = len(first)
-                    made = [np.diff(np.append(first, len(row))), *((f.reduceat(x, first) if some else w) for f, x in ((np.maximum, w), (np.add, w), (np.add, w * w)))]
-                    yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(row[first] + a + part.start)), *map(pa.array, made)], names=["id", "n_terms", "top", "total", "squares"])
+                if chunks[a] != going:
+                    yield from sums(ids, texts, terms, idf)
+                    going, ids, texts, terms, idf = chunks[a], [], [], [], []
+                named = (z - a) - b.column(3)[a:z].null_count
+                terms += b.column(3)[a : a + named].to_pylist()
+                idf += b.column(4)[a : a + named].to_pylist()
+                texts += b.column(2)[a + named : z].to_pylist()
+                ids.append(b.column(1)[a + named : z])
+        yield from sums(ids, texts, terms, idf)
 
     return run
 
@@ -203,7 +237,7 @@ def char_tfidf_lengths(df: DataFrame, n_rows: DataFrame, min_df: int, low: int =
     A row has hundreds of n-grams, so (id, term, tf) would take many times the disk of the texts. Instead each task counts, chunk by chunk
     of its rows, in how many each n-gram stands; only these counts are shuffled, and each chunk's n-grams come back with their idf to the
     chunk's rows, whose n-grams are counted again. Texts of a repeated id are one row. n_rows: one row with column n;
-    held: n-grams of a chunk that end it.
+    held: characters of distinct words that end a chunk.
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).filter("text is not null")
