@@ -315,6 +315,34 @@ def test_text_vectors_hold_two_unit_halves(spark):
     assert all(r.prediction == r.y for r in scored)
 
 
+def test_text_vectors_write_vectors_alone(spark):
+    """Whole vectors are made in one pass: besides them only the counts of terms are written, not the terms of every row; weights as the long tables have them."""
+    import os
+
+    import numpy as np
+
+    from postmill import runtime
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(k, " ".join(rng.choices(["Win", "parcel", "\u00e9t\u00e9", "pay", "x", "the fee", "7"], k=rng.randrange(12)))) for k in range(300)] + [(300, None)], "msg_id bigint, text string")
+    train = df.filter("msg_id % 3 > 0").select(F.col("msg_id").alias("id"))
+    before = set(runtime._written)
+    out = {r.id: r.features for r in M.text_vectors(df, train, words=20, grams=60).collect()}
+    tables = [spark.read.parquet(path) for path in runtime._written - before]
+    assert sum(t.count() for t in tables) == 301 == len(out)
+    n, want = train.agg(F.count(F.lit(1)).alias("n")), {}
+    tokens = df.select("msg_id", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)).alias("tokens"))
+    first = 0
+    for counts, least, most in ((X.term_counts(tokens, X.word_ngrams(F.col("tokens"), 1, 2)), 2, 20), (X.char_counts(df), 3, 60)):
+        vocab = X.vocabulary(counts.join(train, "id"), least, most)
+        place = {t: first + k for k, t in enumerate(sorted(r.term for r in vocab.collect()))}
+        first += len(place)
+        want |= {(r.id, place[r.term]): r.w for r in X.tfidf(counts, vocab, n, sublinear=True).collect()}
+    got = {(k, int(i)): w for k, v in out.items() for i, w in zip(v.indices, v.values)}
+    assert got.keys() == want.keys() and all(v.size == first for v in out.values())
+    assert np.allclose([got[k] for k in want], list(want.values()))
+
+
 def test_stratified_folds_hold_their_share(spark):
     rng = random.Random(6)
     rows = [(rng.randrange(900), rng.choice(["sms", "email"]), rng.choice(["legit", "spam"])) for _ in range(6000)] + [(None, "sms", "spam")]
