@@ -12,15 +12,17 @@ Two texts of one domain are similar if the Jaccard similarity of their 5-charact
    number of parts that differ is a lower bound of the symmetric difference; with at most d differences among PARTS parts some part
    agrees (always for d < PARTS, which covers short texts; above that one part agrees with probability exp(-d / PARTS), so the
    sketches are repeated).
-3. Docs with equal parts meet in a bucket keyed by domain, band, part and parity. All pairs of a bucket of up to FULL rows are
+3. Docs with equal parts meet in a bucket keyed by domain, band, part and parity. Each task packs its rows by cell, the top bits of the
+   bucket, so that a row takes some 8 bytes of the shuffle; a cell is unpacked and sorted where it arrives, and rows of a bucket that is
+   large in a task pass in packs of their own, so that no task holds it. All pairs of a bucket of up to FULL rows are
    proposed; the rows of a larger one, in a pseudo-random order that differs from bucket to bucket, each with the first and with the
    one before: a linear number of proposals in one pass. No bucket can hold more than 1 / PARTS of a band's rows, so a campaign of a
    third of all rows is spread over many tasks.
-4. Every doc gets a parity bit sketch of twice as many bits as it has shingles: each shingle turns one bit, so the
+4. Every doc gets a parity bit sketch of 0.9 to 1.8 times as many bits as it has shingles: each shingle turns one bit, so the
    Hamming distance of two sketches is a lower bound of the symmetric difference, and a proposal whose distance exceeds what the
    threshold allows for the two sizes is ruled out, without error and without its texts.
-5. What is left is verified exactly on whole texts, the proposal with most agreeing parts of each doc first; what then already lies in
-   one component needs no check; the rest is verified too, and `connected_components` (large-star small-star) closes the groups.
+5. What is left is verified exactly on whole texts, the proposal with the least other doc of each doc first; what then already lies in
+   one component needs no check; the rest is verified too (texts that no proposal has are not sent, see `_marked`), and `connected_components` (large-star small-star) closes the groups.
 6. A bucket whose members then lie in one component is settled. Those of any other are compared by their bit sketches, each with every
    member of another component, in pairs of blocks of BLOCK members, so that no task holds a bucket; pairs that are not ruled out are
    verified and the groups are closed once more. So every two members of a bucket are in one group or were compared.
@@ -43,22 +45,30 @@ from postmill.operators.components import connected_components
 from postmill.runtime import cut, drop_shuffles, release, table
 
 K = 5
-SKETCHES, PARTS, PER_PART, LEAST = 2, 20, 4, 3
+SKETCHES, PARTS, PER_PART, LEAST = 5, 20, 5, 5
 FULL = 8  # rows of a bucket up to which all its pairs are proposed
 BLOCK = 1024  # members of a bucket that are compared with as many others in one task
-LEAST_BITS = 256
+LEAST_BITS, PER_SHINGLE = 64, 0.9
+PACK = 1 << 20  # rows of sketches packed at once, and rows that are unpacked to one batch at most
+MARKS = 1 << 28  # most bits of a bitmap of ids, 32 MB
+HOT = 1024  # rows of a bucket in one pack from which on they are packed by themselves
 AT_ONCE = 1 << 21  # 64-bit words of bit sketches compared at once
-CHARS = 1 << 21  # characters of texts that are shingled at once
+CHARS = 1 << 17  # characters of texts that are shingled at once: their arrays stay in a core's cache
 SEEN = 500_000  # normalised texts a task remembers, to send each once
 CHUNK = 4096  # most docs in one sort: 12 bits of the sort key, the other 52 are the shingle's hash
-_SPACE, _DIGIT = re.compile(r"\s+"), re.compile(r"\d")
+_DIGIT = re.compile(r"\d")
+_ASCII = bytes(48 if 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
-_ID_BITS = (1 << 62) - 1
 
 
 def normalise(text: str) -> str:
     """Lower case, each digit 0, each run of white space one blank."""
-    return _SPACE.sub(" ", _DIGIT.sub("0", text.lower()))
+    if text.isascii():
+        folded = text.encode().translate(_ASCII).decode()
+    else:
+        folded = _DIGIT.sub("0", text.lower())
+    words = " ".join(folded.split())  # none of the blanks at the ends
+    return (" " if folded[:1].isspace() else "") + words + (" " if words and folded[-1:].isspace() else "")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -98,19 +108,23 @@ def sketch_parts(texts: list[str], salt: np.ndarray, threshold: float) -> tuple[
     doc = (keys >> np.uint64(52)).astype(np.int64)
     hashed = keys & np.uint64((1 << 52) - 1)
     n = np.bincount(doc, minlength=len(texts))
+    own = band_of(n, threshold)
+    least = np.repeat(np.clip(np.minimum(n, PARTS * PER_PART) // PARTS, 1, LEAST), PARTS)
     docs, buckets = [], []
-    for turn, up in itertools.product(range(SKETCHES), (0, 1)):
-        band = band_of(n, threshold) + up
-        turned = _mix(hashed + _ODD[2] * (band % 2 * SKETCHES + turn)[doc].astype(np.uint64))  # own band and next have hashes of their own
-        floor_n = np.power(1 / threshold, band)
-        rate = np.minimum(1.0, PARTS * PER_PART / floor_n)
-        keep = ((turned >> np.uint64(20)) & np.uint64(0xFFFFF)) < (rate[doc] * (1 << 20)).astype(np.uint64)
-        slot = doc[keep] * PARTS + (turned[keep] % np.uint64(PARTS)).astype(np.int64)
+    for k in range(2 * SKETCHES):  # even bands have the first SKETCHES hashes, odd ones the others: own band and next have hashes of their own
+        odd, turn = divmod(k, SKETCHES)
+        if turn == 0:
+            band = own + (own % 2 != odd)
+            rate = np.minimum(1.0, PARTS * PER_PART / np.power(1 / threshold, band))
+            limit = np.repeat((rate * (1 << 21)).astype(np.uint64), n)
+        if k % 3 == 0:  # a mixed hash has the draws of three sketches, 21 bits each
+            drawn = _mix(hashed + _ODD[2:3] * np.uint64(k // 3 + 1))
+        keep = np.flatnonzero(((drawn >> np.uint64(21 * (k % 3))) & np.uint64(0x1FFFFF)) < limit)
+        turned = _mix(hashed[keep] + _ODD[4:] * np.uint64(k + 1))
+        slot = doc[keep] * PARTS + (turned % np.uint64(PARTS)).astype(np.int64)
         parity = np.zeros(len(texts) * PARTS, np.uint64)
-        np.bitwise_xor.at(parity, slot, _mix(hashed[keep] + np.uint64(1)))
-        filled = np.bincount(slot, minlength=len(parity))
-        least = np.clip(np.minimum(n, PARTS * PER_PART) // PARTS, 1, LEAST)
-        at = np.nonzero(filled >= np.repeat(least, PARTS))[0]
+        np.bitwise_xor.at(parity, slot, turned)
+        at = np.flatnonzero(np.bincount(slot, minlength=len(parity)) >= least)
         who = at // PARTS
         label = ((band[who] * SKETCHES + turn) * PARTS + at % PARTS).astype(np.uint64) * _ODD[1] ^ salt[who]
         docs.append(who)
@@ -131,13 +145,13 @@ def chunks(texts: list[str]) -> Iterator[slice]:
 
 
 def bit_sketches(texts: list[str]) -> tuple[np.ndarray, list[bytes]]:
-    """(shingles, parity bits) of each text: bit h mod m turned by each shingle of hash h, m the power of two from twice the shingles on."""
+    """(shingles, parity bits) of each text: bit h mod m turned by each shingle of hash h, m the power of two from PER_SHINGLE times the shingles on."""
     counts, sketches = [], []
     for part in chunks(texts):
         keys = shingle_keys(texts[part])
         doc = (keys >> np.uint64(52)).astype(np.int64)
         n = np.bincount(doc, minlength=part.stop - part.start)
-        m = np.maximum(LEAST_BITS, 2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+        m = np.maximum(LEAST_BITS, 2 ** np.ceil(np.log2(np.maximum(PER_SHINGLE * n, 1))).astype(np.int64))
         ends = np.cumsum(m)
         at = (ends - m)[doc] + (_mix(keys & np.uint64((1 << 52) - 1)) & (m - 1)[doc].astype(np.uint64)).astype(np.int64)
         packed = np.packbits((np.bincount(at, minlength=int(ends[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -182,12 +196,57 @@ def _digest(domain: str | None, norm: str) -> bytes:
     return hashlib.md5(f"{domain!r}\0{norm}".encode("utf-8", "surrogatepass")).digest()
 
 
-def _normal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         norms = [normalise(t) for t in b.column(2).to_pylist()]
         keys = [_digest(d, t) for d, t in zip(b.column(1).to_pylist(), norms)]
         n, bits = bit_sketches(norms)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(norms, pa.string()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["id", "key", "norm", "n", "bits"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["id", "key", "n", "bits"])
+
+
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """`rows` without most of those whose id is not among the distinct `ids`, before a join by id sends them: by a bitmap of hashed ids.
+
+    The bitmap has 16 to 32 bits for each id, but not more than MARKS; tasks make it in pieces. With far more ids it lets more rows
+    pass, which the join then drops.
+    """
+    count = ids.count()
+    width = min(MARKS, max(1 << 12, 1 << (16 * count).bit_length()))
+    piece = min(width, 1 << 20)
+    at = F.pmod(F.xxhash64("id"), F.lit(width))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column(0).to_numpy()
+            for k in np.unique(at // piece).tolist():
+                made.setdefault(k, np.zeros(piece, bool))[at[at // piece == k] % piece] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([np.packbits(x).tobytes() for x in made.values()], pa.binary())], names=["k", "bits"])
+
+    bitmap = np.zeros(width // 8, np.uint8)
+    pieces = ids.select(at.alias("at")).repartition(min(width // piece, 64), F.floor(F.col("at") / piece)).mapInArrow(mark, "k bigint, bits binary")
+    for k, bits in pieces.collect():
+        bitmap[k * piece // 8 : (k + 1) * piece // 8] = np.frombuffer(bits, np.uint8)
+    sent, names = rows.sparkSession.sparkContext.broadcast(bitmap), rows.columns
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(len(names)).to_numpy()
+            passes = (sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(passes.astype(bool))) for k in range(len(names))], names=names)
+
+    return rows.withColumn("at", at).mapInArrow(sieve, rows.schema)
+
+
+def _normal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([normalise(t) for t in b.column(1).to_pylist()], pa.string())], names=["id", "norm"])
+
+
+def _texts_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, norm) of the rows that stand in a pair."""
+    ids = cut(pairs.select(F.explode(F.array("lo", "hi")).alias("id")).distinct())
+    return _marked(rows.select("id", "text"), ids).join(ids, "id", "left_semi").mapInArrow(_normal_batches, "id bigint, norm string")
 
 
 def _sketcher(threshold: float):
@@ -212,6 +271,95 @@ def _sketcher(threshold: float):
     return run
 
 
+def _to_bytes(bucket: np.ndarray, ids: np.ndarray, n: np.ndarray) -> bytes:
+    """Rows in a pack: count, low halves of the buckets, then ids (each less the one before) and shingles as planes of bytes, compressed."""
+    steps = np.diff(ids, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8)
+    sizes = n.astype("<i4").view(np.uint8).reshape(-1, 4)
+    planes = np.concatenate((steps, sizes), axis=1).T.tobytes()
+    return len(ids).to_bytes(4, "little") + bucket.astype("<u4").tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _from_bytes(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low half of the bucket, id, shingles) of the rows of some packs."""
+    low, ids, sizes = [], [], []
+    for p in packs:
+        k = int.from_bytes(p[:4], "little")
+        low.append(np.frombuffer(p, "<u4", k, 4))
+        planes = np.frombuffer(pa.decompress(memoryview(p)[4 + 4 * k :], 12 * k, "zstd", asbytes=True), np.uint8).reshape(12, k).T
+        ids.append(np.cumsum(np.ascontiguousarray(planes[:, :8]).view("<i8").ravel()))
+        sizes.append(np.ascontiguousarray(planes[:, 8:]).view("<i4").ravel())
+    return np.concatenate(low), np.concatenate(ids), np.concatenate(sizes)
+
+
+def _packer(sketcher, cells: int):
+    """What `sketcher` gives as (cell, hot, rows): a pack for each cell, the top bits of the bucket; rows of a bucket with HOT or more of them are a pack of their own, whose `hot` is the bucket.
+
+    Of a bucket its cell and its low half are kept; that unlike parities meet in one now and then costs a look at their bit sketches.
+    """
+
+    def pack(ids: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        top = bucket.view(np.uint64) >> np.uint64(65 - cells.bit_length())
+        whole = ((top << np.uint64(32)) | (bucket.view(np.uint64) & np.uint64(0xFFFFFFFF))).astype(np.int64)
+        ordered = np.sort(whole)
+        last = ordered[HOT - 1 :]
+        hot = np.unique(last[last == ordered[: len(last)]])
+        own = np.isin(whole, hot) if len(hot) else np.zeros(len(whole), bool)
+        cell, marks, packs = [], [], []
+        for some, key in ((np.flatnonzero(~own), top.astype(np.uint32 if cells > 1 << 16 else np.uint16)), (np.flatnonzero(own), whole)):
+            some = some[np.argsort(key[some], kind="stable")]
+            ends = np.flatnonzero(np.diff(key[some])) + 1
+            for k in np.split(some, ends) if len(some) else []:
+                cell.append(int(top[k[0]]))
+                marks.append(int(whole[k[0]]) if own[k[0]] else None)
+                packs.append(_to_bytes(whole[k], ids[k], n[k]))
+        return pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(marks, pa.int64()), pa.array(packs, pa.binary())], names=["cell", "hot", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in itertools.chain(sketcher(batches), [None]):
+            held += [b] if b is not None else []
+            if held and (b is None or sum(x.num_rows for x in held) >= PACK):
+                yield pack(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("id", "bucket", "n")))
+                held = []
+
+    return run
+
+
+def _sorted_rows(cell: int, packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, id, shingles) sorted by bucket, the rows of a bucket in a pseudo-random order that differs from bucket to bucket."""
+    if not packs:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+    low, ids, n = _from_bytes(packs)
+    high = low.astype(np.uint64) << np.uint64(32)
+    order = np.argsort(high | (_mix(ids.view(np.uint64) + high * _ODD[1]) >> np.uint64(32)))
+    return (np.int64(cell) << np.int64(32)) | low[order].astype(np.int64), ids[order], n[order]
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, id, shingles) sorted by bucket, from packs sorted by cell and hot bucket, null first. Holds one cell without the packs of its hot buckets, which pass one by one."""
+
+    def out(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(rows[0]), PACK):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + PACK]) for x in rows], names=["bucket", "id", "n"])
+
+    at, packs, rest = None, [], None  # rest: rows of the cell that are not given yet, once its first hot bucket is there
+    for b in itertools.chain(batches, [None]):
+        for cell, hot, rows in zip(*(b.column(k).to_pylist() for k in range(3))) if b is not None else [(None, None, None)]:
+            if cell != at:
+                if at is not None:
+                    yield from out(_sorted_rows(at, packs) if rest is None else rest)
+                at, packs, rest = cell, [], None
+            if hot is None:
+                packs.append(rows)
+                continue
+            if rest is None:
+                rest, packs = _sorted_rows(cell, packs), []
+            cut_at = int(np.searchsorted(rest[0], hot, side="right"))
+            yield from out(tuple(x[:cut_at] for x in rest))
+            rest = tuple(x[cut_at:] for x in rest)
+            yield from out(_sorted_rows(cell, [rows]))
+
+
 @lru_cache(maxsize=10_000)
 def _salt(domain: str | None) -> int:
     return int.from_bytes(hashlib.blake2b(repr(domain).encode(), digest_size=8).digest(), "little")
@@ -242,23 +390,23 @@ def _verifier(threshold: float):
 def _sifter(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, m = b.column(3).to_numpy(), b.column(5).to_numpy()
-            open_ = pa.array(may_be_similar(n, b.column(4).to_pylist(), m, b.column(6).to_pylist(), threshold))
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(open_) for k in range(3)], names=["lo", "hi", "votes"])
+            n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
+            open_ = pa.array(may_be_similar(n, b.column(3).to_pylist(), m, b.column(5).to_pylist(), threshold))
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(open_) for k in range(2)], names=["lo", "hi"])
 
     return run
 
 
-def _sift(pairs: DataFrame, normal: DataFrame, threshold: float) -> DataFrame:
-    """The (lo, hi, votes) that bit sketches do not rule out."""
-    sketches = normal.select("id", "n", "bits")
-    with_a = pairs.select("lo", "hi", "votes").join(sketches.withColumnsRenamed({"id": "lo", "n": "na", "bits": "a"}), "lo")
+def _sift(pairs: DataFrame, sketched: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """The distinct (lo, hi) that bit sketches do not rule out."""
+    sketches = sketched.select("id", "n", "bits")
+    once = pairs.repartition(parts, "lo").distinct()  # one shuffle for this and the join
+    with_a = once.join(sketches.withColumnsRenamed({"id": "lo", "n": "na", "bits": "a"}), "lo")
     with_b = with_a.join(sketches.withColumnsRenamed({"id": "hi", "n": "nb", "bits": "b"}), "hi")
-    return with_b.select("lo", "hi", "votes", "na", "a", "nb", "b").mapInArrow(_sifter(threshold), "lo bigint, hi bigint, votes bigint")
+    return with_b.select("lo", "hi", "na", "a", "nb", "b").mapInArrow(_sifter(threshold), "lo bigint, hi bigint")
 
 
-def _verify(pairs: DataFrame, normal: DataFrame, threshold: float) -> DataFrame:
-    texts = normal.select("id", "norm")
+def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     with_a = pairs.select("lo", "hi").join(texts.withColumnsRenamed({"id": "lo", "norm": "a"}), "lo")
     with_b = with_a.join(texts.withColumnsRenamed({"id": "hi", "norm": "b"}), "hi")
     return with_b.select("lo", "hi", "a", "b").mapInArrow(_verifier(threshold), "lo bigint, hi bigint")
@@ -308,18 +456,38 @@ def _pairing(threshold: float):
     return run
 
 
-def _proposals(sketch: DataFrame, parts: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lo, hi, votes), and (bucket, id) of the buckets with unproposed pairs, and the table of both, from (bucket, id, n): one shuffle by bucket, one pass over its sorted rows."""
-    turned = F.col("id").bitwiseXOR(F.col("bucket").bitwiseAND(F.lit(_ID_BITS)))
-    met = sketch.repartition(parts, "bucket").sortWithinPartitions("bucket", turned).select("bucket", "id", "n")
-    met = met.mapInArrow(_pairing(threshold), "lo bigint, hi bigint, bucket bigint").groupBy("lo", "hi", "bucket").agg(F.count(F.lit(1)).alias("votes"))
-    met = cut(met)
-    return met.filter("bucket is null").select("lo", "hi", "votes"), met.filter("bucket is not null").select("bucket", F.col("hi").alias("id")), met
-
-
-def _open_members(crowded: DataFrame, close: DataFrame) -> DataFrame:
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of `_pairing`, each pair once as far as PACK of them are held."""
+    held, count = [], 0
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            pairs = len(b) - b.column(0).null_count  # they come before the members
+            held.append(b.slice(0, pairs))
+            count += pairs
+            yield b.slice(pairs)
+        if count >= PACK or b is None and count:
+            lo, hi = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+            order = np.lexsort((hi, lo))
+            lo, hi = lo[order], hi[order]
+            new = np.concatenate(([True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new]), pa.nulls(int(new.sum()), pa.int64())], names=["lo", "hi", "bucket"])
+            held, count = [], 0
+
+
+def _proposals(rows: DataFrame, parts: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lo, hi), once for each task whose buckets propose it, and (bucket, id) of the buckets with unproposed pairs, and the table of both, from (id, domain, text): one shuffle of packs by cell, one pass over the sorted rows of each cell."""
+    cells = 1 << max(8, (2 * parts - 1).bit_length())
+    pairing = _pairing(threshold)
+    packs = rows.mapInArrow(_packer(_sketcher(threshold), cells), "cell int, hot bigint, rows binary")
+    packs = packs.repartitionById(parts, F.col("cell") % parts).sortWithinPartitions("cell", F.asc_nulls_first("hot"))
+    met = cut(packs.mapInArrow(lambda batches: _once(pairing(_unpacked(batches))), "lo bigint, hi bigint, bucket bigint"))
+    return met.filter("bucket is null").select("lo", "hi"), met.filter("bucket is not null").select("bucket", F.col("hi").alias("id")), met
+
+
+def _open_members(crowded: DataFrame, close: DataFrame, parts: int) -> DataFrame:
     """(bucket, rep, component, n) of the buckets whose members lie in several components; of buckets with the same members one."""
     placed = crowded.withColumnRenamed("id", "rep").join(close.withColumnsRenamed({"node": "rep"}), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = placed.repartition(parts, "bucket")  # one shuffle for the groups and the join
     marks = placed.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(rep, 1))").alias("y"), F.min("component").alias("least"), F.max("component").alias("most")
     )
@@ -393,11 +561,12 @@ def _block_scanner(threshold: float):
     return run
 
 
-def _bucket_links(members: DataFrame, normal: DataFrame, threshold: float, parts: int) -> DataFrame:
-    met = _block_pairs(members).join(normal.select(F.col("id").alias("rep"), "n", "bits"), "rep")
+def _bucket_pairs(members: DataFrame, sketched: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """(lo, hi) of members of one bucket in different components that bit sketches do not rule out."""
+    of_members = _marked(sketched.select("id", "n", "bits"), cut(members.select(F.col("rep").alias("id")).distinct()))
+    met = _block_pairs(members).join(of_members.withColumnRenamed("id", "rep"), "rep")
     met = met.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    open_ = met.select("bucket", "i", "j", "slot", "rep", "component", "n", "bits").mapInArrow(_block_scanner(threshold), "lo bigint, hi bigint")
-    return _verify(cut(open_.distinct()), normal, threshold)
+    return met.select("bucket", "i", "j", "slot", "rep", "component", "n", "bits").mapInArrow(_block_scanner(threshold), "lo bigint, hi bigint").distinct()
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -416,35 +585,41 @@ def near_duplicates(df: DataFrame, id_col: str = "msg_id", text_col: str = "text
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(by).cast("string").alias("domain"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     parts = max(12, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    proposals, crowded, proposed = _proposals(rows.mapInArrow(_sketcher(threshold), "id bigint, bucket bigint, n int"), parts, threshold)
+    proposals, crowded, proposed = _proposals(rows, parts, threshold)
     drop_shuffles(df.sparkSession)  # here and below: the largest ones, before the next are written
-    texts = cut(rows.mapInArrow(_normal_batches, "id bigint, key binary, norm string, n bigint, bits binary"))
-    pairs = cut(_sift(proposals, texts, threshold))
+    sketched = cut(rows.mapInArrow(_bit_batches, "id bigint, key binary, n bigint, bits binary"))
+    pairs = cut(_sift(proposals, sketched, threshold, parts))
     drop_shuffles(df.sparkSession)
-    met = cut(pairs.select(F.explode(F.array("lo", "hi")).alias("id")).distinct().join(texts.select("id", "key"), "id"))
+    texts = cut(_texts_of(pairs, rows))
+    drop_shuffles(df.sparkSession)
+    met = cut(texts.select("id").distinct().join(sketched.select("id", "key"), "id"))
     least = met.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lo")
     copies = cut(met.join(least, "key").filter("id > lo").select("lo", F.col("id").alias("hi")).distinct())
     crowded = crowded.join(copies.select(F.col("hi").alias("id")), "id", "left_anti")  # the least copy is in the same buckets
-    sides = pairs.select(F.col("lo").alias("id"), "lo", "hi", "votes").union(pairs.select(F.col("hi").alias("id"), "lo", "hi", "votes"))
-    best = sides.groupBy("id").agg(F.expr("max_by(struct(lo, hi), struct(votes, -lo, -hi))").alias("p")).select("p.lo", "p.hi").distinct()
+    sides = pairs.select(F.col("lo").alias("id"), F.col("hi").alias("other")).union(pairs.select(F.col("hi").alias("id"), F.col("lo").alias("other")))
+    first = sides.groupBy("id").agg(F.min("other").alias("other"))  # few texts are the least of all they are paired with, so these links leave few components
+    best = first.select(F.least("id", "other").alias("lo"), F.greatest("id", "other").alias("hi")).distinct()
     links = copies.union(cut(_verify(best, texts, threshold)))
-    drop_shuffles(df.sparkSession)
     close = cut(connected_components(links, "lo", "hi"))
-    for found in (lambda: _verify(_apart(pairs, close), texts, threshold), lambda: _bucket_links(cut(_open_members(crowded, close)), texts, threshold, parts)):
-        more = cut(found())
-        drop_shuffles(df.sparkSession)
-        if not more.isEmpty():
-            links = links.union(more)
-            close = cut(connected_components(links, "lo", "hi"))
+    more = cut(_verify(_apart(pairs, close), texts, threshold))
+    drop_shuffles(df.sparkSession)
+    if not more.isEmpty():
+        links = links.union(more)
+        close = cut(connected_components(links, "lo", "hi"))
+    open_ = cut(_bucket_pairs(cut(_open_members(crowded, close, parts)), sketched, threshold, parts))
+    drop_shuffles(df.sparkSession)
+    if not open_.isEmpty():
+        links = links.union(cut(_verify(open_, cut(_texts_of(open_, rows)), threshold)))
+        close = cut(connected_components(links, "lo", "hi"))
     # a text's copies share its digest: digest -> component -> least id; copies that links have put into several components join these
-    owned = lambda: texts.select("id", "key").join(close.withColumnsRenamed({"node": "id"}), "id")
-    placed = owned().groupBy("key").agg(F.min("component").alias("component"))
-    bridges = cut(owned().select("key", F.col("component").alias("hi")).join(placed.withColumnRenamed("component", "lo"), "key").filter("hi > lo").select("lo", "hi").distinct())
+    owned = cut(sketched.select("id", "key").join(close.withColumnsRenamed({"node": "id"}), "id"))
+    placed = owned.groupBy("key").agg(F.min("component").alias("component"))
+    bridges = cut(owned.select("key", F.col("component").alias("hi")).join(placed.withColumnRenamed("component", "lo"), "key").filter("hi > lo").select("lo", "hi").distinct())
     if not bridges.isEmpty():
         close = cut(connected_components(links.union(bridges), "lo", "hi"))
-        placed = owned().groupBy("key").agg(F.min("component").alias("component"))
-    keyed = cut(texts.select("id", "key").join(placed, "key", "left"))
-    release(proposed, texts, met)
+        placed = sketched.select("id", "key").join(close.withColumnsRenamed({"node": "id"}), "id").groupBy("key").agg(F.min("component").alias("component"))
+    keyed = cut(sketched.select("id", "key").join(placed, "key", "left"))
+    release(proposed, sketched, texts, met)
     group = [F.when(F.col("component").isNull(), F.col("key")).alias("key"), F.col("component")]
     first = keyed.groupBy(*group).agg(F.min("id").alias("class_id")).alias("f")
     k = keyed.select("id", *group).alias("k")

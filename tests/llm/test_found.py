@@ -108,6 +108,60 @@ def test_buckets_are_paired_whatever_the_batches():
         assert sorted((r["bucket"], r["hi"]) for r in out if r["bucket"] is not None) == [(int(b), int(k)) for b, k in zip(bucket, ids) if sizes[b] > near_dup.FULL]
 
 
+def test_sketches_travel_in_small_packs_and_come_back_sorted(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dup, "PACK", 5_000)
+    monkeypatch.setattr(near_dup, "HOT", 40)
+    rng = np.random.default_rng(3)
+    bucket = rng.integers(-(1 << 63), (1 << 63) - 1, 4_000)[rng.integers(0, 4_000, 12_000)]
+    bucket[::9], bucket[1::90] = bucket[0], bucket[1]  # a ninth of all rows in one bucket
+    ids, n = np.arange(12_000) // 6 * 3 + 10**12, rng.integers(1, 2_000, 12_000).astype(np.int32)
+    names = ["id", "bucket", "n"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[k : k + 700]) for x in (ids, bucket, n)], names=names) for k in range(0, 12_000, 700)]
+    packs = [r for b in near_dup._packer(lambda x: x, 16)(iter(batches)) for r in b.to_pylist()]
+    assert sum(len(r["rows"]) for r in packs) < 9 * 12_000 and any(r["hot"] is not None for r in packs)
+    packs.sort(key=lambda r: (r["cell"], r["hot"] is not None, r["hot"] or 0))
+    for step in (1, 3, 500):
+        parts = [pa.RecordBatch.from_pylist(packs[k : k + step], pa.schema([("cell", pa.int32()), ("hot", pa.int64()), ("rows", pa.binary())])) for k in range(0, len(packs), step)]
+        out = [r for b in near_dup._unpacked(iter(parts)) for r in b.to_pylist()]
+        u = bucket.view(np.uint64)
+        whole = ((u >> np.uint64(60) << np.uint64(32)) | (u & np.uint64(0xFFFFFFFF))).astype(np.int64)
+        assert [r["bucket"] for r in out] == sorted(whole.tolist())
+        assert sorted((r["bucket"], r["id"], r["n"]) for r in out) == sorted(zip(whole.tolist(), ids.tolist(), n.tolist()))
+    monkeypatch.setattr(near_dup, "HOT", 900)  # more than the rows of a small pack, and less than twice as many
+    assert {r["hot"] for b in near_dup._packer(lambda x: x, 16)(iter(batches[:1])) for r in b.to_pylist()} == {None}
+
+
+def test_rows_that_no_pair_has_are_not_sent(spark):
+    rows = spark.range(0, 20_000).selectExpr("id", "cast(id as string) AS text")
+    kept = {r.id for r in near_dup._marked(rows, rows.filter("id % 50 = 7").select("id")).collect()}
+    assert {k for k in range(20_000) if k % 50 == 7} <= kept and len(kept) < 3_000
+    assert near_dup._marked(rows, rows.filter("id < 0").select("id")).count() == 0
+
+
+def test_normal_texts_are_those_of_the_patterns():
+    rng = random.Random(9)
+    signs = " \t\n\x0b\x1c\x85\xa0\u2028\u3000\u200b\ufeffabXY019\u00b2\u0663\u096fİßǅ\U0001d7d9"
+    for k in range(4_000):
+        x = "".join(rng.choices(signs if k % 2 else signs[:5] + "abXY019", k=rng.randint(0, 9)))
+        assert near_dup.normalise(x) == re.sub(r"\s+", " ", re.sub(r"\d", "0", x.lower())), ascii(x)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_texts_that_share_a_sentence_do_not_meet_often(seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    fill = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz  ", k=n))
+    common = fill(120)
+    texts = [fill(140) + common + fill(140) for _ in range(400)]
+    who, bucket, _ = near_dup.sketch_parts(texts, np.zeros(len(texts), np.uint64), 0.7)
+    met = np.unique(bucket, return_counts=True)[1]
+    assert int((met * (met - 1) // 2).sum()) < 1_000
+
+
 def test_copies_of_several_tasks_are_one(spark):
     rows = [(k, "sms", "the very same words, again and again" + "!" * (k % 2)) for k in range(400)] + [(400 + k, "email", f"no two of these {k * 7919} are {k * 104729} alike {chr(97 + k)}") for k in range(20)]
     df = spark.createDataFrame(rows, "msg_id bigint, domain string, text string").repartition(12)
